@@ -158,5 +158,5 @@ def assign_folds(df: DataFrame, folds: TemporalFolds, date: str = "data") -> Dat
     first = F.greatest(F.ceil((offset - folds.window + 1) / folds.step), F.lit(0)).cast("int")
     last = F.least(F.floor(offset / folds.step), F.lit(folds.count - 1)).cast("int")
     hits = F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
-    out = df.where(offset >= 0).withColumn("fold", F.explode(hits) + 1)
+    out = df.where(offset >= 0).withColumn("fold", F.explode(F.transform(hits, lambda s: s + 1)))
     return out.withColumn("fold_start", F.add_months(F.lit(folds.start), (F.col("fold") - 1) * folds.step))

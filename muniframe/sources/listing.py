@@ -47,12 +47,12 @@ def url_file_name(url: Column) -> Column:
     return F.element_at(F.split(F.try_parse_url(url, F.lit("PATH")), "/"), -1)
 
 
-def file_candidates(rows: DataFrame, suffix: str) -> DataFrame:
+def file_candidates(rows: DataFrame, suffix: str, keep: Sequence[str] = ()) -> DataFrame:
     """Rows of at least four cells whose first link ends in ``suffix``."""
     url = F.try_element_at(F.col("cells")[0]["links"], F.lit(1))
     wide = rows.where(F.size("cells") >= 4).withColumn("url", url)
     return wide.where(F.col("url").endswith(suffix)).select(
-        "url", url_file_name(F.col("url")).alias("filename"),
+        *keep, "url", url_file_name(F.col("url")).alias("filename"),
         F.col("cells")[2]["text"].alias("portal_updated_at"), F.col("cells")[3]["text"].alias("portal_size"),
     )
 
