@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterable
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 
@@ -34,6 +34,11 @@ def strict_long(c: Column, name: str = "value") -> Column:
     return F.when(value.isNull(), failed.cast("bigint")).otherwise(value.cast("bigint"))
 
 
+def cast_columns(df: DataFrame, whole: Iterable[str] = (), doubles: Iterable[str] = ()) -> DataFrame:
+    """Text columns to typed ones: ``whole`` must be complete, ``doubles`` turn bad values into null."""
+    return df.withColumns({**{c: strict_long(F.col(c), c) for c in whole}, **{c: to_number(F.col(c).cast("string")) for c in doubles}})
+
+
 def ratio(num: Column, den: Column) -> Column:
     return num / F.nullif(den, F.lit(0))
 

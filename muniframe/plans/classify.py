@@ -131,11 +131,16 @@ def permutation_importance(
 ) -> DataFrame:
     """Mean and deviation of the metric loss when one feature is shuffled.
 
-    ``max_rows`` is the sample size of the measure itself (rows with the lowest key
-    hash). Every repeat is one reordering of that sample; all features and repeats
+    ``max_rows`` is the sample size of the measure itself (rows chosen by key hash). Every repeat is one reordering of that sample; all features and repeats
     are scored in one pass.
     """
-    sample = df.select(key, LABEL, *features).orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(max_rows)
+    hashed = df.select(key, LABEL, *features).withColumn("__s", F.xxhash64(F.col(key), F.lit(seed)))
+    total = df.count()
+    if total > 2 * max_rows:
+        # Thin out first, so that the ordered limit merges about twice the sample and not a sample per task.
+        span = 1 << 30
+        hashed = hashed.where(F.pmod(F.col("__s"), F.lit(span)) < int(span * 2 * max_rows / total))
+    sample = hashed.orderBy("__s", key).limit(max_rows).drop("__s")
     base = checkpointed(number_rows(sample, [key], "__n"))
     shuffled = base.withColumn("__repeat", F.explode(F.sequence(F.lit(1), F.lit(repeats))))
     donors = number_rows(

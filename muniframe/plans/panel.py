@@ -45,7 +45,7 @@ def dense_panel(counts: DataFrame, categories: Sequence[str], months: tuple[Date
 
     ``counts`` comes from :func:`monthly_counts`. The grid is made by exploding a
     month sequence and the category list per unit; zero rows and real counts are
-    then summed together, so filling takes no join and one shuffle. ``counts`` is kept
+    then summed together, so filling takes no join and one shuffle, by series. ``counts`` is kept
     in executor storage because units and month range are read from it as well
     (the event table is scanned once).
     """
@@ -64,8 +64,9 @@ def dense_panel(counts: DataFrame, categories: Sequence[str], months: tuple[Date
     if months is not None:
         inside = inside.where(F.col("data").between(*months))
     dense = grid.unionByName(inside.select("unit", "data", "categoria", F.col("n").cast("bigint").alias("n")))
+    # Distributed by series, so the windows over (unit, categoria) that follow need no further shuffle.
     return (
-        dense.groupBy("unit", "data", "categoria").agg(F.sum("n").alias("y"))
+        dense.repartition("unit", "categoria").groupBy("unit", "data", "categoria").agg(F.sum("n").alias("y"))
         .withColumns({"ano": F.year("data"), "mes": F.month("data")})
     )
 

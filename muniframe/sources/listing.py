@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.dates import DAY_MONTH_YEAR_MINUTE, parse_date
 
@@ -94,6 +94,20 @@ def ingest_state(latest: DataFrame) -> DataFrame:
     return latest.select(*[F.col(src).alias(name) for name, src in STATE_FIELDS.items()], F.current_timestamp().alias("downloaded_at"))
 
 
+def save_state(latest: DataFrame, path: str) -> None:
+    """Replace the one-row state table."""
+    ingest_state(latest).write.mode("overwrite").parquet(path)
+
+
+def load_state(spark: SparkSession, path: str) -> DataFrame:
+    """The saved state; no row before the first download."""
+    schema = "latest_file string, latest_url string, portal_updated_at string, portal_size string, downloaded_at timestamp"
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(path)
+
+
 def has_new_file(latest: DataFrame, state: DataFrame) -> DataFrame:
     """The latest file when it differs from the saved state, else no row."""
     tagged = latest.withColumns({name: F.col(src) for name, src in STATE_FIELDS.items()}).withColumn("dataset", F.lit(1))
