@@ -86,13 +86,13 @@ def _parsed_payload(line: Column, header: list[str], delimiter: str, width: int)
     extra = [f"x{i}" for i in range(max(0, width - len(header)))]
     ragged = F.from_csv(line, ", ".join(f"{n} string" for n in [*names, *extra, "bad"]), options)
     cells = F.array(*[ragged[n] for n in [*names, *extra]])
-    # Cells up to the last non-empty one exist; later ones were missing.
-    used = F.size(cells) - F.coalesce(F.array_position(F.transform(F.reverse(cells), lambda x: x.isNotNull()), True) - 1, F.size(cells))
+    # Delimiters outside quotes give the number of cells the line really has.
+    used = F.regexp_count(F.regexp_replace(line, '"([^"]|"")*"', ""), F.lit(delimiter)) + 1
     fields = [F.when(used > i, F.coalesce(cells[i], F.lit(""))).alias(name) for name, i in place.items()]
     short = F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})
     if not extra:
         return F.when(exact["bad"].isNull(), whole).otherwise(short)
-    surplus = F.transform(F.slice(cells, len(header) + 1, F.greatest(used - len(header), F.lit(0)).cast("int")), lambda x: F.coalesce(x, F.lit("")))
+    surplus = F.transform(F.slice(cells, len(header) + 1, F.greatest(used - len(header), F.lit(0))), lambda x: F.coalesce(x, F.lit("")))
     long = F.to_json(F.struct(*fields, surplus.alias("null")), {"ignoreNullFields": "false"})
     return F.when(exact["bad"].isNull(), whole).when(used > len(header), long).otherwise(short)
 

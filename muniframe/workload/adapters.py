@@ -115,8 +115,10 @@ METRICS_SQL = """avg(abs(y_pred - y)) AS mae, sqrt(avg((y_pred - y) * (y_pred -
   sum(abs(y_pred - y)) / nullif(sum(CAST(y AS DOUBLE)), 0) AS wape, sum(y_pred - y) / nullif(sum(CAST(y AS DOUBLE)), 0) AS bias,
   sum(CAST(y AS DOUBLE)) AS total_real, sum(y_pred) AS total_previsto"""
 
-METRIC_COLUMNS_SQL = """round(mae, 6) AS "MAE", round(rmse, 6) AS "RMSE", round(wape, 6) AS "WAPE", round(bias, 6) AS "BIAS",
-  round(total_real, 4) AS "TOTAL_REAL", round(total_previsto, 4) AS "TOTAL_PREVISTO" """
+# Averages of twelfths often end in an exact decimal tie. Both engines shift by less than
+# the last digit before rounding, so that a tie does not depend on the order of additions.
+METRIC_SHIFT = {"MAE": (1e-7, 6), "RMSE": (1e-7, 6), "WAPE": (1e-7, 6), "BIAS": (1e-7, 6), "TOTAL_REAL": (1e-5, 4), "TOTAL_PREVISTO": (1e-5, 4)}
+METRIC_COLUMNS_SQL = ", ".join(f'round({m.lower()} + {shift}, {digits}) AS "{m}"' for m, (shift, digits) in METRIC_SHIFT.items())
 
 UNIT_YEAR_SQL = INCIDENTS_SQL + """,
 uy AS (SELECT unit, ano, avg(o_totalprice) AS price,
@@ -134,5 +136,5 @@ NORMS_SQL = UNIT_YEAR_SQL + ",\nb AS (SELECT " + ", ".join(f"min({c}) AS {c}_lo,
 ) + " FROM uy CROSS JOIN b)"
 NORMS = [c + "_norm" for c in UP + DOWN]
 IQV_SQL = NORMS_SQL + f""",
-iqv AS (SELECT *, 100 * ({' + '.join(NORMS)}) / 6 AS "IQV",
+iqv AS (SELECT *, 100 * ({' + '.join(f'coalesce({c}, 0)' for c in NORMS)}) / nullif({' + '.join(f'(CASE WHEN {c} IS NULL THEN 0 ELSE 1 END)' for c in NORMS)}, 0) AS "IQV",
   100 * (price_norm / 3 + finished_norm / 3 + (pending_norm + urgency_norm + building_norm + spread_norm) / 12) AS "IQV_final" FROM norm)"""

@@ -222,9 +222,11 @@ def ols_grouped(t: Tables) -> DataFrame:
     return fitted.select("l_returnflag", "l_linestatus", "n", rounded("slope", 4).alias("slope"), rounded("intercept", 2).alias("intercept"), rounded("r2").alias("r2"))
 
 
+# Rows without index or rate take no part in the fit.
 FE_SQL = RATES_SQL + """,
-g AS (SELECT ano, avg(total_10k) AS yb, avg("IQV_final") AS xb FROM rates GROUP BY ano),
-w AS (SELECT r.ano, r.total_10k - g.yb AS y, r."IQV_final" - g.xb AS x, r.total_10k AS raw FROM rates r JOIN g ON g.ano = r.ano),
+fit AS (SELECT * FROM rates WHERE total_10k IS NOT NULL AND "IQV_final" IS NOT NULL),
+g AS (SELECT ano, avg(total_10k) AS yb, avg("IQV_final") AS xb FROM fit GROUP BY ano),
+w AS (SELECT r.ano, r.total_10k - g.yb AS y, r."IQV_final" - g.xb AS x, r.total_10k AS raw FROM fit r JOIN g ON g.ano = r.ano),
 f AS (SELECT count(*) AS n, count(DISTINCT ano) AS k, sum(x * y) / sum(x * x) AS b, sum(x * x) AS sxx, sum(y * y) - sum(x * y) * sum(x * y) / sum(x * x) AS rss,
   var_pop(raw) * count(*) AS tss FROM w)"""
 

@@ -7,12 +7,12 @@ from pyspark.sql import DataFrame, functions as F
 from ..operators.joins import gain_table
 from ..operators.ordering import top_k
 from ..operators.series import fill_panel
-from ..plans.metrics import METRICS, best_per_group, fold_metrics, forecast_metrics, monthly_totals, summarize_folds
+from ..plans.metrics import best_per_group, fold_metrics, forecast_metrics, monthly_totals, summarize_folds
 from ..plans.panel import (
     BASELINES, FEATURES, LAGS, WINDOWS, TemporalFolds, assign_folds, dense_panel, feature_table, monthly_flag_counts,
 )
 from .adapters import (
-    BASELINES_SQL, CATEGORIES, FOLDS, HISTORY_SQL, INCIDENTS_SQL, LONG_SQL, METRIC_COLUMNS_SQL, METRICS_SQL, PANEL_SQL, baselines, features,
+    BASELINES_SQL, CATEGORIES, FOLDS, HISTORY_SQL, INCIDENTS_SQL, LONG_SQL, METRIC_COLUMNS_SQL, METRIC_SHIFT, METRICS_SQL, PANEL_SQL, baselines, features,
     history, incidents, panel, unit_year_features,
 )
 from .catalog import Tables, iso, query, round_all, rounded
@@ -120,7 +120,7 @@ _SUMMARY_AGG = "avg(mae) AS mae, avg(rmse) AS rmse, avg(wape) AS wape, avg(bias)
 
 
 def _round_metrics(df: DataFrame) -> DataFrame:
-    return round_all(round_all(df, list(METRICS[:4])), list(METRICS[4:]), 4)
+    return df.withColumns({m: rounded(F.col(m) + shift, digits) for m, (shift, digits) in METRIC_SHIFT.items()})
 
 
 def _fold_metrics(t: Tables, by: tuple[str, ...] = ()) -> DataFrame:
