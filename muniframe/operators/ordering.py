@@ -31,11 +31,12 @@ def range_sorted(df: DataFrame, by: Sequence[str], order: Sequence[str | Column]
 
 
 def _carried(keyed: DataFrame, by: Sequence[str], total: Column) -> DataFrame:
-    """Per (partition, group): first position and the total of all earlier partitions."""
-    segments = keyed.groupBy(PART, *by).agg(F.min(POS).alias("__first"), total.alias("__total"))
-    # At most one row per partition and group enters this window.
+    """Per (partition, group): first position, total of earlier partitions, total of the group."""
+    segments = keyed.groupBy(PART, *by).agg(F.min(POS).alias("__first"), total.alias("__sum"))
+    # At most one row per partition and group enters these windows.
     earlier = Window.partitionBy(*by).orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
-    return segments.withColumn("__before", F.coalesce(F.sum("__total").over(earlier), F.lit(0))).drop("__total")
+    before = F.coalesce(F.sum("__sum").over(earlier), F.lit(0))
+    return segments.withColumns({"__before": before, "__total": F.sum("__sum").over(Window.partitionBy(*by))}).drop("__sum")
 
 
 def _join_segments(keyed: DataFrame, segments: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -46,21 +47,30 @@ def _join_segments(keyed: DataFrame, segments: DataFrame, by: Sequence[str]) ->
     return keyed.join(renamed, cond).drop("__s_part", *[f"__s_{b}" for b in by])
 
 
-def number_rows(df: DataFrame, order: Sequence[str | Column], out: str = "row_number", by: Sequence[str] = ()) -> DataFrame:
-    """1-based row number per ``by`` group; ``order`` must be a total order to be reproducible."""
+def number_rows(
+    df: DataFrame, order: Sequence[str | Column], out: str = "row_number", by: Sequence[str] = (), size: str | None = None
+) -> DataFrame:
+    """1-based row number per ``by`` group, and on request the group size.
+
+    ``order`` must be a total order to be reproducible.
+    """
     keyed = range_sorted(df, by, order)
     joined = _join_segments(keyed, _carried(keyed, by, F.count(F.lit(1))), by)
     number = F.col(POS) - F.col("__first") + F.col("__before") + 1
-    return joined.withColumn(out, number.cast("bigint")).drop(PART, POS, "__first", "__before")
+    added = {out: number.cast("bigint"), **({size: F.col("__total")} if size else {})}
+    return joined.withColumns(added).drop(PART, POS, "__first", "__before", "__total")
 
 
-def running_sum(df: DataFrame, order: Sequence[str | Column], value: str, out: str, by: Sequence[str] = ()) -> DataFrame:
-    """Inclusive running total of ``value`` per ``by`` group."""
+def running_sum(
+    df: DataFrame, order: Sequence[str | Column], value: str, out: str, by: Sequence[str] = (), total: str | None = None
+) -> DataFrame:
+    """Inclusive running total of ``value`` per ``by`` group, and on request the group total."""
     keyed = range_sorted(df, by, order)
     joined = _join_segments(keyed, _carried(keyed, by, F.sum(value)), by)
     # One range partition of one group per window partition.
     inside = Window.partitionBy(PART, *by).orderBy(POS).rowsBetween(Window.unboundedPreceding, 0)
-    return joined.withColumn(out, F.sum(value).over(inside) + F.col("__before")).drop(PART, POS, "__first", "__before")
+    added = {out: F.sum(value).over(inside) + F.col("__before"), **({total: F.col("__total")} if total else {})}
+    return joined.withColumns(added).drop(PART, POS, "__first", "__before", "__total")
 
 
 def rank_min(df: DataFrame, value: str, out: str = "rank", by: Sequence[str] = (), descending: bool = True) -> DataFrame:
@@ -99,12 +109,7 @@ def exact_quantiles(
     """
     values = df.where(F.col(col).isNotNull() & ~F.isnan(F.col(col).cast("double")))
     counts = values.groupBy(*by, F.col(col).cast("double").alias("__v")).agg(F.count(F.lit(1)).alias("__n"))
-    cumulative = running_sum(counts, ["__v"], "__n", "__cum", by)
-    totals = counts.groupBy(*by).agg(F.sum("__n").alias("__total"))
-    if by:
-        placed = cumulative.join(totals, list(by))
-    else:
-        placed = cumulative.withColumn("__total", totals.scalar())
+    placed = running_sum(counts, ["__v"], "__n", "__cum", by, total="__count")
     start = F.col("__cum") - F.col("__n")
 
     def at(position: Column) -> Column:
@@ -112,7 +117,7 @@ def exact_quantiles(
 
     aggs = []
     for name, p in probs.items():
-        exact = (F.col("__total") - 1) * F.lit(float(p))
+        exact = (F.col("__count") - 1) * F.lit(float(p))
         low, high = F.floor(exact), F.ceil(exact)
         aggs += [at(low).alias(f"{name}__lo"), at(high).alias(f"{name}__hi"), F.max(exact - low).alias(f"{name}__w")]
     found = placed.groupBy(*by).agg(*aggs)

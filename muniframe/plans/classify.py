@@ -69,10 +69,8 @@ def stratified_split(df: DataFrame, label: str, key: str, fractions: Sequence[fl
     with most of the rows is spread over most of the partitions.
     """
     hashed = df.withColumn("__h", F.xxhash64(F.col(key), F.lit(seed)))
-    numbered = number_rows(hashed, ["__h", key], "__rn", by=[label])
-    sizes = numbered.groupBy(label).agg(F.max("__rn").alias("__size"))
-    joined = numbered.join(F.broadcast(sizes), label)  # one row per class
-    return joined.withColumn(out, split_position(fractions, F.col("__rn"), F.col("__size"))).drop("__h", "__rn", "__size")
+    numbered = number_rows(hashed, ["__h", key], "__rn", by=[label], size="__size")
+    return numbered.withColumn(out, split_position(fractions, F.col("__rn"), F.col("__size"))).drop("__h", "__rn", "__size")
 
 
 def fit_imputer(train: DataFrame, numeric: Sequence[str], categorical: Sequence[str]) -> SQLTransformer:
@@ -93,7 +91,7 @@ def fit_imputer(train: DataFrame, numeric: Sequence[str], categorical: Sequence[
 
 
 def with_weights(train: DataFrame, label: str = LABEL) -> DataFrame:
-    """Balanced class weights; the weight table has one row per class."""
+    """Balanced class weights. The weight table has one row per class, and classes are a literal list (see encode_label)."""
     weights = balance_weights(train, label).select(label, "weight")
     return train.join(F.broadcast(weights), label)
 

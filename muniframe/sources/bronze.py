@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from .files import LATIN1
 
 FILE_KEY = ["source", "file_name"]
+# About 150 bytes each; at 128 MB per split this covers some 250 TB of text.
+MAX_BROADCAST_SPLITS = 2_000_000
 
 
 def read_lines(spark: SparkSession, root: str, source: str | None = None, paths: list[str] | None = None) -> DataFrame:
@@ -60,9 +62,9 @@ def detect_delimiters(blocks: DataFrame, comma_sources: Iterable[str] = ()) -> D
 
 
 def file_registry(blocks: DataFrame) -> DataFrame:
-    """Registry rows of the files just read; the id is a digest of the natural key."""
-    files = blocks.select(*FILE_KEY, "file_path", "file_size_bytes").distinct()
-    return files.withColumns({"id": file_id(), "loaded_at": F.current_timestamp()}).select("id", *FILE_KEY, "file_path", "file_size_bytes", "loaded_at")
+    """Registry rows of the files just read, with their record count; the id is a digest of the natural key."""
+    files = blocks.groupBy(*FILE_KEY, "file_path", "file_size_bytes").agg((F.sum("n") - 1).alias("n_records"))
+    return files.select(file_id().alias("id"), *FILE_KEY, "file_path", "file_size_bytes", F.current_timestamp().alias("loaded_at"), "n_records")
 
 
 def file_id() -> Column:
@@ -114,20 +116,23 @@ def load_bronze(
     """
     lines = read_lines(spark, root, source, paths)
     blocks = scan_blocks(lines).persist()
-    files = detect_delimiters(blocks, comma_sources)
-    layouts = files.groupBy("header", "delimiter").agg(F.max("width").alias("width")).collect()
+    files = detect_delimiters(blocks, comma_sources).withColumn("layout", F.xxhash64("header", "delimiter"))
+    layouts = files.groupBy("layout", "header", "delimiter").agg(F.max("width").alias("width")).collect()
 
-    # A file's splits only; the count of rows before each is small next to the data.
+    # One row per split; the window runs over the splits of one file.
     earlier = Window.partitionBy(*FILE_KEY).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = blocks.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0))).select(*FILE_KEY, "block", "first_pos", "before")
-    placed = lines.join(offsets, [*FILE_KEY, "block"]).join(files.select(*FILE_KEY, "header", "delimiter"), FILE_KEY)
+    offsets = offsets.join(files.select(*FILE_KEY, "layout"), FILE_KEY)
+    # Broadcast while the split list is known to be small, so that the lines are not shuffled to be numbered.
+    if blocks.count() <= MAX_BROADCAST_SPLITS:
+        offsets = F.broadcast(offsets)
+    placed = lines.join(offsets, [*FILE_KEY, "block"])
     # Line 0 of a file is its header.
     rows = placed.withColumn("row_number", F.col("pos") - F.col("first_pos") + F.col("before")).where(F.col("row_number") > 0)
     payload: Column = F.lit(None).cast("string")
     for layout in layouts:
-        mine = (F.col("header") == F.lit(layout["header"])) & (F.col("delimiter") == F.lit(layout["delimiter"]))
         parsed = _parsed_payload(F.col("line"), _split_header(layout["header"], layout["delimiter"]), layout["delimiter"], layout["width"])
-        payload = F.when(mine, parsed).otherwise(payload)
+        payload = F.when(F.col("layout") == F.lit(layout["layout"]), parsed).otherwise(payload)
     records = rows.select(*FILE_KEY, file_id().alias("raw_file_id"), F.col("row_number").cast("bigint"), payload.alias("payload"), F.current_timestamp().alias("loaded_at"))
     return file_registry(blocks), records
 
@@ -135,23 +140,23 @@ def load_bronze(
 def write_bronze(spark: SparkSession, registry: DataFrame, records: DataFrame, out: str) -> None:
     """Upsert the registry and replace the records of every loaded file.
 
-    Records are partitioned by (source, file_name) and overwritten partition-wise. A
-    file that lost all its rows writes none, so its old partition is emptied by
-    deleting it after the write. The registry is staged before it replaces the old
-    one, and written last: a failed load leaves the old registry in place.
+    Records are partitioned by (source, raw_file_id) and overwritten partition-wise;
+    row ranges of a large file go to different tasks. A file without rows overwrites
+    nothing, so its old partition is deleted. The registry is staged before it replaces
+    the old one, and written last: a failed load leaves the old registry in place.
     """
-    partitioned = records.repartition("source", "file_name", (F.col("row_number") / 1_000_000).cast("bigint"))
-    partitioned.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*FILE_KEY).parquet(f"{out}/raw_records")
+    spread = records.repartition("raw_file_id", F.floor(F.col("row_number") / 1_000_000))
+    spread.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("source", "raw_file_id").parquet(f"{out}/raw_records")
 
     fs_path = spark._jvm.org.apache.hadoop.fs.Path
-    empty = registry.select(*FILE_KEY).join(records.select(*FILE_KEY).distinct(), FILE_KEY, "left_anti").collect()
-    for row in empty:
-        stale = fs_path(f"{out}/raw_records/source={row['source']}/file_name={row['file_name']}")
+    for row in registry.where("n_records = 0").select("source", "id").collect():
+        stale = fs_path(f"{out}/raw_records/source={row['source']}/raw_file_id={row['id']}")
         stale.getFileSystem(spark._jsc.hadoopConfiguration()).delete(stale, True)
 
     target, staged = fs_path(f"{out}/raw_files"), fs_path(f"{out}/raw_files__staged")
     fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
-    merged = upsert(spark.read.parquet(target.toString()), registry, FILE_KEY) if fs.exists(target) else registry
+    loaded = registry.drop("n_records")
+    merged = upsert(spark.read.parquet(target.toString()), loaded, FILE_KEY) if fs.exists(target) else loaded
     merged.write.mode("overwrite").parquet(staged.toString())
     fs.delete(target, True)
     fs.rename(staged, target)

@@ -79,7 +79,7 @@ SELECT hour, CAST(sum(CASE WHEN hour BETWEEN 0 AND 5 THEN 1 WHEN hour IS NOT NUL
   CAST(sum(CASE WHEN hour BETWEEN 18 AND 23 THEN 1 WHEN hour IS NOT NULL THEN 0 END) AS BIGINT) AS noite,
   CAST(sum(minute) AS BIGINT) AS minutes
 FROM (SELECT CASE WHEN event_type <> 'error' THEN CAST(hour(ts) AS BIGINT) END AS hour,
-             CASE WHEN event_type <> 'error' THEN minute(ts) END AS minute FROM events) GROUP BY hour""")
+             CASE WHEN event_type <> 'error' THEN minute(ts) END AS minute FROM events) GROUP BY hour""", "period_of_day")
 def period_of_day_counts(t: Tables) -> DataFrame:
     text = F.when(F.col("event_type") == "error", "24:00:00").otherwise(F.date_format("ts", "H:mm:ss"))
     timed = split_time(t.events.select(text.alias("time")), "time")
@@ -182,7 +182,7 @@ def first_match_category(t: Tables) -> DataFrame:
 
 @query(f"""
 SELECT DISTINCT trim(regexp_replace(lower(v), '[^a-z0-9]+', ' ', 'g')) AS "value"
-FROM (SELECT o_orderpriority AS v FROM ({SEGMENT_SQL}) WHERE categoria IS NULL UNION ALL SELECT c_mktsegment FROM ({SEGMENT_SQL}) WHERE categoria IS NULL)""")
+FROM (SELECT o_orderpriority AS v FROM ({SEGMENT_SQL}) WHERE categoria IS NULL UNION ALL SELECT c_mktsegment FROM ({SEGMENT_SQL}) WHERE categoria IS NULL)""", "unmapped_values")
 def unmapped_natures(t: Tables) -> DataFrame:
     return unmapped_values(_natures(t), SEGMENT_COLUMNS, SEGMENT_CATEGORIES, SEGMENT_FIXES, SEGMENT_DROP)
 
@@ -202,16 +202,27 @@ def one_hot_exclusive(t: Tables) -> DataFrame:
     )
 
 
+FLAGS = {"urgent": "1-URGENT", "high": "2-HIGH", "medium": "3-MEDIUM", "unspecified": "4-NOT SPECIFIED", "low": "5-LOW"}
+
+
+def _flags(t: Tables) -> DataFrame:
+    return t.orders.select("o_orderstatus", *[(F.col("o_orderpriority") == v).cast("int").alias(k) for k, v in FLAGS.items()])
+
+
 @query("""
-SELECT CAST(CASE WHEN o_orderpriority IN ('4-NOT SPECIFIED', '5-LOW') THEN 1 ELSE 0 END AS BIGINT) AS "OUTROS",
-       CASE o_orderpriority WHEN '1-URGENT' THEN 'urgent' WHEN '2-HIGH' THEN 'high' WHEN '3-MEDIUM' THEN 'medium' ELSE 'urgent' END AS label,
-       CAST(count(*) AS BIGINT) AS n
+SELECT o_orderstatus, CAST(CASE WHEN o_orderpriority IN ('4-NOT SPECIFIED', '5-LOW') THEN 1 ELSE 0 END AS BIGINT) AS "OUTROS", CAST(count(*) AS BIGINT) AS n
 FROM orders GROUP BY 1, 2""")
-def others_bucket_argmax(t: Tables) -> DataFrame:
-    names = {"urgent": "1-URGENT", "high": "2-HIGH", "medium": "3-MEDIUM", "unspecified": "4-NOT SPECIFIED", "low": "5-LOW"}
-    flags = t.orders.select(*[(F.col("o_orderpriority") == v).cast("int").alias(k) for k, v in names.items()])
+def others_bucket(t: Tables) -> DataFrame:
     pooled = any_positive(F.col("unspecified"), F.col("low")).cast("bigint")
-    return flags.groupBy(pooled.alias("OUTROS"), argmax_name(["urgent", "high", "medium"]).alias("label")).agg(F.count(F.lit(1)).alias("n"))
+    return _flags(t).groupBy("o_orderstatus", pooled.alias("OUTROS")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""
+SELECT o_orderstatus, CASE o_orderpriority WHEN '1-URGENT' THEN 'urgent' WHEN '2-HIGH' THEN 'high' WHEN '3-MEDIUM' THEN 'medium' ELSE 'urgent' END AS label, CAST(count(*) AS BIGINT) AS n
+FROM orders GROUP BY 1, 2""")
+def argmax_label(t: Tables) -> DataFrame:
+    """All flags zero gives the first name."""
+    return _flags(t).groupBy("o_orderstatus", argmax_name(["urgent", "high", "medium"]).alias("label")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("""

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..operators.aggregates import histogram, mean_by, two_level_mean
 from ..operators.ordering import exact_quantiles
-from ..plans.index import composite_index, normalize, quantile_class, ranking, weight_grid, weight_sensitivity
+from ..plans.index import composite_index, normalize, quantile_class, ranking, weight_grid, weight_scores, weight_sensitivity
 from ..plans.indicators import ConsistencyColumns, apply_consistency, attach_yearly, interpolate_years
 from ..plans.stats import effect_intercepts, ols_by, ols_fixed_effects, regression_line, unit_year_rates
 from .adapters import DOWN, INCIDENTS_SQL, IQV_SQL, NORMS, UNIT_YEAR_SQL, UP, incidents, unit_year
@@ -136,7 +136,7 @@ SELECT CAST(unit AS BIGINT) AS unit, round(avg(rk), 6) AS rank_medio, quantile_c
 FROM r GROUP BY unit"""
 
 
-@query(SENSITIVITY_SQL)
+@query(SENSITIVITY_SQL, "weight_sensitivity")
 def weight_sensitivity_summary(t: Tables) -> DataFrame:
     units = mean_by(normalize(unit_year(t), UP, DOWN), ["unit"], NORMS)
     out = weight_sensitivity(units, "unit", NORMS, weight_grid(6, 0.1, 0.1))
@@ -144,6 +144,23 @@ def weight_sensitivity_summary(t: Tables) -> DataFrame:
     return round_all(out, fields).withColumn("unit", F.col("unit").cast("bigint"))
 
 
+_WEIGHTS_SQL = SENSITIVITY_SQL[: SENSITIVITY_SQL.index(",\nr AS (")]
+
+
+@query(f"""{_WEIGHTS_SQL}, k AS (SELECT id, CAST(row_number() OVER (ORDER BY id) - 1 AS BIGINT) AS weight_id FROM w)
+SELECT weight_id, round(CAST(any_value(w.a) AS DOUBLE), 6) AS w_first, round(CAST(any_value(w.f) AS DOUBLE), 6) AS w_last, CAST(count(*) AS BIGINT) AS n,
+  round(min(score), 6) AS lowest, round(max(score), 6) AS highest FROM s JOIN k ON k.id = s.id JOIN w ON w.id = s.id GROUP BY weight_id""")
+def weight_compositions(t: Tables) -> DataFrame:
+    """Every weight vector with the range of scores it gives to the units."""
+    units = mean_by(normalize(unit_year(t), UP, DOWN), ["unit"], NORMS)
+    grid = weight_grid(6, 0.1, 0.1)
+    vectors = F.array(*[F.array(*[F.lit(float(w)) for w in v]) for v in grid])
+    scores = weight_scores(units, "unit", NORMS, grid).groupBy("weight_id").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("lowest"), F.max("score").alias("highest"))
+    vector = F.get(vectors, F.col("weight_id"))
+    out = scores.select(F.col("weight_id").cast("bigint"), vector[0].alias("w_first"), vector[5].alias("w_last"), "n", "lowest", "highest")
+    return round_all(out, ["w_first", "w_last", "lowest", "highest"])
+
+
 @query(f"""WITH {IQV_SQL}, u AS (SELECT unit, avg("IQV_final") AS v FROM iqv GROUP BY unit), n AS (SELECT u.unit, CASE WHEN u.unit <> 5 THEN v END AS v FROM u),
 q AS (SELECT quantile_cont(v, 0.25) AS p25, quantile_cont(v, 0.75) AS p75 FROM n)
 SELECT CAST(unit AS BIGINT) AS unit, CASE WHEN v <= p25 THEN 'IQV baixo' WHEN v > p25 AND v < p75 THEN 'IQV médio' WHEN v >= p75 THEN 'IQV alto' ELSE 'Sem dados' END AS classe
@@ -170,7 +187,7 @@ def exact_quantiles_by_flag(t: Tables) -> DataFrame:
 
 
 @query(f"""WITH {IQV_SQL}, y AS (SELECT unit, ano, avg("IQV_final") AS v FROM iqv GROUP BY unit, ano)
-SELECT CAST(unit AS BIGINT) AS unit, round(avg(v), 6) AS "IQV_final" FROM y GROUP BY unit""")
+SELECT CAST(unit AS BIGINT) AS unit, round(avg(v), 6) AS "IQV_final" FROM y GROUP BY unit""", "two_level_mean")
 def two_level_mean_index(t: Tables) -> DataFrame:
     out = two_level_mean(_iqv(t), "unit", "ano", ["IQV_final"])
     return out.select(F.col("unit").cast("bigint"), rounded("IQV_final").alias("IQV_final"))

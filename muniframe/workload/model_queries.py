@@ -43,18 +43,18 @@ def poisson_glm_cv(t: Tables) -> DataFrame:
     return cv_results(_cv(t, ["poisson_glm"]), ["categoria"])
 
 
-@query()
+@query(name="tweedie_glm")
 def linear_count_models_cv(t: Tables) -> DataFrame:
     """Regularised Poisson and Tweedie, pooled over categories."""
     return cv_results(_cv(t, ["poisson_regressor", "tweedie_regressor"]))
 
 
-@query()
+@query(name="rf_cv")
 def forest_models_cv(t: Tables) -> DataFrame:
     return cv_results(_cv(t, ["random_forest", "extra_trees"]))
 
 
-@query()
+@query(name="gbt_cv")
 def boosted_models_cv(t: Tables) -> DataFrame:
     return cv_results(_cv(t, ["gradient_boosting", "boosted_poisson"]))
 
@@ -84,7 +84,7 @@ def refit_and_compare(t: Tables) -> DataFrame:
     return overall_comparison({"cross_validated": winning_predictions(predictions, best), "refit": fitted, "naive": naive})
 
 
-@query()
+@query(name="random_search")
 def random_search_per_category(t: Tables) -> DataFrame:
     grid = {"maxIter": (5, 10), "stepSize": (0.05, 0.1), "maxDepth": (2, 3)}
     summary, _ = random_search(
@@ -115,7 +115,7 @@ def _evaluated(t: Tables, kind: str, params: dict) -> DataFrame:
     )
 
 
-@query()
+@query(name="logreg_eval")
 def logistic_eval(t: Tables) -> DataFrame:
     return _evaluated(t, "regressao_logistica", {"maxIter": 50})
 
