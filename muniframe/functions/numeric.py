@@ -7,12 +7,18 @@ from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
+BLANKS = " \t\r\n"
 
 
 def to_number(c: Column) -> Column:
-    """Lenient cast: plain decimal notation or null (``inf``, ``nan``, ``1d`` are null)."""
-    return F.when(c.rlike(NUMBER), c.try_cast("double"))
+    """Lenient cast: plain decimal notation or null.
+
+    The cast also takes ``inf``, ``nan``, ``1d`` and hexadecimal; a plain number ends in
+    a digit or a point and has no ``x``, which is cheaper to test than a pattern.
+    """
+    last = F.right(F.rtrim(c, F.lit(BLANKS)), F.lit(1))
+    plain = last.between("0", "9") | (last == ".")
+    return F.when(plain & ~F.contains(F.lower(c), F.lit("x")), c.try_cast("double"))
 
 
 def parse_census_number(c: Column, null_tokens: Iterable[str] = ("X", "", "nan")) -> Column:
@@ -87,6 +93,11 @@ def row_sum(*cols: Column) -> Column:
     return total
 
 
+def array_sum(values: Column) -> Column:
+    """Sum of an array with nulls skipped (0 when all are null)."""
+    return F.aggregate(values, F.lit(0.0), lambda total, x: total + F.coalesce(x, F.lit(0.0)))
+
+
 def row_mean(*cols: Column) -> Column:
     """Mean across columns with nulls skipped, null when all are null."""
     count = F.lit(0)

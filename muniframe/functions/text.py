@@ -29,38 +29,48 @@ def _unmarked_image(ch: str) -> str:
     return "".join(x for x in unicodedata.normalize("NFKD", ch) if not unicodedata.combining(x))
 
 
+def _words_image(ch: str) -> str:
+    """Lower-cased ASCII image with everything but letters and digits as a space."""
+    return "".join(x if x.isalnum() else " " for x in _ascii_image(ch.lower()))
+
+
+def _lower_unmarked_image(ch: str) -> str:
+    return _unmarked_image(ch.lower())
+
+
 @lru_cache(maxsize=None)
-def _tables(image_name: str, wide: bool) -> tuple[str, str, str, dict[str, str]]:
-    """(from, to, deleted, multi) so that translate() does every 1:1 and 1:0 case."""
-    image = {"ascii": _ascii_image, "unmarked": _unmarked_image}[image_name]
-    ranges = WIDE if wide else (LATIN1,)
-    source, target, deleted, multi = [], [], [], {}
-    for ch in (chr(cp) for block in ranges for cp in block if not 0xD800 <= cp < 0xE000):
-        out = image(ch)
-        if out == ch:
-            continue
-        if len(out) == 1:
-            source.append(ch)
-            target.append(out)
-        elif out:
-            multi[ch] = out
-        elif not wide:
-            deleted.append(ch)
-    return "".join(source), "".join(target), "".join(deleted), multi
-
-
-def _fold(c: Column, image: str, unicode: bool) -> Column:
-    source, target, deleted, multi = _tables(image, unicode)
-    if unicode:
-        # Rare multi-letter forms are expanded only in rows that contain one.
-        pattern = "[" + "".join(sorted(multi)) + "]"
-        chars = F.split(c, "")
-        expanded = F.array_join(F.transform(chars, lambda ch: recode(ch, multi)), "")
-        c = F.when(c.rlike(pattern), expanded).otherwise(c)
-    else:
-        for ch, out in multi.items():
-            c = F.replace(c, F.lit(ch), F.lit(out))
-    return F.translate(c, source + deleted, target)
+def _latin1_tables(image) -> tuple[str, str, dict[str, str]]:
+    """(from, to, multi) over latin-1: one translate() call does every 1:1 case and every deletion."""
+    images = {chr(cp): image(chr(cp)) for cp in range(0x100)}
+    single = {ch: out for ch, out in images.items() if len(out) == 1 and out != ch}
+    deleted = [ch for ch, out in images.items() if not out]
+    return "".join([*single, *deleted]), "".join(single.values()), {ch: out for ch, out in images.items() if len(out) > 1}
+
+
+@lru_cache(maxsize=None)
+def _wide_tables(image) -> tuple[str, str, dict[str, str]]:
+    """The same over all scripts, without deletions; for lower-cased text."""
+    images = {ch: image(ch) for ch in (chr(cp) for block in WIDE for cp in block if not 0xD800 <= cp < 0xE000)}
+    single = {ch: out for ch, out in images.items() if len(out) == 1 and out != ch}
+    return "".join(single), "".join(single.values()), {ch: out for ch, out in images.items() if len(out) > 1}
+
+
+def _fold_latin1(c: Column, image) -> Column:
+    source, target, multi = _latin1_tables(image)
+    for ch, out in multi.items():
+        c = F.replace(c, F.lit(ch), F.lit(out))
+    return F.translate(c, source, target)
+
+
+def _fold_wide(c: Column, image) -> Column:
+    """Rare multi-letter forms are expanded only in rows that contain one."""
+    source, target, multi = _wide_tables(image)
+    expanded = F.array_join(F.transform(F.split(c, ""), lambda ch: recode(ch, multi)), "")
+    c = F.when(c.rlike("[" + "".join(sorted(multi)) + "]"), expanded).otherwise(c)
+    return F.translate(c, source, target)
+
+
+NOT_ASCII = r"[^\x00-\x7F]+"
 
 
 def clean_text(c: Column, unicode: bool = False) -> Column:
@@ -68,16 +78,33 @@ def clean_text(c: Column, unicode: bool = False) -> Column:
 
     Accents fold to their base letter, characters without an ASCII image are
     deleted (not spaced), every other run of non-alphanumerics becomes one space.
+    For latin-1 text one character table does all of it but the collapsing.
     """
-    folded = _fold(F.lower(c), "ascii", unicode)
-    ascii_only = F.regexp_replace(folded, r"[^\x00-\x7F]+", "")
-    return F.nullif(F.trim(F.regexp_replace(ascii_only, r"[^a-z0-9]+", " ")), F.lit(""))
+    if unicode:
+        ascii_only = F.regexp_replace(_fold_wide(F.lower(c), _ascii_image), NOT_ASCII, "")
+        spaced = F.regexp_replace(ascii_only, r"[^a-z0-9]+", " ")
+    else:
+        spaced = F.regexp_replace(F.regexp_replace(_fold_latin1(c, _words_image), NOT_ASCII, ""), " {2,}", " ")
+    return F.nullif(F.trim(spaced), F.lit(""))
+
+
+@lru_cache(maxsize=1)
+def _letter_class() -> str:
+    letters = [chr(cp) for cp in LATIN1 if any(x.isalnum() for x in _ascii_image(chr(cp)))]
+    return "[A-Za-z0-9" + "".join(letters) + "]"
+
+
+def has_text(c: Column) -> Column:
+    """True where :func:`clean_text` (latin-1) is not null, at the price of finding one letter."""
+    return F.coalesce(c.rlike(_letter_class()), F.lit(False))
 
 
 def normalize_name(c: Column, aliases: Mapping[str, str] | None = None, unicode: bool = False) -> Column:
     """Lower-case, drop combining marks only (punctuation stays), collapse spaces, apply aliases."""
-    folded = _fold(F.lower(c), "unmarked", unicode)
-    unmarked = F.regexp_replace(folded, r"\p{M}+", "") if unicode else folded
+    if unicode:
+        unmarked = F.regexp_replace(_fold_wide(F.lower(c), _unmarked_image), r"\p{M}+", "")
+    else:
+        unmarked = _fold_latin1(c, _lower_unmarked_image)
     return recode(F.trim(F.regexp_replace(unmarked, SPACES, " ")), aliases or {})
 
 
@@ -98,6 +125,13 @@ def standardize_category(
     return F.when(~value.isin(sorted(discard)), kept)
 
 
+def standard_names(discard: Iterable[str], mapping: Mapping[str, str], allowed: Iterable[str]) -> dict[str, str]:
+    """:func:`standardize_category` as one dictionary: cleaned name -> official name."""
+    allowed = set(allowed)
+    names = {name: mapping.get(name, name) for name in (*allowed, *mapping)}
+    return {raw: name for raw, name in names.items() if raw not in set(discard) and name in allowed}
+
+
 TRUE_WORDS = ("sim", "y", "t", "1")
 # Day name -> day number, Sunday first.
 WEEKDAYS_PT = {"domingo": 1, "segunda": 2, "terca": 3, "quarta": 4, "quinta": 5, "sexta": 6, "sabado": 7}

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import vocab
 from ..functions.lookup import recode
-from ..functions.numeric import parse_census_number, parse_ptbr_number, pct, positive_ratio, row_sum, to_number
+from ..functions.numeric import array_sum, parse_census_number, parse_ptbr_number, pct, positive_ratio, to_number
 from ..functions.text import clean_text
 from ..operators.aggregates import aggregate_units
 from ..operators.joins import checked_join, outer_profile
@@ -54,12 +54,19 @@ def census_2010(
     """Sector files rolled up to neighbourhoods, then combined 1:1 by full-outer joins."""
     dim = sector_dimension(basico, municipality)
 
-    def rolled(df: DataFrame, cols: Sequence[str], sums: Mapping[str, Column] | None = None) -> DataFrame:
-        # Row-wise totals come before the join and the shuffle: only the totals travel.
-        parsed = df.select(SECTOR, *[parse_census_number(F.col(c)).alias(c) for c in cols])
-        if sums:
-            parsed = parsed.select(SECTOR, *[c.alias(n) for n, c in sums.items()])
-        return aggregate_units(parsed, UNIT_2010, list(sums or cols), True, dim, SECTOR)
+    def rolled(df: DataFrame, cols: Sequence[str], totals: Mapping[str, int] | None = None) -> DataFrame:
+        """Sums per neighbourhood of ``cols``, or of row totals that start at a position of ``cols``.
+
+        All cells go through one parsing expression. Row-wise totals come before the
+        join and the shuffle: only the totals travel.
+        """
+        cells = df.select(SECTOR, F.transform(F.array(*cols), lambda x: parse_census_number(x)).alias("v"))
+        if totals is None:
+            out = {c: F.col("v")[i] for i, c in enumerate(cols)}
+        else:
+            out = {name: array_sum(F.slice("v", start + 1, len(cols) - start)) for name, start in totals.items()}
+        values = cells.select(SECTOR, *[c.alias(n) for n, c in out.items()])
+        return aggregate_units(values, UNIT_2010, list(out), True, dim, SECTOR)
 
     people = basico.where(F.col("Cod_municipio") == municipality).withColumn("V002", to_number(F.col("V002")))
     population = aggregate_units(people, UNIT_2010, ["V002"], null_zero=False).withColumnRenamed("V002", "populacao_2010")
@@ -84,11 +91,9 @@ def census_2010(
     )
     income = checked_join(income, heads, UNIT_2010, "left", "1:1")
 
-    read10, read15 = numbered("V", 7, 77), numbered("V", 12, 77)
-    pop10, pop15 = numbered("V", 44, 134), numbered("V", 49, 134)
-    literate = rolled(alf, read10, {
-        "alfabetizados_10mais": row_sum(*map(F.col, read10)), "alfabetizados_15mais": row_sum(*map(F.col, read15))})
-    ages = rolled(idade, pop10, {"pop_10mais": row_sum(*map(F.col, pop10)), "pop_15mais": row_sum(*map(F.col, pop15))})
+    # The 15+ totals leave out the first five single-year columns (ages 10 to 14).
+    literate = rolled(alf, numbered("V", 7, 77), {"alfabetizados_10mais": 0, "alfabetizados_15mais": 5})
+    ages = rolled(idade, numbered("V", 44, 134), {"pop_10mais": 0, "pop_15mais": 5})
     schooling = literate.join(ages, UNIT_2010)
     rate10 = pct(F.col("alfabetizados_10mais"), F.col("pop_10mais"))
     rate15 = pct(F.col("alfabetizados_15mais"), F.col("pop_15mais"))
@@ -136,8 +141,8 @@ def census_2022(
         (pay / vocab.MINIMUM_WAGE[2022]).alias("rendimento_medio_responsavel_sm"),
     )
     # Literacy cells keep their separators: only plain numbers count.
-    pop15 = row_sum(*[to_number(F.col(c)) for c in numbered("V", 644, 656, 5)])
-    read15 = row_sum(*[to_number(F.col(c)) for c in numbered("V", 748, 760, 5)])
+    pop15 = array_sum(F.transform(F.array(*numbered("V", 644, 656, 5)), to_number))
+    read15 = array_sum(F.transform(F.array(*numbered("V", 748, 760, 5)), to_number))
     schooling = local(alf).select(*UNIT_2022, pop15.alias("pop_15mais"), read15.alias("alfabetizados_15mais"))
     missing = F.col("pop_15mais") - F.col("alfabetizados_15mais")
     schooling = schooling.withColumns({
@@ -148,9 +153,12 @@ def census_2022(
 
     v1 = ["V00001", "V00002", "V00052"]
     v2 = ["V00238", *numbered("V", 312, 314, 5), "V00316", "V00464", *numbered("V", 399, 402, 5)]
-    parsed1 = local(dom1).select(*UNIT_2022, *[parse_ptbr_number(F.col(c)).alias(c) for c in v1])
-    parsed2 = local(dom2).select(*UNIT_2022, *[parse_ptbr_number(F.col(c)).alias(c) for c in v2])
-    homes = aggregate_units(checked_join(parsed1, parsed2, UNIT_2022, "inner", "1:1"), UNIT_2022, v1 + v2)
+
+    def parsed(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+        cells = local(df).select(*UNIT_2022, F.transform(F.array(*cols), parse_ptbr_number).alias("v"))
+        return cells.select(*UNIT_2022, *[F.col("v")[i].alias(c) for i, c in enumerate(cols)])
+
+    homes = aggregate_units(checked_join(parsed(dom1, v1), parsed(dom2, v2), UNIT_2022, "inner", "1:1"), UNIT_2022, v1 + v2)
     occupied = F.col("V00001")
     lacking = {
         "sem_banheiro_sanitario": F.col("V00238"),

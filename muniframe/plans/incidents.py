@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from .. import vocab
 from ..functions.dates import DAY_MONTH_YEAR, TIMESTAMP_FRACTION, hour_minute, parse_date, period_of_day
 from ..functions.lookup import vocabulary_frame
-from ..functions.text import clean_text, map_binary, map_weekday_pt, standardize_category
+from ..functions.text import clean_text, has_text, map_binary, map_weekday_pt, standard_names
 from ..operators.joins import common_keys, union_schemas
 
+VAGUE = "__vague"
+
 
 def split_date(
     df: DataFrame, col: str, fmt: str, names: Sequence[str] = ("OCORRENCIA_ANO", "OCORRENCIA_MES", "OCORRENCIA_DIA"), drop: bool = True
@@ -66,34 +69,34 @@ def category_index(categories: Mapping[str, Iterable[str]]) -> dict[str, str]:
     return index
 
 
+def composed_vocabulary(categories: Mapping[str, Iterable[str]], fixes: Mapping[str, str], drop_if: Iterable[str]) -> dict[str, str]:
+    """cleaned value -> category, typo fixes applied; values that drop the row map to ``VAGUE``."""
+    index = {**category_index(categories), **{v: VAGUE for v in drop_if}}
+    fixed = {raw: index.get(target) for raw, target in fixes.items()}
+    return {k: v for k, v in {**index, **fixed}.items() if v is not None}
+
+
 def first_category(
-    df: DataFrame, cols: Sequence[str], categories: Mapping[str, Iterable[str]], fixes: Mapping[str, str], drop_if: Iterable[str], out: str = "categoria"
+    df: DataFrame, cols: Sequence[str], categories: Mapping[str, Iterable[str]], fixes: Mapping[str, str], drop_if: Iterable[str], out: str = "categoria",
+    cleaned: bool = False,
 ) -> DataFrame:
     """Category of the first column with a known value; rows without any value or with a vague one are dropped.
 
-    Typo fixes and categories are composed into one vocabulary up front, so each
-    column is one hash lookup in a broadcast table of Python-literal size.
+    Fixes, categories and drop list form one vocabulary, so each column is cleaned once
+    and looked up once in a broadcast hash table of Python-literal size. The helper
+    columns ``__n<i>`` (cleaned values) stay for reports.
     """
-    index = category_index(categories)
-    composed = {**index, **{raw: index[fixed] for raw, fixed in fixes.items() if fixed in index}}
-    unfixed = [raw for raw, fixed in fixes.items() if fixed not in index]
-    for raw in unfixed:
-        composed.pop(raw, None)
-    vague = set(drop_if)
-    vague = {v for v in vague if v not in fixes} | {raw for raw, fixed in fixes.items() if fixed in vague}
-
+    vocabulary = composed_vocabulary(categories, fixes, drop_if)
     present = [c for c in cols if c in df.columns]
-    clean = {f"__n{i}": clean_text(F.col(c)) for i, c in enumerate(present)}
-    tagged = df.withColumns(clean).where(F.coalesce(*[F.col(n) for n in clean]).isNotNull())
-    is_vague: Column = F.lit(False)
-    for n in clean:
-        is_vague = is_vague | F.coalesce(F.col(n).isin(sorted(vague)), F.lit(False))
-    tagged = tagged.where(~is_vague)
-    for i, n in enumerate(clean):
-        known = F.broadcast(vocabulary_frame(df.sparkSession, composed, n, f"__c{i}"))
-        tagged = tagged.join(known, n, "left")
-    found = F.coalesce(*[F.col(f"__c{i}") for i in range(len(present))])
-    return tagged.withColumn(out, found).select(*df.columns, *clean, out)
+    any_text = reduce(lambda a, b: a | b, [has_text(F.col(c)) for c in present])
+    tagged = df.where(any_text)
+    for i, c in enumerate(present):
+        known = F.broadcast(vocabulary_frame(df.sparkSession, vocabulary, f"__k{i}", f"__c{i}"))
+        tagged = tagged.withColumn(f"__n{i}", F.col(c) if cleaned else clean_text(F.col(c)))
+        tagged = tagged.join(known, F.col(f"__n{i}") == F.col(f"__k{i}"), "left")
+    found = [F.col(f"__c{i}") for i in range(len(present))]
+    is_vague = reduce(lambda a, b: a | b, [F.coalesce(c == VAGUE, F.lit(False)) for c in found])
+    return tagged.where(~is_vague).withColumn(out, F.coalesce(*found)).select(*df.columns, *[f"__n{i}" for i in range(len(present))], out)
 
 
 def classify_first_match(
@@ -103,9 +106,10 @@ def classify_first_match(
     fixes: Mapping[str, str] = vocab.NATURE_FIXES,
     drop_if: Iterable[str] = vocab.UNDETERMINED_NATURES,
     strict: bool = True,
+    cleaned: bool = False,
 ) -> DataFrame:
     """Exclusive 0/1 column per category. ``strict`` fails on a row without category."""
-    tagged = first_category(df, cols, categories, fixes, drop_if, "__categoria")
+    tagged = first_category(df, cols, categories, fixes, drop_if, "__categoria", cleaned)
     helpers = [c for c in tagged.columns if c.startswith("__n")]
     if strict:
         message = F.concat(F.lit("no category for: "), F.concat_ws(" | ", *helpers))
@@ -125,12 +129,21 @@ def unmapped_values(
 
 
 def clean_incidents(df: DataFrame, strict: bool = True) -> DataFrame:
-    """The whole cleaning job: one projection chain and broadcast lookups, no shuffle."""
+    """The whole cleaning job: projections and broadcast lookups, no shuffle.
+
+    Rows without a place or without any nature go first, on a cheap test of the raw
+    text that reaches the scan. The place is then an inner join with the dictionary of
+    valid spellings, which maps and filters at once.
+    """
+    natures = [c for c in vocab.NATURE_COLUMNS if c in df.columns]
+    some_nature = reduce(lambda a, b: a | b, [has_text(F.col(c)) for c in natures])
+    df = df.where(has_text(F.col(vocab.UNIT_COLUMN)) & some_nature)
+
     df = df.withColumns({c: clean_text(F.col(c)) for c in vocab.TEXT_COLUMNS if c in df.columns})
-    unit = standardize_category(
-        F.col(vocab.UNIT_COLUMN), (*vocab.INVALID_UNITS, *vocab.METROPOLITAN_UNITS), vocab.UNIT_FIXES, vocab.OFFICIAL_UNITS, clean=False
-    )
-    df = df.withColumn(vocab.UNIT_COLUMN, unit).where(F.col(vocab.UNIT_COLUMN).isNotNull())
+    names = standard_names((*vocab.INVALID_UNITS, *vocab.METROPOLITAN_UNITS), vocab.UNIT_FIXES, vocab.OFFICIAL_UNITS)
+    official = F.broadcast(vocabulary_frame(df.sparkSession, names, vocab.UNIT_COLUMN, "__official"))
+    df = df.join(official, vocab.UNIT_COLUMN).withColumn(vocab.UNIT_COLUMN, F.col("__official")).drop("__official")
+
     df = df.withColumns({c: map_binary(F.col(c)) for c in vocab.BINARY_COLUMNS if c in df.columns})
     if vocab.WEEKDAY_COLUMN in df.columns:
         df = df.withColumn(vocab.WEEKDAY_COLUMN, map_weekday_pt(F.col(vocab.WEEKDAY_COLUMN)))
@@ -138,4 +151,4 @@ def clean_incidents(df: DataFrame, strict: bool = True) -> DataFrame:
     hour = f"{vocab.HOUR_COLUMN}_HORA"
     if hour in df.columns:
         df = df.withColumns(period_of_day(F.col(hour)))
-    return classify_first_match(df, strict=strict).drop(*vocab.DROP_COLUMNS)
+    return classify_first_match(df, strict=strict, cleaned=True).drop(*vocab.DROP_COLUMNS)

@@ -54,9 +54,9 @@ def incident_cleaning(t: Tables) -> DataFrame:
     )
 
 
-def _census_value(i: int) -> Column:
+def _census_value(name: str) -> str:
     """A whole number per customer and variable, written as text."""
-    return F.floor(F.abs("c_acctbal") / (100 + i)).cast("string")
+    return f"cast(floor(abs(c_acctbal) / {100 + int(name[1:])}) AS string) AS {name}"
 
 
 def _value_sql(*numbers: int) -> str:
@@ -77,16 +77,15 @@ SELECT lower(replace(n_name, '_', ' ')) AS unit, CAST(sum(CASE WHEN c_mktsegment
 FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey = 0 GROUP BY n_name""")
 def census_2010_units(t: Tables) -> DataFrame:
     """Customers as census sectors, nations as neighbourhoods, region 0 as the municipality."""
-    def file(columns: list[str], **fixed: Column) -> DataFrame:
-        values = {c: _census_value(int(c[1:])) for c in columns}
-        return t.customer.select(F.col("c_custkey").cast("string").alias("Cod_setor"), *[c.alias(n) for n, c in {**values, **fixed}.items()])
+    def file(columns: list[str], *fixed: str) -> DataFrame:
+        return t.customer.selectExpr("cast(c_custkey AS string) AS Cod_setor", *map(_census_value, columns), *fixed)
 
     places = t.nation.select("n_nationkey", "n_name", F.when(F.col("n_regionkey") == 0, vocab.MUNICIPALITY_CODE).otherwise("1").alias("Cod_municipio"))
     basico = t.customer.join(places, F.col("c_nationkey") == F.col("n_nationkey")).select(
         F.col("c_custkey").cast("string").alias("Cod_setor"), F.col("c_nationkey").cast("string").alias("Cod_bairro"), F.col("n_name").alias("Nome_do_bairro"), "Cod_municipio",
         F.when(F.col("c_mktsegment") == "BUILDING", "X").otherwise("10").alias("V002"),
     )
-    renda = file(["V001", "V002", *numbered("V", 6, 10), "V020"], V003=F.lit("X"))
+    renda = file(["V001", "V002", *numbered("V", 6, 10), "V020"], "'X' AS V003")
     resp = file(["V020", "V021", "V022"])
     dom = file(["V002", *numbered("V", 13, 15), *numbered("V", 19, 23), *numbered("V", 38, 42)])
     out = census_2010(basico, renda, resp, file(numbered("V", 7, 77)), file(numbered("V", 44, 134)), dom)
