@@ -73,19 +73,27 @@ def _fold_wide(c: Column, image) -> Column:
 NOT_ASCII = r"[^\x00-\x7F]+"
 
 
-def clean_text(c: Column, unicode: bool = False) -> Column:
-    """Lower-case ASCII letters, digits and single spaces; empty becomes null.
+def clean_words(c: Column, unicode: bool = False) -> Column:
+    """:func:`clean_text` with an empty string where that gives null.
 
-    Accents fold to their base letter, characters without an ASCII image are
-    deleted (not spaced), every other run of non-alphanumerics becomes one space.
-    For latin-1 text one character table does all of it but the collapsing.
+    Never null, so a join on it adds no null filter that would evaluate it again.
     """
     if unicode:
         ascii_only = F.regexp_replace(_fold_wide(F.lower(c), _ascii_image), NOT_ASCII, "")
         spaced = F.regexp_replace(ascii_only, r"[^a-z0-9]+", " ")
     else:
         spaced = F.regexp_replace(F.regexp_replace(_fold_latin1(c, _words_image), NOT_ASCII, ""), " {2,}", " ")
-    return F.nullif(F.trim(spaced), F.lit(""))
+    return F.coalesce(F.trim(spaced), F.lit(""))
+
+
+def clean_text(c: Column, unicode: bool = False) -> Column:
+    """Lower-case ASCII letters, digits and single spaces; empty becomes null.
+
+    Accents fold to their base letter, characters without an ASCII image are
+    deleted (not spaced), every other run of non-alphanumerics becomes one space.
+    For latin-1 text one character table does all of it but the collapsing.
+    """
+    return F.nullif(clean_words(c, unicode), F.lit(""))
 
 
 @lru_cache(maxsize=1)

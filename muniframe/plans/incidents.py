@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterable, Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import vocab
 from ..functions.dates import DAY_MONTH_YEAR, TIMESTAMP_FRACTION, hour_minute, parse_date, period_of_day
 from ..functions.lookup import vocabulary_frame
-from ..functions.text import clean_text, has_text, map_binary, map_weekday_pt, standard_names
+from ..functions.text import clean_text, clean_words, has_text, map_binary, map_weekday_pt, standard_names
 from ..operators.joins import common_keys, union_schemas
 
 VAGUE = "__vague"
@@ -78,25 +78,38 @@ def composed_vocabulary(categories: Mapping[str, Iterable[str]], fixes: Mapping[
 
 def first_category(
     df: DataFrame, cols: Sequence[str], categories: Mapping[str, Iterable[str]], fixes: Mapping[str, str], drop_if: Iterable[str], out: str = "categoria",
-    cleaned: bool = False,
+    words: Sequence[str] = (),
 ) -> DataFrame:
     """Category of the first column with a known value; rows without any value or with a vague one are dropped.
 
     Fixes, categories and drop list form one vocabulary, so each column is cleaned once
-    and looked up once in a broadcast hash table of Python-literal size. The helper
-    columns ``__n<i>`` (cleaned values) stay for reports.
+    and looked up once in a broadcast hash table of Python-literal size. ``words`` names
+    columns that already hold the cleaned values of rows with some text; otherwise
+    helper columns ``__n<i>`` are added.
     """
     vocabulary = composed_vocabulary(categories, fixes, drop_if)
-    present = [c for c in cols if c in df.columns]
-    any_text = reduce(lambda a, b: a | b, [has_text(F.col(c)) for c in present])
-    tagged = df.where(any_text)
-    for i, c in enumerate(present):
+    keys = list(words)
+    if not keys:
+        present = [c for c in cols if c in df.columns]
+        df = df.where(any_text(present))
+        keys = [f"__n{i}" for i in range(len(present))]
+        df = df.withColumns({k: clean_words(F.col(c)) for k, c in zip(keys, present)})
+    found = []
+    for i, key in enumerate(keys):
         known = F.broadcast(vocabulary_frame(df.sparkSession, vocabulary, f"__k{i}", f"__c{i}"))
-        tagged = tagged.withColumn(f"__n{i}", F.col(c) if cleaned else clean_text(F.col(c)))
-        tagged = tagged.join(known, F.col(f"__n{i}") == F.col(f"__k{i}"), "left")
-    found = [F.col(f"__c{i}") for i in range(len(present))]
+        df = df.join(known, F.col(key) == F.col(f"__k{i}"), "left").drop(f"__k{i}")
+        found.append(F.col(f"__c{i}"))
     is_vague = reduce(lambda a, b: a | b, [F.coalesce(c == VAGUE, F.lit(False)) for c in found])
-    return tagged.where(~is_vague).withColumn(out, F.coalesce(*found)).select(*df.columns, *[f"__n{i}" for i in range(len(present))], out)
+    return df.where(~is_vague).withColumn(out, F.coalesce(*found)).drop(*[f"__c{i}" for i in range(len(keys))])
+
+
+def any_text(cols: Sequence[str]) -> Column:
+    """Some column has text left after cleaning, told from the raw text."""
+    return reduce(lambda a, b: a | b, [has_text(F.col(c)) for c in cols])
+
+
+def _helpers(df: DataFrame) -> list[str]:
+    return [c for c in df.columns if c.startswith("__n")]
 
 
 def classify_first_match(
@@ -106,16 +119,15 @@ def classify_first_match(
     fixes: Mapping[str, str] = vocab.NATURE_FIXES,
     drop_if: Iterable[str] = vocab.UNDETERMINED_NATURES,
     strict: bool = True,
-    cleaned: bool = False,
+    words: Sequence[str] = (),
 ) -> DataFrame:
     """Exclusive 0/1 column per category. ``strict`` fails on a row without category."""
-    tagged = first_category(df, cols, categories, fixes, drop_if, "__categoria", cleaned)
-    helpers = [c for c in tagged.columns if c.startswith("__n")]
+    tagged = first_category(df, cols, categories, fixes, drop_if, "__categoria", words)
     if strict:
-        message = F.concat(F.lit("no category for: "), F.concat_ws(" | ", *helpers))
-        tagged = tagged.where(F.assert_true(F.col("__categoria").isNotNull(), message).isNull())
+        values = F.array_join(F.array_remove(F.array(*(words or _helpers(tagged))), ""), " | ")
+        tagged = tagged.where(F.assert_true(F.col("__categoria").isNotNull(), F.concat(F.lit("no category for: "), values)).isNull())
     flags = {c: F.coalesce((F.col("__categoria") == c).cast("int"), F.lit(0)) for c in categories}
-    return tagged.withColumns(flags).drop("__categoria", *helpers)
+    return tagged.withColumns(flags).drop("__categoria", *_helpers(tagged))
 
 
 def unmapped_values(
@@ -123,9 +135,8 @@ def unmapped_values(
 ) -> DataFrame:
     """Distinct cleaned values of rows that end up without a category."""
     tagged = first_category(df, cols, categories, fixes, drop_if, "__categoria").where(F.col("__categoria").isNull())
-    helpers = [c for c in tagged.columns if c.startswith("__n")]
-    values = tagged.select(F.explode(F.array(*helpers)).alias("value"))
-    return values.where(F.col("value").isNotNull()).distinct()
+    values = tagged.select(F.explode(F.array(*_helpers(tagged))).alias("value"))
+    return values.where(F.col("value") != "").distinct()
 
 
 def clean_incidents(df: DataFrame, strict: bool = True) -> DataFrame:
@@ -136,13 +147,16 @@ def clean_incidents(df: DataFrame, strict: bool = True) -> DataFrame:
     valid spellings, which maps and filters at once.
     """
     natures = [c for c in vocab.NATURE_COLUMNS if c in df.columns]
-    some_nature = reduce(lambda a, b: a | b, [has_text(F.col(c)) for c in natures])
-    df = df.where(has_text(F.col(vocab.UNIT_COLUMN)) & some_nature)
+    df = df.where(has_text(F.col(vocab.UNIT_COLUMN)) & any_text(natures))
 
-    df = df.withColumns({c: clean_text(F.col(c)) for c in vocab.TEXT_COLUMNS if c in df.columns})
+    # Place and natures are join keys and output columns: cleaned once, into columns of their own.
+    words = {c: f"__w_{c}" for c in (vocab.UNIT_COLUMN, *natures)}
+    others = [c for c in vocab.TEXT_COLUMNS if c in df.columns and c not in words]
+    df = df.withColumns({**{w: clean_words(F.col(c)) for c, w in words.items()}, **{c: clean_text(F.col(c)) for c in others}})
     names = standard_names((*vocab.INVALID_UNITS, *vocab.METROPOLITAN_UNITS), vocab.UNIT_FIXES, vocab.OFFICIAL_UNITS)
-    official = F.broadcast(vocabulary_frame(df.sparkSession, names, vocab.UNIT_COLUMN, "__official"))
-    df = df.join(official, vocab.UNIT_COLUMN).withColumn(vocab.UNIT_COLUMN, F.col("__official")).drop("__official")
+    official = F.broadcast(vocabulary_frame(df.sparkSession, names, words[vocab.UNIT_COLUMN], "__official"))
+    df = df.join(official, words[vocab.UNIT_COLUMN])
+    df = df.withColumns({vocab.UNIT_COLUMN: F.col("__official"), **{c: F.nullif(F.col(words[c]), F.lit("")) for c in natures}})
 
     df = df.withColumns({c: map_binary(F.col(c)) for c in vocab.BINARY_COLUMNS if c in df.columns})
     if vocab.WEEKDAY_COLUMN in df.columns:
@@ -151,4 +165,5 @@ def clean_incidents(df: DataFrame, strict: bool = True) -> DataFrame:
     hour = f"{vocab.HOUR_COLUMN}_HORA"
     if hour in df.columns:
         df = df.withColumns(period_of_day(F.col(hour)))
-    return classify_first_match(df, strict=strict, cleaned=True).drop(*vocab.DROP_COLUMNS)
+    classified = classify_first_match(df, strict=strict, words=[words[c] for c in natures])
+    return classified.drop("__official", *words.values(), *vocab.DROP_COLUMNS)
