@@ -43,13 +43,14 @@ def monthly_flag_counts(df: DataFrame, unit: str, date: str, flags: Sequence[str
 def dense_panel(counts: DataFrame, categories: Sequence[str], months: tuple[Date, Date] | None = None) -> DataFrame:
     """Every (unit, month, category) with its count, 0 where nothing happened.
 
+    Units and the month range are those of all events, listed category or not.
+
     ``counts`` comes from :func:`monthly_counts`. The grid is made by exploding a
     month sequence and the category list per unit; zero rows and real counts are
     then summed together, so filling takes no join and one shuffle, by series. ``counts`` is kept
     in executor storage because units and month range are read from it as well
     (the event table is scanned once).
     """
-    counts = counts.where(F.col("categoria").isin(*categories)) if months is None else counts
     counts = counts.persist()
     if months is None:
         span = counts.agg(F.struct(F.min("data").alias("lo"), F.max("data").alias("hi"))).scalar()

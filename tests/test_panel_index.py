@@ -41,6 +41,14 @@ def test_dense_panel_counts(panel, events):
     assert not got.duplicated(["unit", "data", "categoria"]).any()
 
 
+def test_dense_panel_spans_all_events(spark):
+    rows = [("x", date(2020, 2, 3), "A"), ("w", date(2020, 5, 3), "OTHER"), ("x", date(2019, 12, 31), "OTHER")]
+    dense = dense_panel(monthly_counts(spark.createDataFrame(rows, "u string, d date, c string"), "u", "d", "c"), CATS)
+    assert dense.count() == 2 * 6 * 2 and dense.agg(F.sum("y")).first()[0] == 1
+    bounded = dense_panel(monthly_counts(spark.createDataFrame(rows, "u string, d date, c string"), "u", "d", "c"), CATS, (date(2020, 1, 1), date(2020, 3, 1)))
+    assert bounded.count() == 2 * 3 * 2 and bounded.agg(F.sum("y")).first()[0] == 1
+
+
 def test_history_against_pandas(panel):
     got = naive_baselines(temporal_features(panel)).toPandas().sort_values(["unit", "categoria", "data"]).reset_index(drop=True)
     g = got.groupby(["unit", "categoria"])["y"]
