@@ -89,12 +89,13 @@ _FULL_HISTORY = " AND ".join(f"{c} IS NOT NULL" for c in FEATURES)
 
 @query(f"""WITH {HISTORY_SQL}
 SELECT {KEYS_SQL}, CAST((year(data) - (SELECT min(year(data)) FROM panel)) * 12 + month(data) AS BIGINT) AS tempo,
-  {', '.join(f'round({f}(2 * pi() * {k} * month(data) / 12), 6) AS mes_{f}_{k}' for k in (1, 2) for f in ('sin', 'cos'))},
+  {', '.join(f'round({f}(2 * pi() * {k} * month(data) / 12) + 1e-9, 6) AS mes_{f}_{k}' for k in (1, 2) for f in ('sin', 'cos'))},
   {', '.join(f'round(ln(1 + {c}), 6) AS log1p_{c}' for c in FEATURES)} FROM hist WHERE {_FULL_HISTORY}""")
 def cyclic_time_features(t: Tables) -> DataFrame:
     logs = [f"log1p_{c}" for c in FEATURES]
     out = features(t).select("unit", "data", "categoria", F.col("tempo").cast("bigint"), *_CYCLES, *logs)
-    return round_all(_keys(out), [*_CYCLES, *logs])
+    # The shift keeps a sine of about -1e-16 from becoming a negative zero in one engine only.
+    return round_all(_keys(out).withColumns({c: F.col(c) + 1e-9 for c in _CYCLES}), [*_CYCLES, *logs])
 
 
 @query(f"""WITH {_GAPS_SQL},

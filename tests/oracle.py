@@ -27,7 +27,7 @@ def _cell(v: object) -> object:
     if isinstance(v, bool) or v is None:
         return v
     if isinstance(v, (int, float)):
-        return None if isinstance(v, float) and math.isnan(v) else round(float(v), 6) + 0.0
+        return None if isinstance(v, float) and math.isnan(v) else round(float(v), 6)
     return str(v)
 
 

@@ -6,8 +6,8 @@ from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from muniframe.functions import (
-    argmax_name, any_positive, cast_columns, clean_text, clip, keep_or, map_binary, map_weekday_pt, normalize_name, parse_census_number, parse_ptbr_number,
-    period_of_day, round_half_even, row_mean, row_sum, standardize_category, strict_long, to_number,
+    argmax_name, any_positive, cast_columns, clean_text, clean_words, clip, has_text, keep_or, map_binary, map_weekday_pt, normalize_name, parse_census_number, parse_ptbr_number,
+    period_of_day, round_half_even, row_mean, row_sum, standard_names, standardize_category, strict_long, to_number,
 )
 from muniframe.functions.dates import DAY_MONTH_YEAR, TIMESTAMP_FRACTION, hour_minute, parse_date
 
@@ -32,6 +32,21 @@ def test_clean_text_every_latin1_character(spark):
     assert apply(spark, values, clean_text) == [ascii_words(v) for v in values]
 
 
+def test_cheap_text_test_agrees_with_cleaning(spark):
+    values = [chr(cp) for cp in range(1, 0x100)] + ["", " - ", None, "--a"]
+    df = spark.createDataFrame([(v,) for v in values], "v string")
+    assert df.where(has_text(F.col("v")) != clean_text(F.col("v")).isNotNull()).count() == 0
+    assert df.where(clean_words(F.col("v")).isNull()).count() == 0
+
+
+def test_standard_names_agrees_with_expression(spark):
+    discard, mapping, allowed = ["ni", "cic"], {"cic": "centro", "cc": "centro", "z": "moon", "centro": "batel"}, ["centro", "batel"]
+    names = standard_names(discard, mapping, allowed)
+    values = ["centro", "batel", "cic", "cc", "z", "ni", "moon"]
+    got = apply(spark, values, lambda c: standardize_category(c, discard, mapping, allowed))
+    assert got == [names.get(v) for v in values] == ["batel", "batel", None, "centro", None, None, None]
+
+
 def test_clean_text_unicode_mode(spark):
     values = ["Ｆｕｌｌ", "ﬁm", "Ⅳ", "naïve – café", "ŁódźŠ", "日本x", "…", None, ""]
     assert apply(spark, values, lambda c: clean_text(c, unicode=True)) == [None if v is None else ascii_words(v) for v in values]
