@@ -122,6 +122,7 @@ def cv_models(
     folder below the shared checkpoint directory, so neither the driver nor the
     final plan grows with folds times models.
     """
+    kept = features.is_cached
     features = features.persist()
     root = f"{ensure_checkpoint_dir(features.sparkSession).rstrip('/')}/cv-{uuid.uuid4().hex}"
     groups: list[tuple[str | None, object]] = [(None, None)]
@@ -153,7 +154,8 @@ def cv_models(
         with ThreadPoolExecutor(parallelism) as pool:
             paths = list(pool.map(run, tasks))
     finally:
-        features.unpersist()
+        if not kept:
+            features.unpersist()
     if not paths:
         raise ValueError("no fold has both training and validation rows")
     return features.sparkSession.read.option("basePath", root).parquet(root).drop("grupo")
@@ -181,12 +183,18 @@ def baseline_summary(panel: DataFrame, folds: TemporalFolds, baselines: Sequence
 def refit_winners(
     features: DataFrame, winners: Mapping[object, tuple[str, Mapping[str, object]]], column: str, numeric: Sequence[str], categorical: Sequence[str], label: str = "y"
 ) -> dict[object, PipelineModel]:
-    """One model per group on its full history."""
+    """One model per group on its full history. The features are kept while the solvers iterate over them."""
     cats = [c for c in categorical if c != column]
-    return {
-        value: fit_count_model(features.where(F.col(column) == value), kind, numeric, cats, params, label)
-        for value, (kind, params) in winners.items()
-    }
+    kept = features.is_cached
+    features = features.persist()
+    try:
+        return {
+            value: fit_count_model(features.where(F.col(column) == value), kind, numeric, cats, params, label)
+            for value, (kind, params) in winners.items()
+        }
+    finally:
+        if not kept:
+            features.unpersist()
 
 
 def save_model(model: PipelineModel, path: str) -> None:

@@ -71,10 +71,11 @@ def model_choice_per_category(t: Tables) -> DataFrame:
 @query()
 def refit_and_compare(t: Tables) -> DataFrame:
     """Winner's out-of-fold predictions, a refit on full history, and the naive forecast side by side."""
-    predictions = _cv(t, ["poisson_regressor"], by=True)
+    frame = _frame(t).persist()
+    spec = {"poisson_regressor": ("poisson_regressor", SMALL["poisson_regressor"])}
+    predictions = cv_models(frame, YEAR_FOLDS, spec, [*NUMERIC, *CYCLIC], GLOBAL_CATEGORICAL, {"categoria": CATEGORIES})
     best = best_models(cv_results(predictions, ["categoria"]))
     winners = {r["categoria"]: (r["modelo"], SMALL[r["modelo"]]) for r in best.collect()}  # one row per category
-    frame = _frame(t)
     models = refit_winners(frame, winners, "categoria", [*NUMERIC, *CYCLIC], GLOBAL_CATEGORICAL)
     fitted = None
     for value, model in models.items():
