@@ -8,20 +8,20 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 
+def repeated_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Keys that more than one row has, with their count. Only keys are moved, counted before the shuffle."""
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
+
+
 def require_unique(df: DataFrame, keys: Sequence[str], label: str = "join side") -> DataFrame:
-    """The same rows, failing at run time when a key repeats.
+    """The same rows, untouched; any job over them fails when a key repeats.
 
-    A map-side combined aggregate carries the row, so a repeated hot key reaches the
-    reducer as one partial row per task rather than as all its copies.
+    The check is one number: how many keys repeat, by a hash count of the keys alone, as a scalar subquery.
     """
-    keys = list(keys)
-    rest = [c for c in df.columns if c not in keys]
-    grouped = df.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("__n"), F.first(F.struct(*[F.col(c) for c in (rest or keys)])).alias("__row")
-    )
-    message = F.concat(F.lit(f"{label} is not unique on {keys}: "), F.to_json(F.struct(*keys)))
-    checked = grouped.where(F.assert_true(F.col("__n") == 1, message).isNull())
-    return checked.select(*[F.col(c) if c in keys else F.col(f"__row.{c}").alias(c) for c in df.columns])
+    message = F.concat(F.lit(f"{label} is not unique on {list(keys)}: "), F.col("sample"))
+    found = repeated_keys(df, keys).agg(F.min(F.to_json(F.struct(*keys))).alias("sample"))
+    verdict = found.select(F.assert_true(F.col("sample").isNull(), message).isNull().alias("ok")).scalar()
+    return df.where(verdict)
 
 
 def checked_join(a: DataFrame, b: DataFrame, on: Sequence[str], how: str = "inner", validate: str = "1:1") -> DataFrame:

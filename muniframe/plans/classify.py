@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass, replace
+from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
@@ -43,9 +45,12 @@ def classifier(kind: str, params: Mapping[str, object] | None = None):
     raise ValueError(f"unknown classifier {kind}")
 
 
-def label_codes(df: DataFrame, col: str) -> list[str]:
-    """Class names in alphabetical order (one driver row per class); the position is the code."""
-    return [r[0] for r in df.select(col).where(F.col(col).isNotNull()).distinct().orderBy(col).collect()]
+def label_codes(df: DataFrame, col: str, most: int = 1000) -> list[str]:
+    """Class names in alphabetical order; the position is the code. A column with over ``most`` classes is refused."""
+    names = [r[0] for r in df.select(col).where(F.col(col).isNotNull()).distinct().orderBy(col).limit(most + 1).collect()]
+    if len(names) > most:
+        raise ValueError(f"{col} has more than {most} classes")
+    return names
 
 
 def encode_label(df: DataFrame, col: str, classes: Sequence[str]) -> DataFrame:
@@ -81,8 +86,10 @@ def fit_imputer(train: DataFrame, numeric: Sequence[str], categorical: Sequence[
         for row in exact_quantiles(long, "value", {"median": 0.5}, by=["column"]).collect():
             fills[row["column"]] = f"{row['median']!r}D"
     if categorical:
-        modes = train.agg(*[F.mode(F.col(c), True).alias(c) for c in categorical]).first()
-        fills.update({c: "'" + modes[c].replace("\\", "\\\\").replace("'", "\\'") + "'" for c in categorical if modes[c] is not None})
+        # Values are counted first; of equal counts the least value fills.
+        long = train.select([F.col(c).cast("string").alias(c) for c in categorical]).unpivot([], list(categorical), "column", "value").where("value is not null")
+        tops = long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n")).groupBy("column").agg(F.min_by("value", F.struct(-F.col("n"), "value")).alias("mode"))
+        fills.update({r["column"]: "'" + r["mode"].replace("\\", "\\\\").replace("'", "\\'") + "'" for r in tops.collect()})
     replaced = []
     for c in (*numeric, *categorical):
         value = f"CAST(`{c}` AS DOUBLE)" if c in numeric else f"`{c}`"
@@ -96,11 +103,13 @@ def with_weights(train: DataFrame, label: str = LABEL) -> DataFrame:
     return train.join(F.broadcast(weights), label)
 
 
-def fit_classifier(train: DataFrame, features: Sequence[str], categorical: Sequence[str], kind: str, params: Mapping[str, object] | None = None) -> PipelineModel:
-    """Impute, one-hot, scale and classify as one pipeline model."""
+def fit_classifier(
+    train: DataFrame, features: Sequence[str], categorical: Sequence[str], kind: str, params: Mapping[str, object] | None = None, imputer: SQLTransformer | None = None
+) -> PipelineModel:
+    """Impute, one-hot, scale and classify as one pipeline model. An ``imputer`` fitted before may cover more columns than ``features``."""
     cats = [c for c in features if c in categorical]
     nums = [c for c in features if c not in categorical]
-    imputer = fit_imputer(train, nums, cats)
+    imputer = imputer or fit_imputer(train, nums, cats)
     stages = [imputer]
     if nums:
         stages.append(population_scaler(imputer.transform(train), nums))
@@ -118,28 +127,21 @@ def evaluate(model: PipelineModel, df: DataFrame) -> dict[str, float]:
 
 
 def fit_evaluate(
-    train: DataFrame, validation: DataFrame, features: Sequence[str], categorical: Sequence[str], kind: str, params: Mapping[str, object] | None = None
+    train: DataFrame, validation: DataFrame, features: Sequence[str], categorical: Sequence[str], kind: str, params: Mapping[str, object] | None = None,
+    imputer: SQLTransformer | None = None,
 ) -> tuple[dict[str, object], PipelineModel]:
-    model = fit_classifier(train, features, categorical, kind, params)
+    model = fit_classifier(train, features, categorical, kind, params, imputer)
     return {"modelo": kind, "n_features": len(features), "features": list(features), **evaluate(model, validation)}, model
 
 
 def permutation_importance(
-    model: PipelineModel, df: DataFrame, features: Sequence[str], key: str, metric: str = "f1_macro", repeats: int = 5, max_rows: int = 20_000, seed: int = SEED
+    model: PipelineModel, df: DataFrame, features: Sequence[str], key: str, metric: str = "f1_macro", repeats: int = 5, seed: int = SEED
 ) -> DataFrame:
-    """Mean and deviation of the metric loss when one feature is shuffled.
+    """Mean and deviation of the metric loss when one feature is shuffled, over all rows.
 
-    ``max_rows`` is the sample size of the measure itself (rows chosen by key hash). Every repeat is one reordering of that sample; all features and repeats
-    are scored in one pass.
+    Every repeat is one reordering of the rows; all features and repeats are scored in one pass.
     """
-    hashed = df.select(key, LABEL, *features).withColumn("__s", F.xxhash64(F.col(key), F.lit(seed)))
-    total = df.count()
-    if total > 2 * max_rows:
-        # Thin out first, so that the ordered limit merges about twice the sample and not a sample per task.
-        span = 1 << 30
-        hashed = hashed.where(F.pmod(F.col("__s"), F.lit(span)) < int(span * 2 * max_rows / total))
-    sample = hashed.orderBy("__s", key).limit(max_rows).drop("__s")
-    base = checkpointed(number_rows(sample, [key], "__n"))
+    base = checkpointed(number_rows(df.select(key, LABEL, *features), [key], "__n"))
     shuffled = base.withColumn("__repeat", F.explode(F.sequence(F.lit(1), F.lit(repeats))))
     donors = number_rows(
         shuffled.withColumn("__h", F.xxhash64(F.col(key), F.lit(seed), F.col("__repeat"))), ["__h", key], "__m", by=["__repeat"]
@@ -155,34 +157,76 @@ def permutation_importance(
     return loss.groupBy("feature").agg(F.avg("loss").alias("importancia_media"), F.stddev_pop("loss").alias("importancia_desvio"))
 
 
+@dataclass(frozen=True)
+class Trial:
+    """One fit of the elimination: what was left out of the features in hand, and whether it stayed out."""
+
+    feature: str | None
+    n_features: int
+    score: float
+    change: float
+    dropped: bool
+
+
+@dataclass(frozen=True)
+class Search:
+    """The features in hand with their score, the best subset so far, and all trials."""
+
+    features: tuple[str, ...]
+    score: float
+    best: tuple[str, ...]
+    best_score: float
+    trials: tuple[Trial, ...]
+
+    def without(self, feature: str, score_of: Callable[[Sequence[str]], float]) -> Search:
+        """The state after trying to do without ``feature``. It goes for good unless the score falls; the last one never goes."""
+        left = tuple(f for f in self.features if f != feature)
+        if not left:
+            return self
+        score = score_of(left)
+        trial = Trial(feature, len(left), score, score - self.score, score >= self.score)
+        logged = replace(self, trials=(*self.trials, trial))
+        if not trial.dropped:
+            return logged
+        # Accepted scores never fall, and each has fewer features than the one before: the newest is the best.
+        return replace(logged, features=left, score=score, best=left, best_score=score)
+
+
+@dataclass(frozen=True)
+class Elimination:
+    search: Search
+    importance: DataFrame
+    model: PipelineModel
+
+
 def backward_elimination(
     train: DataFrame, validation: DataFrame, features: Sequence[str], categorical: Sequence[str], kind: str, key: str,
-    params: Mapping[str, object] | None = None, metric: str = "f1_macro", repeats: int = 5,
-) -> tuple[list[dict[str, object]], dict[str, object], DataFrame]:
-    """(steps, best, importance): try to drop features from least to most important, keep a drop that does not hurt."""
+    params: Mapping[str, object] | None = None, metric: str = "f1_macro", repeats: int = 5, save_to: str | None = None,
+) -> Elimination:
+    """Reduce the features from the least important one on, then fit the best subset, and save that model if a path is given.
+
+    Fill values are fitted once for all trials; importance is measured once, with all features.
+    """
     train, validation = train.persist(), validation.persist()
-    current, model = fit_evaluate(train, validation, features, categorical, kind, params)
-    current["features_removidas"] = []
-    steps, best = [current], current
-    importance = permutation_importance(model, validation, features, key, metric, repeats)
-    order = [r["feature"] for r in importance.orderBy("importancia_media", "feature").collect()]
-    kept, removed = list(features), []
-    for candidate in order:
-        if len(kept) <= 1:
-            break
-        trial = [f for f in kept if f != candidate]
-        result, _ = fit_evaluate(train, validation, trial, categorical, kind, params)
-        gain = result[metric] - current[metric]
-        accepted = gain >= 0
-        if accepted:
-            kept, removed, current = trial, [*removed, candidate], result
-            better = (result[metric], -result["n_features"]) > (best[metric], -best["n_features"])
-            best = result if better else best
-        result.update(feature_testada=candidate, decisao="removeu" if accepted else "manteve", delta_metrica=gain, features_removidas=list(removed))
-        steps.append(result)
-    train.unpersist()
-    validation.unpersist()
-    return steps, best, importance
+    try:
+        imputer = fit_imputer(train, [f for f in features if f not in categorical], [f for f in features if f in categorical])
+
+        def fitted(subset: Sequence[str]) -> tuple[float, PipelineModel]:
+            result, model = fit_evaluate(train, validation, subset, categorical, kind, params, imputer)
+            return result[metric], model
+
+        score, model = fitted(features)
+        importance = permutation_importance(model, validation, features, key, metric, repeats).persist()
+        weakest_first = [r["feature"] for r in importance.orderBy("importancia_media", "feature").collect()]
+        start = Search(tuple(features), score, tuple(features), score, (Trial(None, len(features), score, 0.0, False),))
+        search = reduce(lambda state, f: state.without(f, lambda subset: fitted(subset)[0]), weakest_first, start)
+        final = fitted(search.best)[1]
+    finally:
+        train.unpersist()
+        validation.unpersist()
+    if save_to is not None:
+        final.write().overwrite().save(save_to)
+    return Elimination(search, importance, final)
 
 
 def compare_models(

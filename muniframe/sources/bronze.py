@@ -1,9 +1,10 @@
-"""Bronze layer: every CSV row of every source as one JSON payload.
+"""Bronze layer: every CSV record of every source as one JSON payload.
 
-Two scans of the files. The first finds each file's header, delimiter and row
-count per split; the second parses. Row numbers are the position inside a split
-plus the rows of earlier splits of the same file, so a file of any size is numbered
-in parallel.
+The files are read once. Every line gets its file, split and position in that one scan, and the numbered
+lines are written to the shared checkpoint folder; counting and parsing both read that table, so nothing depends
+on how a later scan would be split. A record whose quotes span lines is put together again: each line either
+opens, closes or keeps quotes, and those effects are composed along the file, split by split, so a file
+of any size is read, numbered and parsed in parallel.
 """
 
 from __future__ import annotations
@@ -12,28 +13,71 @@ from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from ..session import stored
 from .files import LATIN1
 
 FILE_KEY = ["source", "file_name"]
-# About 150 bytes each; at 128 MB per split this covers some 250 TB of text.
-MAX_BROADCAST_SPLITS = 2_000_000
+#: A quoted cell that is complete; the beginning of one that is not; the rest of a cell up to its closing quote.
+_WHOLE = r'(?<![^;,])"(?:[^"]|"")*+"(?![^;,])'
+_OPENS = r'(?<![^;,])"'
+_CLOSES = r'^(?:[^"]|"")*+"'
 
 
 def read_lines(spark: SparkSession, root: str, source: str | None = None, paths: list[str] | None = None) -> DataFrame:
-    """Non-empty lines of ``root/<source>/*.csv`` (or of ``paths``) with file, split and in-scan position.
-
-    The CSV reader decodes latin-1; a separator that no text file contains keeps the
-    line whole.
-    """
-    reader = spark.read.schema("line string").option("sep", "\u0001").option("quote", "").option("encoding", LATIN1)
-    reader = reader.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).option("maxCharsPerColumn", -1)
-    lines = reader.csv(paths or f"{root.rstrip('/')}/{source or '*'}/*.csv")
+    """Lines of ``root/<source>/*.csv`` (or of ``paths``) with file, split and position, as one stored table."""
+    lines = spark.read.option("lineSep", "\n").text(paths or f"{root.rstrip('/')}/{source or '*'}/*.csv")
     path = F.col("_metadata.file_path")
-    return lines.select(
+    text = F.rtrim(F.decode(F.col("value").cast("binary"), LATIN1), F.lit("\r"))
+    return stored(lines.select(
         F.element_at(F.split(path, "/"), -2).alias("source"), F.element_at(F.split(path, "/"), -1).alias("file_name"), path.alias("file_path"),
         F.col("_metadata.file_size").alias("file_size_bytes"), F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("pos"), F.rtrim(F.col("line"), F.lit("\r")).alias("line"),
+        F.monotonically_increasing_id().alias("pos"), text.alias("line"),
+    ))
+
+
+def _left_open(line: Column) -> Column:
+    """Whether a line that begins outside quotes ends inside."""
+    return F.regexp_replace(line, _WHOLE, "").rlike(_OPENS)
+
+
+def _states(inside: Column, resets: Column, value: Column, swaps: Column, before: Window) -> Column:
+    """State in front of each row: the last reset before it, or ``inside`` at the start, turned over once per swap since."""
+    turned = F.coalesce(F.sum(swaps.cast("int")).over(before), F.lit(0))
+    at_reset = F.last(F.when(resets, turned), True).over(before)
+    base = F.last(F.when(resets, value.cast("int")), True).over(before)
+    return F.pmod(F.coalesce(base, inside.cast("int")) + turned - F.coalesce(at_reset, F.lit(0)), F.lit(2)) == 1
+
+
+def stitched(lines: DataFrame) -> DataFrame:
+    """Records: file columns, ``record`` (0 is the header) and ``line``, where lines inside quotes are joined by line feeds.
+    Empty lines outside quotes are no records."""
+    after_close = F.when(F.col("line").rlike(_CLOSES), _left_open(F.regexp_replace("line", _CLOSES, ""))).otherwise(F.lit(True))
+    effect = lines.withColumn("e0", _left_open(F.col("line"))).withColumn("e1", after_close)
+    key = [*FILE_KEY, "block"]
+    within = Window.partitionBy(*key).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    reset, swap = F.col("e0") == F.col("e1"), F.col("e0") & ~F.col("e1")
+    rows = effect.withColumns({f"s{k}": _states(F.lit(k), reset, F.col("e0"), swap, within) for k in (0, 1)})
+    starts = {k: (~F.col(f"s{k}") & (F.col("line") != "")).cast("int") for k in (0, 1)}
+    ends = {k: F.max_by(F.when(F.col(f"s{k}"), F.col("e1")).otherwise(F.col("e0")), "pos") for k in (0, 1)}
+    splits = rows.groupBy(*key).agg(*[F.sum(starts[k]).alias(f"n{k}") for k in (0, 1)], *[ends[k].alias(f"b{k}") for k in (0, 1)])
+    ahead = Window.partitionBy(*FILE_KEY).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    entry = _states(F.lit(0), F.col("b0") == F.col("b1"), F.col("b0"), F.col("b0") & ~F.col("b1"), ahead)
+    splits = splits.withColumn("inside", entry)
+    splits = splits.withColumn("before", F.coalesce(F.sum(F.when(F.col("inside"), F.col("n1")).otherwise(F.col("n0"))).over(ahead), F.lit(0)))
+    placed = rows.join(splits.select(*key, "inside", "before"), key)
+    state = F.when(F.col("inside"), F.col("s1")).otherwise(F.col("s0"))
+    first = (~state & (F.col("line") != "")).cast("int")
+    upto = Window.partitionBy(*key).orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    closes = F.when(state, F.col("e1")).otherwise(F.col("e0"))
+    numbered = placed.select(
+        *FILE_KEY, "file_path", "file_size_bytes", "pos", "line", state.alias("follows"), closes.alias("goes_on"),
+        (F.sum(first).over(upto) + F.col("before") - 1).alias("record"),
+    ).where(F.col("follows") | (F.col("line") != ""))
+    single = numbered.where(~F.col("follows") & ~F.col("goes_on")).select(*FILE_KEY, "file_path", "file_size_bytes", "record", "line")
+    several = numbered.where(F.col("follows") | F.col("goes_on")).groupBy(*FILE_KEY, "file_path", "file_size_bytes", "record").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n").alias("line")
     )
+    return single.unionByName(several)
 
 
 def delimiter_of(header: Column, source: Column, comma_sources: Iterable[str]) -> Column:
@@ -43,28 +87,25 @@ def delimiter_of(header: Column, source: Column, comma_sources: Iterable[str]) -
     return F.when(semicolons > commas, ";").when(commas > semicolons, ",").otherwise(default)
 
 
-def scan_blocks(lines: DataFrame) -> DataFrame:
-    """Per (file, split): line count, first position, widest line; first line for the leading split."""
-    return lines.groupBy(*FILE_KEY, "file_path", "file_size_bytes", "block").agg(
-        F.count(F.lit(1)).alias("n"), F.min("pos").alias("first_pos"),
-        F.when(F.col("block") == 0, F.min_by("line", "pos")).alias("header"),
-        F.max(F.regexp_count("line", F.lit(";"))).alias("max_semicolons"), F.max(F.regexp_count("line", F.lit(","))).alias("max_commas"),
+def scan_files(records: DataFrame) -> DataFrame:
+    """Per file: records with the header, header, most delimiters of a record."""
+    return records.groupBy(*FILE_KEY, "file_path", "file_size_bytes").agg(
+        F.count(F.lit(1)).alias("n"), F.max(F.when(F.col("record") == 0, F.col("line"))).alias("header"),
+        F.max(F.regexp_count("line", F.lit(";"))).alias("s"), F.max(F.regexp_count("line", F.lit(","))).alias("c"),
     )
 
 
-def detect_delimiters(blocks: DataFrame, comma_sources: Iterable[str] = ()) -> DataFrame:
-    """(source, file_name, header, delimiter, width) per file, from the split summary."""
-    files = blocks.groupBy(*FILE_KEY).agg(
-        F.max("header").alias("header"), F.max("max_semicolons").alias("s"), F.max("max_commas").alias("c")
-    )
-    delimiter = delimiter_of(F.col("header"), F.col("source"), list(comma_sources))
-    return files.withColumn("delimiter", delimiter).withColumn("width", F.when(F.col("delimiter") == ";", F.col("s")).otherwise(F.col("c")) + 1).drop("s", "c")
+def detect_delimiters(files: DataFrame, comma_sources: Iterable[str] = ()) -> DataFrame:
+    """(source, file_name, header, delimiter, width) per file. Delimiters inside the header's quotes don't count."""
+    bare = F.regexp_replace("header", _WHOLE, "")
+    delimiter = delimiter_of(bare, F.col("source"), list(comma_sources))
+    files = files.withColumn("delimiter", delimiter)
+    return files.select(*FILE_KEY, "header", "delimiter", (F.when(F.col("delimiter") == ";", F.col("s")).otherwise(F.col("c")) + 1).alias("width"))
 
 
-def file_registry(blocks: DataFrame) -> DataFrame:
+def file_registry(files: DataFrame) -> DataFrame:
     """Registry rows of the files just read, with their record count; the id is a digest of the natural key."""
-    files = blocks.groupBy(*FILE_KEY, "file_path", "file_size_bytes").agg((F.sum("n") - 1).alias("n_records"))
-    return files.select(file_id().alias("id"), *FILE_KEY, "file_path", "file_size_bytes", F.current_timestamp().alias("loaded_at"), "n_records")
+    return files.select(file_id().alias("id"), *FILE_KEY, "file_path", "file_size_bytes", F.current_timestamp().alias("loaded_at"), (F.col("n") - 1).alias("n_records"))
 
 
 def file_id() -> Column:
@@ -79,7 +120,7 @@ def upsert(existing: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
 def _parsed_payload(line: Column, header: list[str], delimiter: str, width: int) -> Column:
     """One line to JSON. Missing trailing cells are null, surplus cells go under ``null``."""
     options = {"sep": delimiter, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "bad", "ignoreLeadingWhiteSpace": "false",
-               "ignoreTrailingWhiteSpace": "false", "maxCharsPerColumn": "-1", "maxColumns": str(max(width, len(header)) + 2)}
+               "ignoreTrailingWhiteSpace": "false", "maxCharsPerColumn": "-1", "lineSep": "\u0002", "multiLine": "true", "escape": '"', "maxColumns": str(max(width, len(header)) + 2)}
     names = [f"c{i}" for i in range(len(header))]
     exact = F.from_csv(line, ", ".join(f"{n} string" for n in [*names, "bad"]), options)
     # A repeated header name keeps its last column, as a dictionary of the row would.
@@ -114,52 +155,64 @@ def load_bronze(
     The driver sees one row per distinct file layout (header and delimiter), never
     data rows; files that share a layout are parsed together.
     """
-    lines = read_lines(spark, root, source, paths)
-    blocks = scan_blocks(lines).persist()
-    files = detect_delimiters(blocks, comma_sources).withColumn("layout", F.xxhash64("header", "delimiter"))
+    found = stored(stitched(read_lines(spark, root, source, paths)))
+    summary = stored(scan_files(found))
+    files = detect_delimiters(summary, comma_sources).withColumn("layout", F.xxhash64("header", "delimiter"))
     layouts = files.groupBy("layout", "header", "delimiter").agg(F.max("width").alias("width")).collect()
-
-    # One row per split; the window runs over the splits of one file.
-    earlier = Window.partitionBy(*FILE_KEY).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = blocks.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0))).select(*FILE_KEY, "block", "first_pos", "before")
-    offsets = offsets.join(files.select(*FILE_KEY, "layout"), FILE_KEY)
-    # Broadcast while the split list is known to be small, so that the lines are not shuffled to be numbered.
-    if blocks.count() <= MAX_BROADCAST_SPLITS:
-        offsets = F.broadcast(offsets)
-    placed = lines.join(offsets, [*FILE_KEY, "block"])
-    # Line 0 of a file is its header.
-    rows = placed.withColumn("row_number", F.col("pos") - F.col("first_pos") + F.col("before")).where(F.col("row_number") > 0)
+    # Record 0 of a file is its header. One row per file joins; whether it is broadcast is decided by its size.
+    rows = found.join(files.select(*FILE_KEY, "layout"), FILE_KEY).withColumn("row_number", F.col("record")).where(F.col("row_number") > 0)
     payload: Column = F.lit(None).cast("string")
     for layout in layouts:
         parsed = _parsed_payload(F.col("line"), _split_header(layout["header"], layout["delimiter"]), layout["delimiter"], layout["width"])
         payload = F.when(F.col("layout") == F.lit(layout["layout"]), parsed).otherwise(payload)
     records = rows.select(*FILE_KEY, file_id().alias("raw_file_id"), F.col("row_number").cast("bigint"), payload.alias("payload"), F.current_timestamp().alias("loaded_at"))
-    return file_registry(blocks), records
+    return file_registry(summary), records
+
+
+def check_complete(registry: DataFrame, records: DataFrame) -> None:
+    """Fail unless every file has as many records as its registry row says."""
+    counted = records.groupBy(F.col("raw_file_id").alias("id")).agg(F.count(F.lit(1)).alias("found"))
+    both = registry.select("id", "file_name", "n_records").join(counted, "id", "left").where(F.coalesce("found", F.lit(0)) != F.col("n_records"))
+    wrong = both.limit(5).collect()
+    if wrong:
+        raise ValueError(f"records and registry differ: {wrong}")
+
+
+def read_registry(spark: SparkSession, out: str) -> DataFrame | None:
+    """The registry in force under ``out``: the current one, or the one before it if a load stopped between its two renames."""
+    for name in ("raw_files", "raw_files__old"):
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{out}/{name}")
+        if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+            return spark.read.parquet(path.toString())
+    return None
 
 
 def write_bronze(spark: SparkSession, registry: DataFrame, records: DataFrame, out: str) -> None:
-    """Upsert the registry and replace the records of every loaded file.
+    """Upsert the registry and replace the records of every loaded file, after checking that none is missing.
 
     Records are partitioned by (source, raw_file_id) and overwritten partition-wise;
     row ranges of a large file go to different tasks. A file without rows overwrites
-    nothing, so its old partition is deleted. The registry is staged before it replaces
-    the old one, and written last: a failed load leaves the old registry in place.
+    nothing, so its old partition is deleted. The registry is staged in full, then the old one steps aside
+    and is deleted only when the new one is in its place: a load that fails at any point leaves one to read.
     """
+    check_complete(registry, records)
     spread = records.repartition("raw_file_id", F.floor(F.col("row_number") / 1_000_000))
     spread.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("source", "raw_file_id").parquet(f"{out}/raw_records")
 
     fs_path = spark._jvm.org.apache.hadoop.fs.Path
-    for row in registry.where("n_records = 0").select("source", "id").collect():
-        stale = fs_path(f"{out}/raw_records/source={row['source']}/raw_file_id={row['id']}")
-        stale.getFileSystem(spark._jsc.hadoopConfiguration()).delete(stale, True)
-
-    target, staged = fs_path(f"{out}/raw_files"), fs_path(f"{out}/raw_files__staged")
+    target, staged, aside = (fs_path(f"{out}/raw_files{end}") for end in ("", "__staged", "__old"))
     fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
-    loaded = registry.drop("n_records")
-    merged = upsert(spark.read.parquet(target.toString()), loaded, FILE_KEY) if fs.exists(target) else loaded
+    for row in registry.where("n_records = 0").select("source", "id").toLocalIterator():
+        fs.delete(fs_path(f"{out}/raw_records/source={row['source']}/raw_file_id={row['id']}"), True)
+
+    loaded, old = registry.drop("n_records"), read_registry(spark, out)
+    merged = upsert(old, loaded, FILE_KEY) if old is not None else loaded
     merged.write.mode("overwrite").parquet(staged.toString())
-    fs.delete(target, True)
+    if fs.exists(target):
+        fs.delete(aside, True)
+        fs.rename(target, aside)
     fs.rename(staged, target)
+    fs.delete(aside, True)
 
 
 def row_payload(df: DataFrame, exclude: Iterable[str] = ()) -> Column:

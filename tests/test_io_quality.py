@@ -1,3 +1,4 @@
+import csv
 import json
 
 import pytest
@@ -8,7 +9,7 @@ from muniframe.operators.quality import (
 )
 from muniframe.operators.joins import outer_profile, union_schemas
 from muniframe.operators.aggregates import aggregate_units, balance_weights, profile_distinct, value_counts
-from muniframe.sources.bronze import load_bronze, read_lines, row_payload, scan_blocks, upsert, write_bronze
+from muniframe.sources.bronze import check_complete, load_bronze, read_lines, read_registry, row_payload, upsert, write_bronze
 from muniframe.sources.files import list_files, required_files, superseded_files, write_delimited, write_distinct_values, write_summary, read_delimited
 from muniframe.sources.listing import (
     changed, file_candidates, has_new_file, html_table_rows, latest_by, latest_file, listing_html, load_state, save_state, url_file_name,
@@ -40,7 +41,7 @@ def many_splits(spark):
 
 def test_bronze_rows_over_many_splits(spark, landing, many_splits):
     registry, records = load_bronze(spark, str(landing), comma_sources=["inc"])
-    assert scan_blocks(read_lines(spark, str(landing))).where("file_name = 'a.csv'").count() > 5
+    assert read_lines(spark, str(landing)).where("file_name = 'a.csv'").select("block").distinct().count() > 5
     rows = {r["row_number"]: json.loads(r["payload"]) for r in records.where("file_name = 'a.csv'").collect()}
     assert sorted(rows) == list(range(1, 205))
     assert all(rows[i + 1] == {"a": str(i), "b": f"x,{i}", "c": "á"} for i in range(200))
@@ -53,6 +54,52 @@ def test_bronze_rows_over_many_splits(spark, landing, many_splits):
     assert set(sizes) == {"a.csv", "b.csv", "empty.csv", "one.csv"} and sizes["b.csv"] == (landing / "cen" / "b.csv").stat().st_size
 
 
+@pytest.mark.parametrize("size", ["37", "300", "134217728"])
+def test_bronze_keeps_quoted_line_breaks(spark, tmp_path, size):
+    rows = [["1", "line one\nline two", 'say "x"'], ["2", "a;b\n\n\nc", ""], ["3", 'in"side', "5"], ["4", "\n", "\n;\n"], ["5", "plain", "é"]] * 9
+    path = tmp_path / "q" / "inc" / "a.csv"
+    path.parent.mkdir(parents=True)
+    with path.open("w", encoding="latin-1", newline="") as f:
+        writer = csv.writer(f, delimiter=";", lineterminator="\n")
+        writer.writerow(["id", 'text;"x"', "more"])
+        writer.writerows(rows)
+        f.write('6;5" pipe;x\n7;"open ""end""";\n')
+    want = list(csv.DictReader(path.open(encoding="latin-1", newline=""), delimiter=";"))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    try:
+        registry, records = load_bronze(spark, str(tmp_path / "q"))
+        got = [json.loads(r.payload) for r in records.orderBy("row_number").collect()]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == want and registry.first()["n_records"] == len(want)
+
+
+def test_bronze_is_whole_when_splits_change(spark, tmp_path):
+    path = tmp_path / "big" / "inc" / "a.csv"
+    put(path, "a,b\n" + "".join(f"{i},x{i}\n" for i in range(250_000)))
+    spark.conf.set("spark.sql.files.minPartitionNum", "1")
+    try:
+        registry, records = load_bronze(spark, str(tmp_path / "big"))
+        spark.conf.set("spark.sql.files.minPartitionNum", "4")
+        numbers = records.agg(F.count("*"), F.min("row_number"), F.max("row_number"), F.count_distinct("row_number")).first()
+    finally:
+        spark.conf.unset("spark.sql.files.minPartitionNum")
+    assert tuple(numbers) == (250_000, 1, 250_000, 250_000) and registry.first()["n_records"] == 250_000
+    check_complete(registry, records)
+    with pytest.raises(ValueError, match="differ"):
+        check_complete(registry, records.where("row_number > 1"))
+
+
+def test_bronze_registry_survives_a_stop_between_renames(spark, landing, tmp_path):
+    out = tmp_path / "out"
+    assert read_registry(spark, str(out)) is None
+    write_bronze(spark, *load_bronze(spark, str(landing)), str(out))
+    (out / "raw_files").rename(out / "raw_files__old")
+    assert read_registry(spark, str(out)).count() == 4
+    write_bronze(spark, *load_bronze(spark, str(landing), "inc"), str(out))
+    assert read_registry(spark, str(out)).count() == 4 and not (out / "raw_files__old").exists()
+
+
 def test_bronze_reload_replaces_only_its_files(spark, landing, tmp_path):
     out = str(tmp_path / "out")
     write_bronze(spark, *load_bronze(spark, str(landing)), out)

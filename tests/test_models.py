@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from muniframe.plans.classify import (
-    backward_elimination, compare_models, encode_label, fit_classifier, fit_imputer, label_codes, permutation_importance, stratified_split,
+    backward_elimination, compare_models, encode_label, evaluate, fit_classifier, fit_imputer, label_codes, permutation_importance, stratified_split,
 )
 from muniframe.plans.models import (
     best_models, cv_models, cv_results, fit_count_model, load_model, one_hot_stages, overall_comparison, population_scaler, predict_counts, random_search,
@@ -125,13 +125,15 @@ def test_classifiers_learn(labelled, kind, params):
     assert right > 0.75 * labelled.count()
 
 
-def test_importance_and_elimination(labelled):
+def test_importance_and_elimination(labelled, tmp_path):
     train, val, test = (stratified_split(labelled, "label", "id").where(F.col("part") == i) for i in range(3))
     model = fit_classifier(train, FEATURES, CATS, "arvore_decisao", {"maxDepth": 4})
-    imp = {r["feature"]: r["importancia_media"] for r in permutation_importance(model, val, FEATURES, "id", repeats=3, max_rows=60).collect()}
+    imp = {r["feature"]: r["importancia_media"] for r in permutation_importance(model, val, FEATURES, "id", repeats=3).collect()}
     assert set(imp) == set(FEATURES) and imp["a"] > abs(imp["noise"])
-    steps, best, importance = backward_elimination(train, val, FEATURES, CATS, "arvore_decisao", "id", {"maxDepth": 4}, repeats=2)
-    assert importance.count() == 3 and best["f1_macro"] >= steps[0]["f1_macro"] and "a" in best["features"]
-    assert all((s["delta_metrica"] >= 0) == (s["decisao"] == "removeu") for s in steps[1:])
+    done = backward_elimination(train, val, FEATURES, CATS, "arvore_decisao", "id", {"maxDepth": 4}, repeats=2, save_to=str(tmp_path / "best"))
+    search = done.search
+    assert done.importance.count() == 3 and search.best_score >= search.trials[0].score and "a" in search.best
+    assert all((t.change >= 0) == t.dropped for t in search.trials[1:])
+    assert evaluate(done.model, val)["f1_macro"] == search.best_score == evaluate(load_model(str(tmp_path / "best")), val)["f1_macro"]
     table, tested = compare_models(train, val, test, FEATURES, CATS, {"arvore_decisao": {"maxDepth": 4}, "regressao_logistica": {"maxIter": 20}})
     assert table.count() == 2 and 0 <= tested["accuracy"] <= 1
