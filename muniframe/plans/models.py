@@ -139,14 +139,14 @@ def cv_models(
             trained = sum(r["total"] or 0 for r in sizes if r["data"] < lo)
             validated = sum(r["n"] for r in sizes if lo <= r["data"] < hi)
             if trained and validated:
-                tasks += [(data, value, fold, name, *spec) for name, spec in models.items()]
+                tasks += [(data, column, value, fold, name, *spec) for name, spec in models.items()]
 
     def run(task) -> str:
-        data, value, fold, name, kind, params = task
+        data, column, value, fold, name, kind, params = task
         # A model fitted for one category sees that column as a constant.
         cats = [c for c in categorical if not (by and c in by)]
         model = fit_count_model(folds.train(data, fold), kind, numeric, cats, params, label)
-        path = f"{root}/modelo={name}/grupo={value if value is not None else 'all'}/fold={fold}"
+        path = f"{root}/modelo={name}/grupo={groups.index((column, value))}/fold={fold}"
         predict_counts(model, folds.validation(data, fold), keep).write.mode("overwrite").parquet(path)
         return path
 
@@ -205,13 +205,16 @@ def load_model(path: str) -> PipelineModel:
     return PipelineModel.load(path)
 
 
-# Search grid, in Spark ML names; settings without a Spark counterpart are left out.
+# Search grid, in Spark ML names. Column sampling is featureSubsetStrategy (a share of the features), the least
+# gain of a split is minInfoGain; penalties on leaf weights have no Spark counterpart.
 SEARCH_GRID: Mapping[str, Sequence[object]] = {
     "maxIter": (300, 500, 800),
     "stepSize": (0.01, 0.02, 0.03, 0.05),
     "maxDepth": (2, 3, 4, 5),
     "minInstancesPerNode": (1, 5, 10, 20),
     "subsamplingRate": (0.7, 0.8, 0.9, 1.0),
+    "featureSubsetStrategy": ("0.7", "0.8", "0.9", "all"),
+    "minInfoGain": (0.0, 0.1, 0.5, 1.0),
 }
 
 

@@ -151,12 +151,13 @@ def overlap_codes(t: Tables) -> DataFrame:
 
 
 @query("""
-(SELECT CAST(c_nationkey AS BIGINT) AS "key", 'left' AS side FROM customer EXCEPT SELECT CAST(s_nationkey AS BIGINT), 'left' FROM supplier)
+(SELECT CAST(doc_id AS BIGINT) AS "key", 'left' AS side FROM documents EXCEPT SELECT CAST(doc_id AS BIGINT), 'left' FROM labels)
 UNION ALL
-(SELECT CAST(s_nationkey AS BIGINT), 'right' FROM supplier EXCEPT SELECT CAST(c_nationkey AS BIGINT), 'right' FROM customer)""")
+(SELECT CAST(doc_id AS BIGINT), 'right' FROM labels EXCEPT SELECT CAST(doc_id AS BIGINT), 'right' FROM documents)""")
 def key_domain_difference(t: Tables) -> DataFrame:
-    c = t.customer.select(F.col("c_nationkey").cast("bigint").alias("key"))
-    return key_difference(c, t.supplier.select(F.col("s_nationkey").cast("bigint").alias("key")), ["key"])
+    """Documents without a label, and labels without a document."""
+    keys = [df.select(F.col("doc_id").cast("bigint").alias("key")) for df in (t.documents, t.labels)]
+    return key_difference(*keys, ["key"])
 
 
 # Small vocabularies over priority and market segment.

@@ -29,11 +29,11 @@ def dense_panel_query(t: Tables) -> DataFrame:
     return _keys(panel(t).withColumns({c: F.col(c).cast("bigint") for c in ("ano", "mes")}))
 
 
-@query(f"WITH {PANEL_SQL} SELECT {KEYS_SQL}, y FROM panel WHERE categoria IN ('1-URGENT', '2-HIGH')")
+@query(f"WITH {PANEL_SQL} SELECT {KEYS_SQL}, y FROM panel")
 def dense_panel_from_flags(t: Tables) -> DataFrame:
-    flagged = incidents(t).select("unit", "o_orderdate", *[(F.col("o_orderpriority") == c).cast("int").alias(c) for c in CATEGORIES[:2]])
-    counts = monthly_flag_counts(flagged, "unit", "o_orderdate", CATEGORIES[:2])
-    return _keys(dense_panel(counts, CATEGORIES[:2]).select("unit", "data", "categoria", "y"))
+    flagged = incidents(t).select("unit", "o_orderdate", *[(F.col("o_orderpriority") == c).cast("int").alias(c) for c in CATEGORIES])
+    counts = monthly_flag_counts(flagged, "unit", "o_orderdate", CATEGORIES)
+    return _keys(dense_panel(counts, CATEGORIES).select("unit", "data", "categoria", "y"))
 
 
 @query(f"WITH {HISTORY_SQL} SELECT {KEYS_SQL}, y, {', '.join(f'CAST(lag_{k} AS BIGINT) AS lag_{k}' for k in LAGS)} FROM hist")

@@ -65,14 +65,14 @@ def html_table_rows_query(t: Tables) -> DataFrame:
 
 @query(r"""SELECT CAST(page_id AS BIGINT) AS page_id, h AS url, regexp_extract(h, '([^/?]*)(\?.*)?$', 1) AS filename, strftime(TIMESTAMP '2024-01-01' + to_hours(CAST(page_id AS INTEGER)), '%d/%m/%Y %H:%M') AS portal_updated_at,
   CAST(length(html) AS VARCHAR) AS portal_size
-FROM (SELECT page_id, html, regexp_extract(html, '<li><a href="([^"]*)"', 1) AS h FROM pages) WHERE h LIKE '%the'""")
+FROM (SELECT page_id, html, regexp_extract(html, '<li><a href="([^"]*)"', 1) AS h FROM pages) WHERE h LIKE '%a'""")
 def portal_candidates(t: Tables) -> DataFrame:
     """Portal answers (JSON with an HTML table) built from each page's first navigation link."""
     link = F.regexp_extract("html", '<li>(<a href="[^"]*")', 1)
     stamp = F.date_format(F.timestamp_add("HOUR", F.col("page_id").cast("int"), F.lit("2024-01-01").cast("timestamp")), "dd/MM/yyyy HH:mm")
     row = F.concat(F.lit("<tr class='x'><td>"), link, F.lit(">f</a></td><td>csv</td><td> "), stamp, F.lit("</td><td>"), F.length("html"), F.lit("</td></tr>"))
     answers = t.pages.select("page_id", F.to_json(F.struct(F.lit(True).alias("sucesso"), row.alias("tabela"))).alias("body"))
-    return file_candidates(html_table_rows(listing_html(answers), "html"), "the", keep=["page_id"])
+    return file_candidates(html_table_rows(listing_html(answers), "html"), "a", keep=["page_id"])
 
 
 @query(r"""SELECT CAST(page_id AS BIGINT) AS page_id, regexp_extract(regexp_replace(url, '[?#].*$', ''), '([^/]*)$', 1) AS file_name FROM pages""")
