@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .batches import chunks, mixed, text_bytes
-from .tables import stored
+from .tables import packed_texts, stored
 
 SPAN, K = 200, 100
 HOT = 50_000
@@ -99,84 +99,112 @@ def stretches(data: np.ndarray, at: np.ndarray, span: int = SPAN, k: int = K) ->
     return text[first], low, high, h[p], whole
 
 
-ANCHORS = "doc long, first long, many int, anchor long, whole long"
+ANCHORS = "docs array<long>, firsts array<long>, many int, anchor long, whole long"
 
 
 def anchors(docs: DataFrame) -> DataFrame:
-    """Stretches of all texts (columns doc, text): first window, number of windows after it, both hashes."""
+    """Stretches of all texts (columns doc, text), the equal ones of a chunk as one row: their texts and first windows,
+    the number of windows after the first, and both hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, at in chunks(batches, "text", CHUNK):
             text, low, high, anchor, whole = stretches(data, at)
-            if len(text):
-                made = [rows.column(0).take(pa.array(text)), pa.array(low - at[text]), pa.array((high - low).astype(np.int32)), pa.array(anchor.view(np.int64)), pa.array(whole.view(np.int64))]
-                yield pa.RecordBatch.from_arrays(made, names=["doc", "first", "many", "anchor", "whole"])
+            if not len(text):
+                continue
+            by = np.lexsort((whole, anchor))
+            anchor, whole, text, low, many = anchor[by], whole[by], text[by], low[by], (high - low)[by]
+            new = np.flatnonzero(np.append(True, (anchor[1:] != anchor[:-1]) | (whole[1:] != whole[:-1])))
+            bounds = pa.array(np.append(new, len(by)), pa.int32())
+            made = [
+                pa.ListArray.from_arrays(bounds, rows.column(0).take(pa.array(text))), pa.ListArray.from_arrays(bounds, pa.array(low - at[text])),
+                pa.array(many[new].astype(np.int32)), pa.array(anchor[new].view(np.int64)), pa.array(whole[new].view(np.int64)),
+            ]
+            yield pa.RecordBatch.from_arrays(made, names=["docs", "firsts", "many", "anchor", "whole"])
 
     return docs.select("doc", "text").mapInArrow(run, ANCHORS)
 
 
 EQUAL, ASK, ASK_WINDOWS = 0, 1, 2
+VERDICTS = ["doc", "first", "many", "anchor", "kind"]
+
+
+def _verdict(doc, first, many, anchor, kind: int) -> pa.RecordBatch:
+    columns = [pa.array(doc, pa.int64()), pa.array(first, pa.int64()), pa.array(many, pa.int32()), pa.array(anchor, pa.int64()), pa.array(np.full(len(doc), kind), pa.int32())]
+    return pa.RecordBatch.from_arrays(columns, names=VERDICTS)
+
+
+class Asking:
+    """One stretch of each kind, collected by anchor. An anchor with several kinds asks a suffix array about all of them;
+    with over ``hot`` kinds it asks about their windows, which are passed on as they come."""
+
+    def __init__(self, hot: int):
+        self.hot, self.held, self.size, self.crowded = hot, [], 0, None
+
+    def take(self, rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """``rows``: (doc, first, many, anchor) by row, sorted by anchor."""
+        if not len(rows):
+            return
+        self.held.append(rows)
+        self.size += len(rows)
+        if rows[0, 3] != rows[-1, 3] or self.held[0][0, 3] != rows[-1, 3] or self.size > self.hot:
+            yield from self._flush(rows[-1, 3])
+
+    def _flush(self, open_anchor) -> Iterator[pa.RecordBatch]:
+        rows = np.concatenate(self.held) if self.held else np.empty((0, 4), np.int64)
+        many = rows[:, 3] == self.crowded if self.crowded is not None else np.zeros(len(rows), bool)
+        ends = open_anchor is not None and rows[:, 3] == open_anchor
+        still = np.asarray(ends) & ~many if open_anchor is not None else np.zeros(len(rows), bool)
+        if still.sum() > self.hot:
+            self.crowded = open_anchor
+            many, still = many | still, np.zeros(len(rows), bool)
+        closed = rows[~many & ~still]
+        if len(closed):
+            _, number, count = np.unique(closed[:, 3], return_inverse=True, return_counts=True)
+            yield _verdict(*closed[count[number] > 1].T, ASK)
+        if many.any():
+            yield _verdict(*rows[many].T, ASK_WINDOWS)
+        self.held = [rows[still]] if still.any() else []
+        self.size = int(still.sum())
+
+    def close(self) -> Iterator[pa.RecordBatch]:
+        yield from self._flush(None)
 
 
 def sorted_out(found: DataFrame, hot: int = HOT) -> DataFrame:
-    """Each stretch whose anchor occurs twice: EQUAL (its whole bytes do), or ASK (a suffix array has to tell; also one
-    of every equal kind, if its anchor has other kinds), or ASK_WINDOWS (the same, of an anchor with over ``hot`` stretches)."""
-    schema = "doc long, first long, many int, anchor long, kind int"
-
-    def verdicts(table: pa.Table, many: bool) -> pa.Table:
-        anchor, whole = (np.asarray(table[c]) for c in ("anchor", "whole"))
-        n = len(anchor)
-        new = np.ones(n + 1, bool)
-        new[1:n] = anchor[1:] != anchor[:-1]
-        fresh = new.copy()
-        fresh[1:n] |= whole[1:] != whole[:-1]
-        group, kind = np.cumsum(new[:-1]) - 1, np.cumsum(fresh[:-1]) - 1
-        size, copies = np.bincount(group), np.bincount(kind)
-        kinds = np.bincount(group[fresh[:-1]], minlength=len(size))
-        if many:
-            keep, verdict = np.arange(n), np.full(n, ASK_WINDOWS, np.int32)
-        else:
-            equal = np.flatnonzero(copies[kind] > 1)
-            ask = np.flatnonzero(fresh[:-1] & (kinds[group] > 1))
-            keep = np.concatenate([equal, ask])
-            verdict = np.repeat(np.array([EQUAL, ASK], np.int32), [len(equal), len(ask)])
-        out = table.select(["doc", "first", "many", "anchor"]).take(pa.array(keep))
-        return out.append_column("kind", pa.array(verdict))
+    """Each stretch that others equal as EQUAL (all its bytes repeat); one stretch of every kind, if its anchor has other
+    kinds, as ASK (a suffix array has to tell) or, if it has over ``hot`` kinds, as ASK_WINDOWS."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size, crowded = [], 0, None
-
-        def closed(table: pa.Table) -> Iterator[pa.RecordBatch]:
-            """Verdicts for whole anchors; the rows of an anchor that was found crowded stay crowded."""
-            own = np.asarray(table["anchor"])
-            cut = int(np.searchsorted(own != crowded, True)) if crowded is not None and len(own) else 0
-            for part, many in ((table.slice(0, cut), True), (table.slice(cut), False)):
-                if part.num_rows:
-                    yield from verdicts(part, many).combine_chunks().to_batches()
+        asking, before = Asking(hot), None
+        waiting: pa.RecordBatch | None = None
+
+        def settle(rows: pa.RecordBatch, next_kind) -> Iterator[pa.RecordBatch]:
+            nonlocal before
+            many, anchor, whole = (np.asarray(rows.column(k)) for k in (2, 3, 4))
+            sizes = np.asarray(pc.list_value_length(rows.column(0)))
+            docs, firsts = (np.asarray(rows.column(k).flatten()) for k in (0, 1))
+            same = np.zeros(len(anchor) + 1, bool)
+            same[1:-1] = (anchor[1:] == anchor[:-1]) & (whole[1:] == whole[:-1])
+            same[0] = before == (anchor[0], whole[0])
+            same[-1] = next_kind == (anchor[-1], whole[-1])
+            equal = np.repeat((sizes > 1) | same[:-1] | same[1:], sizes)
+            if equal.any():
+                yield _verdict(docs[equal], firsts[equal], np.repeat(many, sizes)[equal], np.zeros(int(equal.sum()), np.int64), EQUAL)
+            lead = (np.cumsum(sizes) - sizes)[~same[:-1]]
+            yield from asking.take(np.stack([docs[lead], firsts[lead], many[~same[:-1]], anchor[~same[:-1]]], axis=1))
+            before = (anchor[-1], whole[-1])
 
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            held.append(batch)
-            size += batch.num_rows
-            last = batch.column(3)[-1].as_py()
-            if batch.column(3)[0].as_py() == last and size <= hot:
-                continue
-            table = pa.Table.from_batches(held)
-            own = np.asarray(table["anchor"])
-            begin = len(own) - int(np.searchsorted((own != last)[::-1], True))
-            if begin:
-                yield from closed(table.slice(0, begin))
-            rest = table.slice(begin)
-            if rest.num_rows > hot or crowded == last:
-                crowded = last
-                yield from closed(rest)
-                rest = rest.slice(rest.num_rows)
-            held, size = rest.to_batches(), rest.num_rows
-        if size:
-            yield from closed(pa.Table.from_batches(held))
-
-    return found.repartition("anchor").sortWithinPartitions("anchor", "whole").mapInArrow(run, schema)
+            if batch.num_rows:
+                if waiting is not None:
+                    yield from settle(waiting, (batch.column(3)[0].as_py(), batch.column(4)[0].as_py()))
+                waiting = batch
+        if waiting is not None:
+            yield from settle(waiting, None)
+        yield from asking.close()
+
+    ordered = found.repartition("anchor").sortWithinPartitions("anchor", "whole")
+    return ordered.mapInArrow(run, "doc long, first long, many int, anchor long, kind int")
 
 
 # ---- suffix array -------------------------------------------------------------------------------
@@ -311,18 +339,6 @@ def repeated(data: np.ndarray, at: np.ndarray, span: int = SPAN) -> np.ndarray:
 # ---- whole job ----------------------------------------------------------------------------------
 
 
-def packed_texts(docs: DataFrame) -> DataFrame:
-    """(doc, packed): texts compressed before they are shuffled."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        squeeze = zstandard.ZstdCompressor(level=3).compress
-        for rows, data, at in chunks(batches, "text"):
-            packed = [squeeze(data[a:b]) for a, b in zip(at, at[1:])]
-            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(packed, pa.binary())], names=["doc", "packed"])
-
-    return docs.select("doc", "text").mapInArrow(run, "doc long, packed binary")
-
-
 def pieces(docs: DataFrame, asked: DataFrame, span: int = SPAN) -> DataFrame:
     """(meet, doc, first, piece): the bytes of the asked stretches, or of their windows, and the key under which they meet."""
     per_doc = asked.groupBy("doc").agg(F.collect_list(F.struct("first", "many", "anchor", "kind")).alias("asks"))

@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 
 from ..session import ensure_checkpoint_dir
+from .batches import chunks
 
 
 def stored(df: DataFrame) -> DataFrame:
@@ -15,3 +19,25 @@ def stored(df: DataFrame) -> DataFrame:
     place = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
     df.write.parquet(place)
     return df.sparkSession.read.schema(df.schema).parquet(place)
+
+
+def packed_texts(docs: DataFrame) -> DataFrame:
+    """(doc, packed): texts compressed before they are shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze = zstandard.ZstdCompressor(level=3).compress
+        for rows, data, at in chunks(batches, "text"):
+            packed = [squeeze(data[a:b]) for a, b in zip(at, at[1:])]
+            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(packed, pa.binary())], names=["doc", "packed"])
+
+    return docs.select("doc", "text").mapInArrow(run, "doc long, packed binary")
+
+
+def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of (doc, packed) as batches of (doc, text)."""
+    open_up = zstandard.ZstdDecompressor().decompress
+    for batch in batches:
+        for begin in range(0, batch.num_rows, 1000):
+            part = batch.slice(begin, 1000)
+            texts = pa.array([open_up(p.as_buffer()) for p in part.column(1)], pa.large_binary())
+            yield pa.RecordBatch.from_arrays([part.column(0), texts], names=["doc", "text"])
