@@ -31,7 +31,7 @@ from .tables import packed_texts, stored
 SPAN, K = 200, 100
 HOT = 50_000
 #: Text bytes handled at once; the arrays beside them take about 100 times as much.
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 ARRAY_BYTES = 3 << 20
 
 BASE = 0x9E3779B97F4A7C15

@@ -1,24 +1,29 @@
-"""Intermediate tables in the shared folder that the cluster names."""
+"""Packed texts for shuffles, and the package's place for Python workers."""
 
 from __future__ import annotations
 
-import uuid
+import os
 from collections.abc import Iterator
+from pathlib import Path
 
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
-from ..session import ensure_checkpoint_dir
+from ..session import stored
 from .batches import chunks
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Written once as Parquet under the checkpoint folder and read back: lineage ends there, and unlike a
-    checkpoint the columns are compressed and can be pruned."""
-    place = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
-    df.write.parquet(place)
-    return df.sparkSession.read.schema(df.schema).parquet(place)
+__all__ = ["opened", "packed_texts", "reachable", "stored"]
+
+
+def reachable(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver has it, whatever folder they start in. Where it is
+    installed on the executors the extra path does no harm."""
+    root, environment = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
+    known = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in known:
+        environment["PYTHONPATH"] = os.pathsep.join([root, *known])
 
 
 def packed_texts(docs: DataFrame) -> DataFrame:
