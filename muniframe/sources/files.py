@@ -14,18 +14,30 @@ def string_schema(columns: Iterable[str]) -> StructType:
     return StructType([StructField(c, StringType()) for c in columns])
 
 
+# Cells that common CSV readers take for a missing value.
+NULL_WORDS = (
+    "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
+)
+
+
 def read_delimited(
-    spark: SparkSession, path: str | Sequence[str], sep: str = ";", encoding: str = LATIN1, columns: Sequence[str] | None = None
+    spark: SparkSession, path: str | Sequence[str], sep: str = ";", encoding: str = LATIN1, columns: Sequence[str] | None = None,
+    null_words: Sequence[str] = NULL_WORDS, quoted_breaks: bool = True,
 ) -> DataFrame:
     """All-string CSV with a header. With ``columns`` no file is touched at plan time.
 
     Without it the header of the first file names the columns (``inferSchema`` stays
-    off, so only one line is read).
+    off, so only one line is read). Cells equal to one of ``null_words`` are null. Quoted cells may
+    hold line breaks, and a file is then one task; pass ``quoted_breaks=False`` to split large files that have none
+    (bronze splits files of either kind).
     """
-    reader = spark.read.option("sep", sep).option("encoding", encoding).option("header", True)
+    reader = spark.read.option("sep", sep).option("encoding", encoding).option("header", True).option("escape", '"').option("multiLine", quoted_breaks)
     if columns is not None:
         reader = reader.schema(string_schema(columns)).option("enforceSchema", False)
-    return reader.csv(path)
+    cells = reader.csv(path)
+    if not null_words:
+        return cells
+    return cells.select(*[F.when(~F.col(f"`{c}`").isin(*null_words), F.col(f"`{c}`")).alias(c) for c in cells.columns])
 
 
 def read_geojson(spark: SparkSession, path: str, properties: Sequence[str]) -> DataFrame:

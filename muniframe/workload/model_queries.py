@@ -218,3 +218,10 @@ def classifier_comparison(t: Tables) -> DataFrame:
     sizes = {"regressao_logistica": {"maxIter": 20}, "arvore_decisao": {"maxDepth": 5}, "random_forest": {"numTrees": 20, "maxDepth": 8}, "boosting": {"maxIter": 5, "maxDepth": 3}}
     frame, _ = compare_models(train, validation, test, CLASS_FEATURES, CLASS_CATEGORICAL, {k: sizes[k] for k in CLASSIFIERS})
     return frame.select("modelo", F.col("n_features").cast("bigint").alias("n_features"), F.col("f1_macro").between(0, 1).alias("measured"))
+
+
+#: Queries whose time is model fits.
+NAMES = [
+    "poisson_glm_cv", "tweedie_glm", "rf_cv", "gbt_cv", "model_choice_per_category", "refit_and_compare", "random_search", "logreg_eval", "tree_eval",
+    "forest_eval", "boosting_eval", "permutation_importance", "backward_elimination", "classifier_comparison",
+]

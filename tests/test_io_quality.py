@@ -203,3 +203,11 @@ def test_aggregates_and_unions(spark):
     assert union_schemas(df, spark.createDataFrame([(1,)], "z int")).columns == ["u", "v", "z"]
     old, new = (spark.createDataFrame([(k, v)], "k int, v string") for k, v in ((1, "o"), (1, "n")))
     assert [tuple(r) for r in upsert(old, new, ["k"]).collect()] == [(1, "n")]
+
+
+def test_delimited_null_words_and_quoted_breaks(spark, tmp_path):
+    text = 'a;b.c\n1;NA\nnull;nada\n" x";"line\n""two"""\nNaN;None\n'
+    put(tmp_path / "n.csv", text)
+    rows = lambda **o: [tuple(r) for r in read_delimited(spark, str(tmp_path / "n.csv"), **o).collect()]
+    assert rows() == [("1", None), (None, "nada"), (" x", 'line\n"two"'), (None, None)]
+    assert rows(null_words=(), columns=["a", "b.c"]) == [("1", "NA"), ("null", "nada"), (" x", 'line\n"two"'), ("NaN", "None")]
