@@ -88,14 +88,15 @@ def rank_min(df: DataFrame, value: str, out: str = "rank", by: Sequence[str] = (
 def fill_from_next(df: DataFrame, order: Sequence[str], cols: Sequence[str]) -> DataFrame:
     """Replace nulls by the next non-null value in a global order."""
     keyed = range_sorted(df, (), order)
-    following = Window.partitionBy(PART).orderBy(POS).rowsBetween(0, Window.unboundedFollowing)
+    # Walking backwards, the next value is the last one seen: a growing frame, not one that is read anew for every row.
+    following = Window.partitionBy(PART).orderBy(F.col(POS).desc()).rowsBetween(Window.unboundedPreceding, 0)
     firsts = keyed.groupBy(PART).agg(*[F.min_by(c, F.when(F.col(c).isNotNull(), F.col(POS))).alias(c) for c in cols])
     # One row per partition; the value to carry back is the first one found in later partitions.
     later = Window.orderBy("__s_part").rowsBetween(1, Window.unboundedFollowing)
     carry = firsts.withColumnRenamed(PART, "__s_part")
     carry = carry.select("__s_part", *[F.first(c, ignorenulls=True).over(later).alias(f"__next_{c}") for c in cols])
     joined = keyed.join(carry, F.col(PART) == F.col("__s_part"))
-    filled = joined.withColumns({c: F.coalesce(F.first(c, ignorenulls=True).over(following), F.col(f"__next_{c}")) for c in cols})
+    filled = joined.withColumns({c: F.coalesce(F.last(c, ignorenulls=True).over(following), F.col(f"__next_{c}")) for c in cols})
     return filled.select(*df.columns)
 
 

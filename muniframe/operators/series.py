@@ -40,19 +40,13 @@ def fill_panel(
     the next unit's first value. ``time``: per (unit, category) in date order only, forward
     then backward, so nothing crosses a series.
     """
+    keys, order = ([unit, category], [date]) if mode == "time" else ([unit], [category, date])
+    # The next value is the last one of the reversed order, so both frames grow from the start of the partition.
+    forward = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    backward = Window.partitionBy(*keys).orderBy(*[F.col(c).desc() for c in order]).rowsBetween(Window.unboundedPreceding, 0)
+    filled = df.withColumns({c: F.coalesce(F.last(c, ignorenulls=True).over(forward), F.last(c, ignorenulls=True).over(backward)) for c in cols})
     if mode == "time":
-        w = Window.partitionBy(unit, category).orderBy(date)
-        forward = w.rowsBetween(Window.unboundedPreceding, 0)
-        backward = w.rowsBetween(0, Window.unboundedFollowing)
-        return df.withColumns(
-            {c: F.coalesce(F.last(c, ignorenulls=True).over(forward), F.first(c, ignorenulls=True).over(backward)) for c in cols}
-        )
-    w = Window.partitionBy(unit).orderBy(category, date)
-    forward = w.rowsBetween(Window.unboundedPreceding, 0)
-    backward = w.rowsBetween(0, Window.unboundedFollowing)
-    filled = df.withColumns(
-        {c: F.coalesce(F.last(c, ignorenulls=True).over(forward), F.first(c, ignorenulls=True).over(backward)) for c in cols}
-    )
+        return filled
     # After the in-unit passes a null is left only where a unit has no value at all.
     firsts = df.groupBy(unit).agg(
         *[F.min_by(c, F.when(F.col(c).isNotNull(), F.struct(category, date))).alias(c) for c in cols]

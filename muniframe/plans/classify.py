@@ -11,7 +11,7 @@ from pyspark.ml.classification import (
     DecisionTreeClassifier, GBTClassifier, LogisticRegression, OneVsRest, RandomForestClassifier,
 )
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..operators.aggregates import balance_weights, confusion_metrics
 from ..operators.ordering import exact_quantiles, number_rows
@@ -67,15 +67,29 @@ def split_position(fractions: Sequence[float], number: Column, size: Column) ->
     return part
 
 
+#: Hash ranges per class: only the rows of a range with a cut point in it are ranked.
+SPLIT_BITS = 12
+
+
 def stratified_split(df: DataFrame, label: str, key: str, fractions: Sequence[float] = (0.6, 0.2, 0.2), seed: int = SEED, out: str = "part") -> DataFrame:
     """Exact class shares in every part, reproducible from the row key.
 
-    Rows are numbered inside their class in hash order by one range sort, so a class
-    with most of the rows is spread over most of the partitions.
+    Rows of a class count as numbered in hash order. Ranges of the hash are counted, and the running
+    count gives every row of a range its part, unless a cut point lies inside the range; those few ranges are ranked row by row.
     """
     hashed = df.withColumn("__h", F.xxhash64(F.col(key), F.lit(seed)))
-    numbered = number_rows(hashed, ["__h", key], "__rn", by=[label], size="__size")
-    return numbered.withColumn(out, split_position(fractions, F.col("__rn"), F.col("__size"))).drop("__h", "__rn", "__size")
+    ranged = hashed.withColumn("__r", F.shiftright("__h", 64 - SPLIT_BITS))
+    counts = ranged.groupBy(F.col(label).alias("__label"), F.col("__r").alias("__range")).agg(F.count(F.lit(1)).alias("__n"))
+    earlier = Window.partitionBy("__label").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumns({"__before": F.coalesce(F.sum("__n").over(earlier), F.lit(0)), "__size": F.sum("__n").over(Window.partitionBy("__label"))})
+    first = split_position(fractions, F.col("__before") + 1, F.col("__size"))
+    last = split_position(fractions, F.col("__before") + F.col("__n"), F.col("__size"))
+    known = counts.withColumn("__part", F.when(first == last, first)).drop("__n")
+    placed = ranged.join(known, ranged[label].eqNullSafe(known["__label"]) & (ranged["__r"] == known["__range"]))
+    whole = placed.where(F.col("__part").isNotNull()).withColumn(out, F.col("__part"))
+    number = F.row_number().over(Window.partitionBy(label, "__r").orderBy("__h", key)) + F.col("__before")
+    cut = placed.where(F.col("__part").isNull()).withColumn(out, split_position(fractions, number, F.col("__size")))
+    return whole.unionByName(cut).select(*df.columns, out)
 
 
 def fit_imputer(train: DataFrame, numeric: Sequence[str], categorical: Sequence[str]) -> SQLTransformer:

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..operators.quality import CORRECTED_RULES, check_constraints, duplicate_keys, not_null_rules, range_rules
+from .. import vocab
+from ..operators.quality import CORRECTED_CENSUS_YEARS, CORRECTED_RULES, check_constraints, duplicate_keys, not_null_rules, range_rules
 from .panel import feature_table
 
 # Column types of the target tables.
@@ -18,11 +19,13 @@ TABLES: Mapping[str, str] = {
     "bairro_indicadores_anuais": "id string, bairro_id string, ano_censo smallint, log_rendimento double, log_pop double, pct_alfabetizacao_15_mais double, "
     "pct_sem_banheiro_sanitario double, pct_esgotamento_precario double, pct_sem_rede_geral_agua double, pct_lixo_destino_inadequado double, "
     "metodo_estimativa string, created_at timestamp",
+    "ibge_bairro_censo": "id string, bairro_id string, ano_censo smallint, log_rendimento double, log_pop double, pct_alfabetizacao_15_mais double, "
+    "pct_sem_banheiro_sanitario double, pct_esgotamento_precario double, pct_sem_rede_geral_agua double, pct_lixo_destino_inadequado double, created_at timestamp",
     "bairro_iqv_anual": "id string, bairro_id string, ano smallint, iqv double, created_at timestamp",
 }
 UNIQUE: Mapping[str, Sequence[str]] = {
     "bairros": ["id"], "categorias_ocorrencia": ["codigo"], "ocorrencias": ["id"],
-    "bairro_indicadores_anuais": ["bairro_id", "ano_censo"], "bairro_iqv_anual": ["bairro_id", "ano"],
+    "bairro_indicadores_anuais": ["bairro_id", "ano_censo"], "ibge_bairro_censo": ["bairro_id", "ano_censo"], "bairro_iqv_anual": ["bairro_id", "ano"],
     "model_features_contagem_mensal": ["bairro_id", "categoria_id", "periodo_mes"],
 }
 
@@ -53,6 +56,46 @@ def category_dimension(df: DataFrame, codes: Sequence[str]) -> DataFrame:
     return conform(rows.withColumn("id", digest(F.col("codigo"))), "categorias_ocorrencia")
 
 
+def incident_facts(
+    incidents: DataFrame, unit: str = vocab.UNIT_COLUMN, categories: Sequence[str] = vocab.NATURE_CATEGORIES
+) -> DataFrame:
+    """One row per incident and flagged category, keyed by unit and category digests. An incident without a category or unit
+    has no fact; a missing period or equipment flag is false. Cleaned incidents have no code left, so the id is a digest of
+    the whole row and its number among equal rows."""
+    flagged = F.filter(F.array(*[F.when(F.col(c) == 1, F.lit(c)) for c in categories]), lambda c: c.isNotNull())
+    whole = digest(F.to_json(F.struct(*[F.col(c) for c in incidents.columns]), {"ignoreNullFields": "false"}))
+    rows = incidents.where(F.col(unit).isNotNull()).withColumn("__row", whole)
+    rows = rows.withColumn("__copy", F.row_number().over(Window.partitionBy("__row").orderBy("__row"))).withColumn("__category", F.explode(flagged))
+    flag = lambda c: F.coalesce(F.col(c).cast("int") == 1, F.lit(False)) if c in incidents.columns else F.lit(False)
+    return conform(rows.select(
+        digest(F.col("__row"), F.col("__copy").cast("string"), F.col("__category")).alias("id"), digest(F.col(unit)).alias("bairro_id"), digest(F.col("__category")).alias("categoria_id"),
+        F.col("OCORRENCIA_DIA").alias("dia_ocorrencia"), F.col("OCORRENCIA_ANO").alias("ano"), F.col("OCORRENCIA_MES").alias("ocorrencia_mes"),
+        F.col("OCORRENCIA_DIA_SEMANA").alias("ocorrencia_dia_semana"), flag("FLAG_EQUIPAMENTO_URBANO").alias("flag_equipamento_urbano"),
+        *[flag(c.upper()).alias(c) for c in ("madrugada", "manha", "tarde", "noite")],
+    ), "ocorrencias")
+
+
+def _census_values(rows: DataFrame, unit: str, suffix: str) -> DataFrame:
+    n = lambda c: F.col(c + suffix).cast("double")
+    lacking = ("sem_banheiro_sanitario", "esgotamento_precario", "sem_rede_geral_agua", "lixo_destino_inadequado")
+    values = rows.select(
+        digest(F.col(unit)).alias("bairro_id"), F.col("ano").alias("ano_censo"), "metodo_estimativa", F.log1p(n("rendimento_medio_responsavel_sm")).alias("log_rendimento"),
+        F.log1p(n("populacao")).alias("log_pop"), n("pct_alfabetizacao_15mais").alias("pct_alfabetizacao_15_mais"), *[n(f"pct_{c}").alias(f"pct_{c}") for c in lacking],
+    )
+    return values.withColumn("id", digest(F.col("bairro_id"), F.col("ano_censo").cast("string")))
+
+
+def yearly_table(yearly: DataFrame, unit: str = vocab.UNIT_COLUMN) -> DataFrame:
+    """Estimated indicators per unit and year (output of ``yearly_indicators``), with how each was obtained."""
+    return conform(_census_values(yearly.withColumn("metodo_estimativa", F.col("tipo_estimativa")), unit, "_estimado"), "bairro_indicadores_anuais")
+
+
+def census_table(yearly: DataFrame, unit: str = vocab.UNIT_COLUMN) -> DataFrame:
+    """The observed census years alone."""
+    observed = yearly.where(F.col("tipo_estimativa") == "observado").withColumn("metodo_estimativa", F.col("tipo_estimativa"))
+    return conform(_census_values(observed, unit, "_estimado"), "ibge_bairro_censo")
+
+
 def index_by_year(features: DataFrame, unit: str, year: str = "ano", index: str = "IQV_final") -> DataFrame:
     """Index per (unit, year); it is constant there, so the mean is the value."""
     yearly = features.groupBy(digest(F.col(unit)).alias("bairro_id"), F.col(year).alias("ano")).agg(F.avg(index).alias("iqv"))
@@ -69,6 +112,9 @@ def table_violations(df: DataFrame, table: str, nullable: Sequence[str] = ()) ->
     ranges = {"ocorrencias": "occurrence", "bairro_iqv_anual": "index", "model_features_contagem_mensal": "panel"}.get(table)
     if ranges:
         rules.update(range_rules(CORRECTED_RULES[ranges]))
+    if table in ("ibge_bairro_censo", "bairro_indicadores_anuais"):
+        first, last = CORRECTED_CENSUS_YEARS if table == "ibge_bairro_censo" else (2009, 2026)
+        rules.update(range_rules({"ano_censo": (first, last)}))
     found = check_constraints(df, rules)
     repeated = duplicate_keys(df, UNIQUE[table]).agg(F.lit(f"unique {', '.join(UNIQUE[table])}").alias("rule"), F.count(F.lit(1)).alias("violations"))
     return found.unionByName(repeated)

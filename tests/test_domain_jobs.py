@@ -7,7 +7,10 @@ import domain
 from muniframe import vocab
 from muniframe.operators.joins import checked_join, key_difference
 from muniframe.plans.census import census_2010, census_2022
-from muniframe.plans.gold import category_dimension, index_by_year, model_features_table, table_violations, unit_dimension
+from muniframe.operators.quality import fk_orphans
+from muniframe.plans.gold import (
+    category_dimension, census_table, incident_facts, index_by_year, model_features_table, table_violations, unit_dimension, yearly_table,
+)
 from muniframe.plans.incidents import clean_incidents, invalid_dates, overlapping_codes, split_date, unify_incidents, unmapped_values
 from muniframe.plans.indicators import apply_consistency, attach_yearly, interpolate_years
 from muniframe.plans.jobs import build_index, build_panel, build_yearly, clean_incident_files
@@ -170,6 +173,15 @@ def test_jobs_end_to_end(spark, root, incidents, yearly):
     iqv = index_by_year(features.dropna(subset=["IQV_final"]), vocab.UNIT_COLUMN)
     assert all(r["violations"] == 0 for r in table_violations(iqv, "bairro_iqv_anual").collect())
     assert unit_dimension(features, vocab.UNIT_COLUMN).count() == 4
+    facts, census, annual = incident_facts(incidents), census_table(yearly), yearly_table(yearly)
+    assert facts.count() == sum(incidents.agg(*[F.sum(c) for c in vocab.NATURE_CATEGORIES]).first()) and census.count() == 4 * 2 and annual.count() == 4 * 18
+    units = unit_dimension(incidents, vocab.UNIT_COLUMN)
+    for table in (facts, census, annual):
+        assert fk_orphans(table, units, "bairro_id", "id").count() == 0
+    values = [c for c in census.columns if c.startswith(("log_", "pct_"))]
+    assert all(r["violations"] == 0 for r in table_violations(census, "ibge_bairro_censo", values).collect())
+    assert all(r["violations"] == 0 for r in table_violations(annual, "bairro_indicadores_anuais", values).collect())
+    assert all(r["violations"] == 0 for r in table_violations(facts, "ocorrencias").collect())
     assert category_dimension(features, vocab.FORECAST_CATEGORIES).where("ativa").count() == 6
 
 
