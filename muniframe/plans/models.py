@@ -8,7 +8,6 @@ gradient boosting on log1p(y), mapped back.
 from __future__ import annotations
 
 import random
-import uuid
 from collections.abc import Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from itertools import product
@@ -20,7 +19,7 @@ from pyspark.ml.regression import GBTRegressor, GeneralizedLinearRegression, Ran
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.numeric import clip
-from ..session import ensure_checkpoint_dir
+from ..session import shared_folder
 from .metrics import best_per_group, fold_metrics, forecast_metrics, summarize_folds
 from .panel import FEATURES, TemporalFolds
 
@@ -124,7 +123,7 @@ def cv_models(
     """
     kept = features.is_cached
     features = features.persist()
-    root = f"{ensure_checkpoint_dir(features.sparkSession).rstrip('/')}/cv-{uuid.uuid4().hex}"
+    root = shared_folder(features.sparkSession, "cv")
     groups: list[tuple[str | None, object]] = [(None, None)]
     if by:
         (column, values), = by.items()

@@ -15,6 +15,7 @@ DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -55,8 +56,18 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below the checkpoint folder, deleted when the application ends."""
+    place = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(place)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return place
+
+
 def stored(df: DataFrame) -> DataFrame:
-    """Written once as Parquet below the checkpoint folder and read back: lineage ends there, columns stay compressed."""
-    place = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
+    """Written once as Parquet below the checkpoint folder and read back: lineage ends there, columns stay compressed.
+    The table goes when the application ends."""
+    spark = df.sparkSession
+    place = shared_folder(spark, "table")
     df.write.parquet(place)
-    return df.sparkSession.read.schema(df.schema).parquet(place)
+    return spark.read.schema(df.schema).parquet(place)

@@ -13,12 +13,14 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..sources.bronze import load_bronze, write_bronze
 
+#: Files of one micro-batch at most: the list of their paths is all that the driver sees.
+BATCH_FILES = 1000
 LISTING = "path string, modificationTime timestamp, length bigint, content binary"
 
 
 def new_files(spark: SparkSession, root: str) -> DataFrame:
     """Stream of arriving CSV paths under ``root/<source>/``; the pruned content column is never read."""
-    files = spark.readStream.format("binaryFile").schema(LISTING).option("pathGlobFilter", "*.csv")
+    files = spark.readStream.format("binaryFile").schema(LISTING).option("pathGlobFilter", "*.csv").option("maxFilesPerTrigger", BATCH_FILES)
     return files.load(f"{root.rstrip('/')}/*").select("path")
 
 

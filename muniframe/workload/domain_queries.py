@@ -34,6 +34,11 @@ def _raw_incidents(t: Tables) -> DataFrame:
     )
 
 
+NAMED = {"violent": "CRIME_VIOLENTO", "property": "CRIME_PATRIMONIAL", "natural_accident": "ACIDENTE_NATURAL", "public_order": "CRIME_ORDEM_PUBLICA"}
+#: Categories that none of the raw texts belongs to.
+EMPTY = [c for c in vocab.NATURE_CATEGORIES if c not in NAMED.values()]
+
+
 @query("""
 WITH r AS (SELECT CASE o_orderstatus WHEN 'F' THEN 'centro civico' WHEN 'O' THEN 'cidade industrial' END AS unit, o_orderpriority AS p, c_mktsegment AS s, dayofweek(o_orderdate) + 1 AS wd
   FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus <> 'P' AND o_orderpriority <> '4-NOT SPECIFIED'),
@@ -42,14 +47,14 @@ SELECT unit, CAST(wd AS BIGINT) AS weekday, CAST(count(*) AS BIGINT) AS n, CAST(
   CAST(sum(CASE WHEN k = 'V' THEN 1 ELSE 0 END) AS BIGINT) AS violent, CAST(sum(CASE WHEN k = 'P' THEN 1 ELSE 0 END) AS BIGINT) AS property,
   CAST(sum(CASE WHEN k = 'N' THEN 1 ELSE 0 END) AS BIGINT) AS natural_accident, CAST(sum(CASE WHEN k = 'O' THEN 1 ELSE 0 END) AS BIGINT) AS public_order,
   CAST(sum(CASE WHEN k IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS unknown, CAST(sum(CASE WHEN s = 'BUILDING' THEN 1 ELSE 0 END) AS BIGINT) AS at_dawn,
-  CAST(sum(CASE WHEN s = 'FURNITURE' THEN 1 ELSE 0 END) AS BIGINT) AS no_hour
+  CAST(sum(CASE WHEN s = 'FURNITURE' THEN 1 ELSE 0 END) AS BIGINT) AS no_hour,
+  """ + ", ".join(f"CAST(0 AS BIGINT) AS {c.lower()}" for c in EMPTY) + """
 FROM c GROUP BY 1, 2""")
 def incident_cleaning(t: Tables) -> DataFrame:
     cleaned = clean_incidents(_raw_incidents(t), strict=False)
-    named = {"violent": "CRIME_VIOLENTO", "property": "CRIME_PATRIMONIAL", "natural_accident": "ACIDENTE_NATURAL", "public_order": "CRIME_ORDEM_PUBLICA"}
     flagged = sum((F.col(c) for c in vocab.NATURE_CATEGORIES), F.lit(0))
     return cleaned.groupBy(F.col("ATENDIMENTO_BAIRRO_NOME").alias("unit"), F.col("OCORRENCIA_DIA_SEMANA").cast("bigint").alias("weekday")).agg(
-        F.count(F.lit(1)).alias("n"), F.sum("FLAG_FLAGRANTE").alias("caught"), *[F.sum(c).alias(n) for n, c in named.items()],
+        F.count(F.lit(1)).alias("n"), F.sum("FLAG_FLAGRANTE").alias("caught"), *[F.sum(c).alias(n) for n, c in NAMED.items()], *[F.sum(c).alias(c.lower()) for c in EMPTY],
         F.count_if(flagged == 0).alias("unknown"), F.sum("MADRUGADA").alias("at_dawn"), F.count_if(F.col("OCORRENCIA_HORA_HORA").isNull()).alias("no_hour"),
     )
 

@@ -98,14 +98,23 @@ def cyclic_time_features(t: Tables) -> DataFrame:
     return round_all(_keys(out).withColumns({c: F.col(c) + 1e-9 for c in _CYCLES}), [*_CYCLES, *logs])
 
 
-@query(f"""WITH {_GAPS_SQL},
-hist2 AS (SELECT *, lag(y, 12) OVER (PARTITION BY unit, categoria ORDER BY data) AS lag_12, lag(y, 1) OVER (PARTITION BY unit, categoria ORDER BY data) AS lag_1 FROM panel)
-SELECT CAST(year(data) AS BIGINT) AS ano, CAST(count(*) AS BIGINT) AS n, CAST(sum(y) AS BIGINT) AS y, CAST(sum(lag_1) AS DOUBLE) AS lag_1, CAST(sum(lag_12) AS DOUBLE) AS lag_12,
-  CAST(count(DISTINCT CAST(unit AS VARCHAR) || categoria) AS BIGINT) AS series FROM hist2 WHERE lag_12 IS NOT NULL GROUP BY 1""")
+_SUMS_SQL = ", ".join(
+    [f"round(sum(CAST({c} AS DOUBLE)) + 1e-6, 3) AS {c}, round(sum(ln(1 + CAST({c} AS DOUBLE))) + 1e-6, 3) AS log1p_{c}" for c in FEATURES]
+    + [f"round(sum({f}(2 * pi() * {k} * month(data) / 12)) + 1e-6, 3) AS mes_{f}_{k}" for k in (1, 2) for f in ("sin", "cos")]
+)
+
+
+@query(f"""WITH {HISTORY_SQL}
+SELECT CAST(year(data) AS BIGINT) AS ano, CAST(count(*) AS BIGINT) AS n, CAST(sum(y) AS BIGINT) AS y, {_SUMS_SQL},
+  CAST(sum((year(data) - (SELECT min(year(data)) FROM panel)) * 12 + month(data)) AS BIGINT) AS tempo,
+  CAST(count(DISTINCT CAST(unit AS VARCHAR) || categoria) AS BIGINT) AS series FROM hist WHERE lag_12 IS NOT NULL GROUP BY 1""")
 def feature_table_summary(t: Tables) -> DataFrame:
+    """Every column of the feature table that comes from the panel, summed by year."""
     table = feature_table(features(t))
+    cyclic = [f"mes_{f}_{k}" for k in (1, 2) for f in ("sin", "cos")]
+    summed = [*FEATURES, *[f"log1p_{c}" for c in FEATURES], *cyclic]
     return table.groupBy(F.col("ano").cast("bigint").alias("ano")).agg(
-        F.count(F.lit(1)).alias("n"), F.sum("y").alias("y"), F.sum("lag_1").alias("lag_1"), F.sum("lag_12").alias("lag_12"),
+        F.count(F.lit(1)).alias("n"), F.sum("y").alias("y"), *[rounded(F.sum(c) + F.lit(1e-6), 3).alias(c) for c in summed], F.sum("tempo").alias("tempo"),
         F.count_distinct("bairro_id", "categoria_id").alias("series"),
     )
 
