@@ -34,23 +34,41 @@ def _quotas(total: int, shards: int) -> list[int]:
     return [total // shards + (s < total % shards) for s in range(shards)]
 
 
+def admitted(wanted: list[list[float]], load: list[int], quotas: list[int]) -> list[list[float]]:
+    """Which share of each wished flow (from, to) may move so that no shard ends above its quota (or above its load, where
+    that is more already). What leaves a shard makes room in it; flows into a shard that is still too full shrink until all fit."""
+    shards = range(len(load))
+    flow = [row[:] for row in wanted]
+    for _ in range(200):
+        tight = True
+        for t in shards:
+            inflow = sum(flow[s][t] for s in shards)
+            room = max(quotas[t], load[t]) - load[t] + sum(flow[t])
+            if inflow > room * (1 + 1e-9):
+                tight = False
+                for s in shards:
+                    flow[s][t] *= room / inflow
+        if tight:
+            break
+    return [[flow[s][t] / wanted[s][t] if wanted[s][t] else 0.0 for t in shards] for s in shards]
+
+
 def propagate(cells: DataFrame, quotas: list[int], rounds: int = ROUNDS) -> DataFrame:
-    """Cells (g, label, n) after the rounds. A round's wishes are summed by shard (at most shards squared numbers), and what
-    a shard can't take in stays: a shard with room for a share f of its inflow takes each small cell with probability f,
-    told by a hash, and of a cell above a hundredth of its quota the share f."""
+    """Cells (g, label, n) after the rounds. A round's wishes are summed by shard (shards squared numbers); of a wished flow that may
+    move in part, each small cell moves with that probability, told by a hash, and of a cell above a hundredth of its quota that share."""
     shards = len(quotas)
     for turn in range(rounds):
         best = cells.groupBy("g").agg(F.max_by("label", F.struct("n", F.xxhash64("g", "label", F.lit(turn)))).alias("target"))
         wishes = cells.join(best, "g")
-        load, inflow = [0] * shards, [0] * shards
+        load, wanted = [0] * shards, [[0.0] * shards for _ in range(shards)]
         for row in wishes.groupBy("label", "target").agg(F.sum("n").alias("n")).collect():
             load[row.label] += row.n
             if row.label != row.target:
-                inflow[row.target] += row.n
-        if not sum(inflow):
+                wanted[row.label][row.target] += row.n
+        if not any(map(sum, wanted)):
             break
-        share = [min(1.0, max(0, quotas[s] - load[s]) / inflow[s]) if inflow[s] else 0.0 for s in range(shards)]
-        f = F.element_at(F.array(*[F.lit(x) for x in share]), (F.col("target") + 1).cast("int"))
+        share = [x for row in admitted(wanted, load, quotas) for x in row]
+        f = F.element_at(F.array(*[F.lit(x) for x in share]), (F.col("label") * shards + F.col("target") + 1).cast("int"))
         small = F.col("n") <= _choose([max(1, q // 100) for q in quotas], F.col("target"))
         moved = F.when(F.col("label") == F.col("target"), F.lit(0)).when(small, F.when(_unit("g", "label", F.lit(turn + 100)) < f, F.col("n")).otherwise(0)).otherwise(F.floor(F.col("n") * f))
         parts = wishes.withColumn("moved", moved.cast("long")).select("g", F.explode(F.array(

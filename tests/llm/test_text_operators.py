@@ -1,5 +1,6 @@
 """Quality, decontamination, chat and near-duplicates against plain Python on the small tables and on odd rows."""
 
+import random
 import sys
 from pathlib import Path
 
@@ -86,6 +87,21 @@ def test_near_groups(spark, odd):
     assert neardup.keep_one(odd).columns == odd.columns
 
 
+@pytest.mark.parametrize("block", [7, 4000])
+def test_near_strays_in_blocks(spark, monkeypatch, block):
+    """Copies with differing edits: many reach their leader only through others, or not at all."""
+    monkeypatch.setattr(neardup, "BLOCK", block)
+    rng = random.Random(4)
+    rows = []
+    for k in range(120):
+        words = [f"w{i}" for i in range(60)]
+        for _ in range(rng.randint(0, 7)):
+            words[rng.randrange(60)] = f"z{rng.randrange(40)}"
+        rows.append((k, " ".join(words)))
+    want = brute.near_groups(rows)
+    assert rows_of(neardup.near_groups(spark.createDataFrame(rows, "doc_id long, text string"))) == want and 1 < len({w[2] for w in want}) < 100
+
+
 def test_near_chain(spark):
     """Edited copies that reach each other only through others are one group."""
     base = [f"w{i}" for i in range(120)]
