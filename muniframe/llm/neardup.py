@@ -161,9 +161,10 @@ def alike(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 BLOCK_KEYS = ["home", "i", "j"]
 
 
-def in_blocks(near: DataFrame, block: int = BLOCK) -> DataFrame:
+def in_blocks(near: DataFrame, block: int | None = None) -> DataFrame:
     """``near``: (home, node, c, stray), distinct: the nodes around a component. Every stray meets every node of its home in one
     block (home, i, j): nodes are dealt to rows i and copied along j, strays to columns j and copied along i."""
+    block = block or BLOCK
     sizes = near.groupBy("home").agg(F.count(F.lit(1)).alias("all"), F.count_if("stray").alias("strays")).where("strays > 0")
     wide = sizes.select("home", F.ceil(F.col("all") / block).cast("int").alias("rows"), F.ceil(F.col("strays") / block).cast("int").alias("columns"))
     i, j = F.pmod(F.hash("node"), F.col("rows")), F.pmod(F.hash("node", F.lit(1)), F.col("columns"))
