@@ -34,13 +34,15 @@ _EXPECTED = 0.8 + 0.2 / 16
 AGREEMENT = _EXPECTED - 5.2 * (_EXPECTED * (1 - _EXPECTED) / VALUES) ** 0.5
 #: Documents on either side of a block in which strays are compared; their sets are in memory together.
 BLOCK = 4000
+#: Words in a shingle where the caller gives none.
+SIZE = 2
 
 INSIDE = ~mask_of(BLANKS)
 _RANDOM = np.random.default_rng(20).integers(0, 1 << 32, (2, PERMUTATIONS), dtype=np.uint32)
 FACTORS, SHIFTS = _RANDOM[0] | np.uint32(1), _RANDOM[1]
 
 
-def shingle_sets(data: np.ndarray, at: np.ndarray, size: int = 2) -> tuple[np.ndarray, np.ndarray]:
+def shingle_sets(data: np.ndarray, at: np.ndarray, size: int = SIZE) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes of each text, flat, with their bounds. Fewer words than ``size``: the whole sequence is one shingle."""
     data = lowered(data)
     words = Words(data, at, INSIDE[data])
@@ -93,12 +95,12 @@ def band_keys(signature: np.ndarray) -> np.ndarray:
 SKETCH = "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>, sketch binary"
 
 
-def sketches(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def sketches(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SIZE) -> DataFrame:
     """Set size, a 128-bit key of the set, band keys and the sketch, per document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, at in chunks(batches, text):
-            flat, bounds = shingle_sets(data, at)
+            flat, bounds = shingle_sets(data, at, size)
             sizes = np.diff(bounds)
             full = np.flatnonzero(sizes)
             n = len(sizes)
@@ -124,12 +126,12 @@ def sketches(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     return docs.select(F.col(key).cast("long").alias("doc_id"), text).mapInArrow(run, SKETCH)
 
 
-def sets_of(docs: DataFrame, ids: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def sets_of(docs: DataFrame, ids: DataFrame, key: str = "doc_id", text: str = "text", size: int = SIZE) -> DataFrame:
     """(doc_id, shingles) of the documents in ``ids`` (one column, distinct). Texts are compressed before they are shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, at in chunks(opened(batches)):
-            flat, bounds = shingle_sets(data, at)
+            flat, bounds = shingle_sets(data, at, size)
             lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(flat.view(np.int64)))
             yield pa.RecordBatch.from_arrays([rows.column(0), lists], names=["doc_id", "shingles"])
 
@@ -255,12 +257,12 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id, kept, one row per input row.
+def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SIZE) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept, one row per input row; shingles are ``size`` words.
 
     Null and empty texts have no shingles, are linked with nothing and kept. Repeated rows are
     equal sets. A null doc_id stays alone: component null, kept. Extra columns are ignored."""
-    table = stored(sketches(docs, key, text))
+    table = stored(sketches(docs, key, text, size))
     full = table.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
     classes = full.groupBy("k1", "k2", "n_shingles").agg(F.min("doc_id").alias("node"))
     first = full.join(classes.select(F.col("node").alias("doc_id"), "k1", "k2", "n_shingles"), ["doc_id", "k1", "k2", "n_shingles"])
@@ -273,7 +275,7 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     top = F.max(F.struct("weight", (-F.col("node")).alias("node"))).alias("top")
     leaders = stored(members.join(central, "node").groupBy("bucket").agg(top).select("bucket", (-F.col("top.node")).alias("b")))
     stars = members.join(leaders, "bucket").where("node != b").select(F.col("node").alias("a"), "b").distinct()
-    sets = stored(sets_of(docs, members.select(F.col("node").alias("doc_id")).distinct(), key, text).dropDuplicates(["doc_id"]))
+    sets = stored(sets_of(docs, members.select(F.col("node").alias("doc_id")).distinct(), key, text, size).dropDuplicates(["doc_id"]))
     links = stored(confirmed(stored(alike(stars, nodes)), sets))
     found = components(links)
 
@@ -294,7 +296,7 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     return joined.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
-def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SIZE) -> DataFrame:
     """The rows of ``docs`` that are their group's least doc_id, all columns unchanged; rows that repeat that id stay with it."""
-    drop = near_groups(docs, key, text).where(~F.col("kept")).select(F.col("doc_id").alias("_drop")).distinct()
+    drop = near_groups(docs, key, text, size).where(~F.col("kept")).select(F.col("doc_id").alias("_drop")).distinct()
     return docs.join(drop, F.col(key) == F.col("_drop"), "left_anti")
