@@ -3,9 +3,8 @@
 The model is an interpolated modified Kneser-Ney model over the bytes of a word: an n-gram never leaves
 its word, blanks mark both ends, so a word's probability depends on the word alone and is computed once
 per distinct word of a chunk. Spark counts the n-grams of all documents (each task merges its own counts
-before the shuffle). The counted table is stored as sorted arrays of hashed keys and probabilities; a fixed
-number of slots per order bounds its size whatever the corpus: of n-grams that fall into one slot the
-most frequent one stays, the others are scored through their shorter suffix.
+before the shuffle). All of them, however rare, make the model: sorted arrays of hashed keys and probabilities, built on
+the driver and shared with the executors. They grow with the distinct n-grams of the corpus.
 
 The verdict: the mean negative log-probability per byte must lie in a band of the text's language,
 median -/+ ``width`` robust standard deviations (interquartile range / 1.349) of that language's documents,
@@ -25,7 +24,6 @@ from ..session import checkpointed
 from .batches import BLANKS, Words, chunks, mask_of, mixed, slices, spans_of, text_bytes, total_per_text
 
 ORDER = 5
-SLOTS = 1 << 22
 WIDTH = 5.0
 #: Distinct n-grams that a task holds before it hands them on.
 HELD = 1 << 21
@@ -142,12 +140,9 @@ class Model:
         return out
 
 
-def fit(docs: DataFrame, text: str = "text", order: int = ORDER, slots: int = SLOTS) -> Broadcast:
-    """Count, keep at most ``slots`` n-grams (24 MB per million), and share the arrays with the executors."""
-    counted = count_ngrams(docs, text, order)
-    slot = F.pmod(F.xxhash64("key"), F.lit(slots))
-    kept = counted.groupBy(slot.alias("slot")).agg(F.max(F.struct("count", "key")).alias("top")).select("top.key", "top.count")
-    table = kept.toArrow()
+def fit(docs: DataFrame, text: str = "text", order: int = ORDER) -> Broadcast:
+    """Count all n-grams and share the arrays with the executors."""
+    table = count_ngrams(docs, text, order).toArrow()
     model = Model(np.asarray(table["key"]), np.asarray(table["count"]), order)
     return docs.sparkSession.sparkContext.broadcast(model)
 
