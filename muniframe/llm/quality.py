@@ -1,14 +1,15 @@
 """Quality rules: plain counts of every text, and the perplexity of its words under an n-gram model.
 
-The model is an interpolated modified Kneser-Ney model over the bytes of a word: an n-gram never leaves
-its word, blanks mark both ends, so a word's probability depends on the word alone and is computed once
-per distinct word of a chunk. Spark counts the n-grams of all documents (each task merges its own counts
+The model is an interpolated modified Kneser-Ney model over the bytes of a text's words with one blank after each:
+n-grams run across words and stay within a text. A text's probability is computed from the distinct n-grams of a chunk.
+Spark counts the n-grams of all documents (each task merges its own counts
 before the shuffle). All of them, however rare, make the model: sorted arrays of hashed keys and probabilities, built on
 the driver and shared with the executors. They grow with the distinct n-grams of the corpus.
 
-The verdict: the mean negative log-probability per byte must lie in a band of the text's language,
-median -/+ ``width`` robust standard deviations (interquartile range / 1.349) of that language's documents,
-widened for short texts by sqrt(1 + 100 / words).
+The verdict: the mean negative log-probability per byte and that per word must each lie in a band of the text's language
+(marks after every word are cheap by the byte, marks between words are cheap by the word). A short text's mean varies more, so
+its distance from the language's median is divided by sqrt(1 + 100 / words) first. Below and above the median
+the band ends at ``width`` robust standard deviations of these distances, each side by its own quartile.
 """
 
 from __future__ import annotations
@@ -24,7 +25,9 @@ from ..session import checkpointed
 from .batches import BLANKS, Words, chunks, mask_of, mixed, slices, spans_of, text_bytes, total_per_text
 
 ORDER = 5
-WIDTH = 5.0
+WIDTH = 4.0
+#: Words at which the variance of a text's mean is twice that of a long text, and a quartile in standard deviations.
+ROOM, QUARTILE = 100.0, 0.6745
 #: Distinct n-grams that a task holds before it hands them on.
 HELD = 1 << 21
 
@@ -32,35 +35,41 @@ INSIDE = ~mask_of(BLANKS)
 SIGNS = mask_of(b"#*$%&|<>")
 
 
-def keys_of(distinct: pa.BinaryArray, order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
-    """For each byte of each word and its end mark: the last ``order`` bytes as one integer; and the word's number."""
-    data, at = text_bytes(distinct)
-    lengths = np.diff(at)
-    owner = np.repeat(np.arange(len(lengths)), lengths + 1)
-    if not len(owner):
-        return np.empty(0, np.int64), owner
-    begin = np.concatenate([[0], np.cumsum(lengths + 1)])[:-1]
-    place = np.arange(len(owner)) - begin[owner]
-    byte = np.full(len(owner), 0x20, np.int64)
-    byte[place < lengths[owner]] = data
+def keys_of(data: np.ndarray, inside: np.ndarray, words: Words, order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
+    """For each byte of each text's words and the blank after each word: the last ``order`` bytes as one integer; and the
+    bounds of the texts (n + 1)."""
+    last = np.cumsum(words.ends - words.starts + 1) - 1
+    bounds = np.concatenate([[0], last + 1])[words.first]
+    byte = np.full(int(bounds[-1]), 0x20, np.int64)
+    letter = np.ones(len(byte), bool)
+    letter[last] = False
+    byte[letter] = data[inside]
+    starts, sizes = bounds[:-1], np.diff(bounds)
     key = byte.copy()
     for back in range(1, order):
-        before = np.full(len(owner), 0x20, np.int64)
-        reach = place >= back
-        before[reach] = byte[np.flatnonzero(reach) - back]
+        before = np.full(len(byte), 0x20, np.int64)
+        before[back:] = byte[:-back]
+        for k in range(back):
+            before[starts[sizes > k] + k] = 0x20
         key |= before << (8 * back)
-    return key, owner
+    return key, bounds
+
+
+def coded(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, and each key's number among them."""
+    found = pa.array(key).dictionary_encode()
+    return found.dictionary.to_numpy(), found.indices.to_numpy()
 
 
 def count_ngrams(docs: DataFrame, text: str = "text", order: int = ORDER) -> DataFrame:
-    """(key, count) of all n-grams of the words of all texts."""
+    """(key, count) of all n-grams of all texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, counts = np.empty(0, np.int64), np.empty(0, np.int64)
         for _, data, at in chunks(batches, text):
-            words = Words(data, at, INSIDE[data])
-            key, owner = keys_of(words.distinct, order)
-            weight = np.bincount(words.codes, minlength=len(words.distinct))[owner]
+            inside = INSIDE[data]
+            key, number = coded(keys_of(data, inside, Words(data, at, inside), order)[0])
+            weight = np.bincount(number, minlength=len(key))
             merged, number = np.unique(np.concatenate([keys, key]), return_inverse=True)
             keys, counts = merged, np.bincount(number, weights=np.concatenate([counts, weight]), minlength=len(merged)).astype(np.int64)
             if len(keys) > HELD:
@@ -150,11 +159,12 @@ def fit(docs: DataFrame, text: str = "text", order: int = ORDER) -> Broadcast:
 MEASURES = [
     *(T.StructField(c, T.LongType()) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")),
     T.StructField("base_failed", T.BooleanType()), T.StructField("log_perplexity", T.DoubleType()),
+    T.StructField("word_log_perplexity", T.DoubleType()),
 ]
 
 
 def measures(data: np.ndarray, at: np.ndarray, model: Model | None) -> dict[str, np.ndarray]:
-    """The counts of each text of a chunk, and the mean negative log-probability of its words' bytes (NaN without words)."""
+    """The counts of each text of a chunk, and the mean negative log-probability of its bytes and of its words (NaN without words)."""
     inside = INSIDE[data]
     words = Words(data, at, inside)
     texts = len(at) - 1
@@ -165,12 +175,11 @@ def measures(data: np.ndarray, at: np.ndarray, model: Model | None) -> dict[str,
     }
     out["base_failed"] = (n_words < 50) | (100 * out["n_repeat_words"] > 50 * n_words)
     if model is not None:
-        key, owner = keys_of(words.distinct, model.order)
-        score = np.bincount(owner, weights=model.log_p(key), minlength=len(words.distinct))
-        size = np.bincount(owner, minlength=len(words.distinct))
-        top = np.bincount(text_of, weights=score[words.codes], minlength=texts) if len(words.codes) else np.zeros(texts)
-        below = np.bincount(text_of, weights=size[words.codes], minlength=texts) if len(words.codes) else np.zeros(texts)
-        out["log_perplexity"] = np.where(below > 0, -top / np.maximum(below, 1), np.nan)
+        key, bounds = keys_of(data, inside, words, model.order)
+        distinct, number = coded(key)
+        surprise = total_per_text(-model.log_p(distinct)[number], bounds)
+        out["log_perplexity"] = np.where(n_words > 0, surprise / np.maximum(np.diff(bounds), 1), np.nan)
+        out["word_log_perplexity"] = np.where(n_words > 0, surprise / np.maximum(n_words, 1), np.nan)
     return out
 
 
@@ -236,17 +245,33 @@ def measured(docs: DataFrame, model: Broadcast, text: str = "text") -> DataFrame
     return docs.mapInArrow(run, schema)
 
 
+#: The scores with the digits they are rounded to, so that exact percentiles need a bounded table, and the least deviation.
+SCORES = {"log_perplexity": (3, 0.01), "word_log_perplexity": (2, 0.05)}
+
+
+def room() -> Column:
+    return F.sqrt(1 + F.lit(ROOM) / F.greatest("n_words", F.lit(1)))
+
+
 def bands(scored: DataFrame, lang: str = "lang", width: float = WIDTH) -> DataFrame:
-    """(_band_lang, _middle, _spread) of every language, over its documents that pass the plain rules. Values are rounded to
-    three digits first, so that the exact percentiles need a bounded table."""
-    quarter = F.percentile(F.round("log_perplexity", 3), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    rows = scored.where(~F.col("base_failed")).groupBy(F.coalesce(F.col(lang), F.lit("")).alias("_band_lang")).agg(quarter.alias("_q"))
-    return rows.select("_band_lang", F.col("_q")[1].alias("_middle"), (F.lit(width) * F.greatest((F.col("_q")[2] - F.col("_q")[0]) / 1.349, F.lit(0.01))).alias("_spread"))
+    """(_band_lang, and for each score its median ``_middle_``, and the reach of the band ``_below_`` and ``_above_``) of every
+    language, over its documents that pass the plain rules."""
+    own = scored.where(~F.col("base_failed")).select(F.coalesce(F.col(lang), F.lit("")).alias("_band_lang"), room().alias("_room"), *SCORES)
+    middles = own.groupBy("_band_lang").agg(*[F.percentile(F.round(c, digits), 0.5).alias(f"_middle_{c}") for c, (digits, _) in SCORES.items()])
+    apart = own.join(middles.withColumnRenamed("_band_lang", "_its"), F.col("_band_lang") == F.col("_its"))
+    away = {c: F.round((F.col(c) - F.col(f"_middle_{c}")) / F.col("_room"), digits) for c, (digits, _) in SCORES.items()}
+    rows = apart.groupBy("_band_lang", *[f"_middle_{c}" for c in SCORES]).agg(*[F.percentile(x, F.array(F.lit(0.25), F.lit(0.75))).alias(f"_q_{c}") for c, x in away.items()])
+    reach = lambda x, least: F.lit(width) * F.greatest(x / QUARTILE, F.lit(least))
+    sides = [(reach(-F.col(f"_q_{c}")[0], least).alias(f"_below_{c}"), reach(F.col(f"_q_{c}")[1], least).alias(f"_above_{c}")) for c, (_, least) in SCORES.items()]
+    return rows.select("_band_lang", *[f"_middle_{c}" for c in SCORES], *[x for pair in sides for x in pair])
 
 
 def within() -> Column:
-    room = F.col("_spread") * F.sqrt(1 + F.lit(100.0) / F.greatest("n_words", F.lit(1)))
-    return ~F.col("base_failed") & F.coalesce(F.abs(F.col("log_perplexity") - F.col("_middle")) <= room, F.lit(True))
+    inside = ~F.col("base_failed")
+    for c in SCORES:
+        away = (F.col(c) - F.col(f"_middle_{c}")) / room()
+        inside &= F.coalesce(away.between(-F.col(f"_below_{c}"), F.col(f"_above_{c}")), F.lit(True))
+    return inside
 
 
 def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", width: float = WIDTH) -> DataFrame:
@@ -254,10 +279,10 @@ def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     model = fit(docs, text)
     scored = checkpointed(measured(docs.select(key, lang, text), model, text).drop(text))
     limits = bands(scored, lang, width)
-    joined = scored.join(limits, F.coalesce(scored[lang], F.lit("")) == limits["_band_lang"], "left")
+    joined = scored.join(limits, F.coalesce(F.col(lang), F.lit("")) == F.col("_band_lang"), "left")
     return joined.select(
         key, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", within().alias("kept"),
-        "log_perplexity", (F.col("_middle") - F.col("_spread")).alias("band_low"), (F.col("_middle") + F.col("_spread")).alias("band_high"),
+        "log_perplexity", (F.col("_middle_log_perplexity") - F.col("_below_log_perplexity")).alias("band_low"), (F.col("_middle_log_perplexity") + F.col("_above_log_perplexity")).alias("band_high"),
     )
 
 
