@@ -10,8 +10,9 @@ capitals, changes between letters and digits, separators) and context (the chara
 password shortly before). They learn from what the rules can prove: valid base matches and tokens with a credential's
 form are private, failed base matches and ordinary mixed tokens are not; what proves a label is no feature of
 that candidate. The score from which at least PRECISION of the held-out candidates are private is the threshold; tokens
-at or above it that touch no base span are added as kind ``secret``. Training uses at most SAMPLE candidates, those with
-the least hashes; everything else runs over all texts.
+at or above it that touch no base span are added as kind ``secret``. Candidates of equal kind, match and context count once.
+Training uses about SAMPLE of them at most, shared out over kinds and labels; all others are held out, and everything else runs
+over all texts.
 """
 
 from __future__ import annotations
@@ -139,7 +140,7 @@ def candidates(df: DataFrame, text: str) -> DataFrame:
                 f["announced"] = F.lit(0.0)
             else:
                 label = F.when(valid(kind, s["match"]), 1.0).otherwise(0.0)
-            return F.struct(label.alias("label"), F.xxhash64(s["match"], before).alias("draw"), *[f[c].cast("double").alias(c) for c in FEATURES])
+            return F.struct(F.lit(kind).alias("kind"), label.alias("label"), F.xxhash64(s["match"], before).alias("draw"), *[f[c].cast("double").alias(c) for c in FEATURES])
 
         return F.transform(f"_{kind}", one)
 
@@ -182,18 +183,36 @@ class Model:
         return _scored(self.trees, values) >= self.threshold
 
 
+def shared_out(sizes: list[int], total: int) -> list[int]:
+    """Equal quotas of ``total``, none above its size; what small ones leave goes to the others."""
+    quotas, left = [0] * len(sizes), total
+    for rank, k in enumerate(sorted(range(len(sizes)), key=sizes.__getitem__)):
+        quotas[k] = min(sizes[k], left // (len(sizes) - rank))
+        left -= quotas[k]
+    return quotas
+
+
 def fit(proposed: DataFrame, sample: int = SAMPLE, precision: float = PRECISION) -> Model:
-    """Trees from four fifths of the sample, threshold from the rest. Without candidates of both labels, a model that adds nothing."""
-    drawn = stored(proposed.orderBy("draw").limit(sample))
+    """Trees from a sample of four fifths of the distinct candidates, an equal quota for each kind and label; threshold from all
+    others. A part that lacks a label takes all candidates. Without candidates of both labels, a model that adds nothing."""
+    distinct = stored(proposed.dropDuplicates(["kind", "draw"]))
     part = F.pmod("draw", F.lit(5))
-    counts = {(r["held"], r["label"]): r["count"] for r in drawn.groupBy((part == 0).alias("held"), "label").count().collect()}
-    if not all(counts.get((held, label)) for held in (False, True) for label in (0.0, 1.0)):
+    strata = distinct.groupBy("kind", "label").agg(F.count_if(part != 0).alias("n")).collect()
+    if len({r["label"] for r in strata}) < 2:
         return Model([], None)
-    assembled = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(drawn.where(part != 0))
+    quota = shared_out([r["n"] for r in strata], sample)
+    share = F.lit(0.0)
+    for r, q in zip(strata, quota):
+        share = F.when((F.col("kind") == r["kind"]) & (F.col("label") == r["label"]), q / max(r["n"], 1)).otherwise(share)
+    lot = F.pmod(F.xxhash64("draw", F.lit(1)), F.lit(1 << 20)) / (1 << 20)
+    marked = stored(distinct.withColumn("_trains", (part != 0) & (lot < share)))
+    counts = {(r["_trains"], r["label"]): r["count"] for r in marked.groupBy("_trains", "label").count().collect()}
+    drawn, held = (marked.where(F.col("_trains") == t) if all(counts.get((t, y)) for y in (0.0, 1.0)) else marked for t in (True, False))
+    assembled = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(drawn)
     learned = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=1).fit(assembled)
     trees = [(float(w), _tree(t._call_java("rootNode"))) for w, t in zip(learned.treeWeights, learned.trees)]
     margin = F.round(_scored(trees, {c: F.col(c) for c in FEATURES}) * 20)  # calibration in steps of a twentieth: a bounded table
-    steps = drawn.where(part == 0).groupBy(margin.alias("step")).agg(F.sum("label").alias("hits"), F.count("*").alias("n")).orderBy(F.col("step").desc()).collect()
+    steps = held.groupBy(margin.alias("step")).agg(F.sum("label").alias("hits"), F.count("*").alias("n")).orderBy(F.col("step").desc()).collect()
     hits = n = 0
     threshold = None
     for row in steps:
