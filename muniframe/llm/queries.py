@@ -7,7 +7,7 @@ from collections.abc import Callable
 from public_tokenizers import path as tokenizer_path
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, chat, decontaminate, neardup, pii, quality, sharding, suffix_dedup, token_counts, toxicity
+from . import bpe, chat, decontaminate, neardup, pii, quality, runs, sharding, suffix_dedup, token_counts, toxicity
 from .tables import reachable
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -97,3 +97,24 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_multiple_instance_toxicity")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def _looped(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): with h the checksum of the id, each tenth text repeats its words from word a on with period p."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = docs.select("doc_id", "text", h.alias("h"), F.array_remove(F.split("text", "[ \\t-\\r]+"), "").alias("words"))
+    sized = words.withColumns({"n": F.size("words"), "g": F.expr("h div 10")}).withColumn("hit", (F.col("h") % 10 == 0) & (F.col("n") > 0))
+    placed = sized.withColumn("a", F.when(F.col("hit"), F.expr("int(g % n)"))).withColumn("p", F.when(F.col("hit"), F.expr("int(1 + (n - a) div (3 + g % 8))")))
+    looped = F.expr("concat(slice(words, 1, a), slice(flatten(array_repeat(slice(words, a + 1, p), int(ceil((n - a) / p)))), 1, n - a))")
+    return placed.select("doc_id", F.when(F.col("hit"), F.array_join(looped, " ")).otherwise(F.col("text")).alias("text"))
+
+
+@query("op11_periodic_runs")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.find_runs(_looped(_table(spark, sf_dir, "documents"))).withColumn("best", runs.strongest(F.col("runs")))
+    line = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    listed = F.when(F.size("runs") > 0, F.concat(F.array_join(line, "\n"), F.lit("\n"))).otherwise(F.lit(""))
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), F.col("best.start"), F.col("best.length"), F.col("best.period"),
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"), F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
