@@ -7,7 +7,7 @@ from collections.abc import Callable
 from public_tokenizers import path as tokenizer_path
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, chat, decontaminate, neardup, pii, quality, runs, sharding, suffix_dedup, token_counts, toxicity
+from . import bpe, chat, decontaminate, merkle, neardup, pii, quality, runs, sharding, suffix_dedup, token_counts, toxicity
 from .tables import reachable
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -118,3 +118,48 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.size("runs").cast("long").alias("n_runs"), F.col("best.start"), F.col("best.length"), F.col("best.period"),
         F.expr("1000 * best.length div best.period").alias("exponent_milli"), F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
     )
+
+
+def _manifest_sql(levels: int = 12) -> str:
+    """Trees of runs of three, a level per step, for up to 3 ** ``levels`` leaves a source and as many sources. DuckDB has no crc32: bits one by one."""
+    coded = lambda c: f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen(CAST({c} AS VARCHAR)) || ':' || {c} END"
+    leaf = lambda text: "sha256(" + " || ".join(f"({coded(c)})" for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+    step = "list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))"
+    crc = f"xor(list_reduce(list_concat([4294967295], list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda t: CAST(ascii(t) AS BIGINT))), lambda c, b: {step}), 4294967295)"
+    parts = [
+        f"""WITH claims AS (SELECT *, CASE WHEN {crc} % 2 = 0 THEN replace(text, chr(10), '') ELSE text END AS claimed FROM documents),
+        leaves AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, source, {leaf("text")} AS leaf, {leaf("claimed")} AS claim FROM claims),
+        nodes_0 AS MATERIALIZED (SELECT source, leaf AS h, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, r) - 1 AS i, r, count(*) OVER (PARTITION BY source) AS n FROM leaves),
+        path_0 AS MATERIALIZED (SELECT r, source, i, '' AS proof, claim AS f FROM nodes_0 JOIN (SELECT r, claim FROM leaves) USING (r))""",
+    ]
+
+    def climb(k: int, key: str) -> None:
+        parts.append(f"""runs_{k} AS MATERIALIZED (SELECT {key}, i // 3 AS g, list(h ORDER BY i) AS hs, any_value(n) AS n FROM nodes_{k} GROUP BY ALL),
+        nodes_{k + 1} AS MATERIALIZED (SELECT {key}, g AS i, CASE WHEN n = 1 THEN hs[1] ELSE sha256(array_to_string(hs, '')) END AS h, (n + 2) // 3 AS n FROM runs_{k}),
+        path_{k + 1} AS MATERIALIZED (SELECT p.r, p.{key}, p.i // 3 AS i,
+          CASE WHEN n = 1 THEN proof ELSE proof || array_to_string(hs[1:p.i % 3], '') || array_to_string(hs[p.i % 3 + 2:], '') END AS proof,
+          CASE WHEN n = 1 THEN f ELSE sha256(array_to_string(hs[1:p.i % 3], '') || f || array_to_string(hs[p.i % 3 + 2:], '')) END AS f
+          FROM path_{k} p JOIN runs_{k} x ON p.{key} IS NOT DISTINCT FROM x.{key} AND p.i // 3 = x.g)""")
+
+    for k in range(levels):
+        climb(k, "source")
+    k = levels + 1
+    parts.append(f"""nodes_{k} AS MATERIALIZED (SELECT 0 AS zero, source, h, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS i, count(*) OVER () AS n FROM nodes_{levels}),
+        path_{k} AS MATERIALIZED (SELECT p.r, 0 AS zero, t.i, p.proof, p.f, t.h AS subroot FROM path_{levels} p JOIN nodes_{k} t ON p.source IS NOT DISTINCT FROM t.source)""")
+    for j in range(k, k + levels):
+        climb(j, "zero")
+    last = k + levels
+    return ",\n".join(parts) + f"""
+        SELECT doc_id, leaf, subroot, h AS root, sha256(proof) AS proof_sha256, f AS folded_root, f = h AS verified
+        FROM path_{last} JOIN leaves USING (r) JOIN (SELECT r, subroot FROM path_{k}) USING (r), nodes_{last}"""
+
+
+@query("op12_merkle_manifest", _manifest_sql())
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    told = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    claimed = F.when(told, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    columns = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    leaves = docs.select("doc_id", "source", merkle.leaf_digest([*columns, F.col("text")]).alias("leaf"), merkle.leaf_digest([*columns, claimed]).alias("claim"))
+    proved = merkle.prove(merkle.build(leaves), ["doc_id", "leaf"], "claim")
+    return proved.select("doc_id", "leaf", "subroot", "root", F.sha2("proof", 256).alias("proof_sha256"), "folded_root", "verified")
