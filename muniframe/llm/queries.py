@@ -7,7 +7,7 @@ from collections.abc import Callable
 from public_tokenizers import path as tokenizer_path
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, chat, decontaminate, merkle, neardup, pii, quality, runs, sharding, suffix_dedup, token_counts, toxicity
+from . import bpe, chat, decontaminate, merkle, neardup, pii, quality, runs, secrets, sharding, suffix_dedup, token_counts, toxicity
 from .tables import reachable
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -163,3 +163,11 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     leaves = docs.select("doc_id", "source", merkle.leaf_digest([*columns, F.col("text")]).alias("leaf"), merkle.leaf_digest([*columns, claimed]).alias("claim"))
     proved = merkle.prove(merkle.build(leaves), ["doc_id", "leaf"], "claim")
     return proved.select("doc_id", "leaf", "subroot", "root", F.sha2("proof", 256).alias("proof_sha256"), "folded_root", "verified")
+
+
+@query("op13_secret_scan")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find_secrets(_table(spark, sf_dir, "documents"))
+    listed = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    base = F.filter("spans", lambda s: s["kind"].isin(*secrets.BASE))
+    return found.select("doc_id", *[f"n_{k}" for k in secrets.BASE], F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
