@@ -1,111 +1,25 @@
 """Bronze layer: every CSV record of every source as one JSON payload.
 
-The files are read once. Every line gets its file, split and position in that one scan, and the numbered
-lines are written to the shared checkpoint folder; counting and parsing both read that table, so nothing depends
-on how a later scan would be split. A record whose quotes span lines is put together again: each line either
-opens, closes or keeps quotes, and those effects are composed along the file, split by split, so a file
-of any size is read, numbered and parsed in parallel.
+Files are read in splits by ``records``: one scan, records numbered along the file, quoted line breaks kept. The registry counts what the
+automaton sees, the payloads come from the parser, so comparing the two before the write is a check.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..session import stored
 from .files import LATIN1
+from .records import chunks_of, file_counts, payloads, places_of
 
 FILE_KEY = ["source", "file_name"]
-#: A quoted cell that is complete; the beginning of one that is not; the rest of a cell up to its closing quote.
-_WHOLE = r'(?<![^;,])"(?:[^"]|"")*+"(?![^;,])'
-_OPENS = r'(?<![^;,])"'
-_CLOSES = r'^(?:[^"]|"")*+"'
-
-
-def read_lines(spark: SparkSession, root: str, source: str | None = None, paths: list[str] | None = None) -> DataFrame:
-    """Lines of ``root/<source>/*.csv`` (or of ``paths``) with file, split and position, as one stored table."""
-    lines = spark.read.option("lineSep", "\n").text(paths or f"{root.rstrip('/')}/{source or '*'}/*.csv")
-    path = F.col("_metadata.file_path")
-    text = F.rtrim(F.decode(F.col("value").cast("binary"), LATIN1), F.lit("\r"))
-    return stored(lines.select(
-        F.element_at(F.split(path, "/"), -2).alias("source"), F.element_at(F.split(path, "/"), -1).alias("file_name"), path.alias("file_path"),
-        F.col("_metadata.file_size").alias("file_size_bytes"), F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("pos"), text.alias("line"),
-    ))
-
-
-def _left_open(line: Column) -> Column:
-    """Whether a line that begins outside quotes ends inside."""
-    return F.regexp_replace(line, _WHOLE, "").rlike(_OPENS)
-
-
-def _states(inside: Column, resets: Column, value: Column, swaps: Column, before: Window) -> Column:
-    """State in front of each row: the last reset before it, or ``inside`` at the start, turned over once per swap since."""
-    turned = F.coalesce(F.sum(swaps.cast("int")).over(before), F.lit(0))
-    at_reset = F.last(F.when(resets, turned), True).over(before)
-    base = F.last(F.when(resets, value.cast("int")), True).over(before)
-    return F.pmod(F.coalesce(base, inside.cast("int")) + turned - F.coalesce(at_reset, F.lit(0)), F.lit(2)) == 1
-
-
-def stitched(lines: DataFrame) -> DataFrame:
-    """Records: file columns, ``record`` (0 is the header) and ``line``, where lines inside quotes are joined by line feeds.
-    Empty lines outside quotes are no records."""
-    after_close = F.when(F.col("line").rlike(_CLOSES), _left_open(F.regexp_replace("line", _CLOSES, ""))).otherwise(F.lit(True))
-    effect = lines.withColumn("e0", _left_open(F.col("line"))).withColumn("e1", after_close)
-    key = [*FILE_KEY, "block"]
-    within = Window.partitionBy(*key).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    reset, swap = F.col("e0") == F.col("e1"), F.col("e0") & ~F.col("e1")
-    rows = effect.withColumns({f"s{k}": _states(F.lit(k), reset, F.col("e0"), swap, within) for k in (0, 1)})
-    starts = {k: (~F.col(f"s{k}") & (F.col("line") != "")).cast("int") for k in (0, 1)}
-    ends = {k: F.max_by(F.when(F.col(f"s{k}"), F.col("e1")).otherwise(F.col("e0")), "pos") for k in (0, 1)}
-    splits = rows.groupBy(*key).agg(*[F.sum(starts[k]).alias(f"n{k}") for k in (0, 1)], *[ends[k].alias(f"b{k}") for k in (0, 1)])
-    ahead = Window.partitionBy(*FILE_KEY).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    entry = _states(F.lit(0), F.col("b0") == F.col("b1"), F.col("b0"), F.col("b0") & ~F.col("b1"), ahead)
-    splits = splits.withColumn("inside", entry)
-    splits = splits.withColumn("before", F.coalesce(F.sum(F.when(F.col("inside"), F.col("n1")).otherwise(F.col("n0"))).over(ahead), F.lit(0)))
-    placed = rows.join(splits.select(*key, "inside", "before"), key)
-    state = F.when(F.col("inside"), F.col("s1")).otherwise(F.col("s0"))
-    first = (~state & (F.col("line") != "")).cast("int")
-    upto = Window.partitionBy(*key).orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    closes = F.when(state, F.col("e1")).otherwise(F.col("e0"))
-    numbered = placed.select(
-        *FILE_KEY, "file_path", "file_size_bytes", "pos", "line", state.alias("follows"), closes.alias("goes_on"),
-        (F.sum(first).over(upto) + F.col("before") - 1).alias("record"),
-    ).where(F.col("follows") | (F.col("line") != ""))
-    single = numbered.where(~F.col("follows") & ~F.col("goes_on")).select(*FILE_KEY, "file_path", "file_size_bytes", "record", "line")
-    several = numbered.where(F.col("follows") | F.col("goes_on")).groupBy(*FILE_KEY, "file_path", "file_size_bytes", "record").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n").alias("line")
-    )
-    return single.unionByName(several)
-
-
-def delimiter_of(header: Column, source: Column, comma_sources: Iterable[str]) -> Column:
-    """The more frequent of ``;`` and ``,`` in the header; a tie takes the source's default."""
-    semicolons, commas = F.regexp_count(header, F.lit(";")), F.regexp_count(header, F.lit(","))
-    default = F.when(source.isin(*comma_sources), ",").otherwise(";") if comma_sources else F.lit(";")
-    return F.when(semicolons > commas, ";").when(commas > semicolons, ",").otherwise(default)
-
-
-def scan_files(records: DataFrame) -> DataFrame:
-    """Per file: records with the header, header, most delimiters of a record."""
-    return records.groupBy(*FILE_KEY, "file_path", "file_size_bytes").agg(
-        F.count(F.lit(1)).alias("n"), F.max(F.when(F.col("record") == 0, F.col("line"))).alias("header"),
-        F.max(F.regexp_count("line", F.lit(";"))).alias("s"), F.max(F.regexp_count("line", F.lit(","))).alias("c"),
-    )
-
-
-def detect_delimiters(files: DataFrame, comma_sources: Iterable[str] = ()) -> DataFrame:
-    """(source, file_name, header, delimiter, width) per file. Delimiters inside the header's quotes don't count."""
-    bare = F.regexp_replace("header", _WHOLE, "")
-    delimiter = delimiter_of(bare, F.col("source"), list(comma_sources))
-    files = files.withColumn("delimiter", delimiter)
-    return files.select(*FILE_KEY, "header", "delimiter", (F.when(F.col("delimiter") == ";", F.col("s")).otherwise(F.col("c")) + 1).alias("width"))
-
-
-def file_registry(files: DataFrame) -> DataFrame:
-    """Registry rows of the files just read, with their record count; the id is a digest of the natural key."""
-    return files.select(file_id().alias("id"), *FILE_KEY, "file_path", "file_size_bytes", F.current_timestamp().alias("loaded_at"), (F.col("n") - 1).alias("n_records"))
+DELIMITERS = (";", ",")
+
+
+def _named(path: str) -> list[Column]:
+    parts = F.split(path, "/")
+    return [F.element_at(parts, -2).alias("source"), F.element_at(parts, -1).alias("file_name")]
 
 
 def file_id() -> Column:
@@ -117,56 +31,22 @@ def upsert(existing: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return existing.join(new.select(*keys), keys, "left_anti").unionByName(new)
 
 
-def _parsed_payload(line: Column, header: list[str], delimiter: str, width: int) -> Column:
-    """One line to JSON. Missing trailing cells are null, surplus cells go under ``null``."""
-    options = {"sep": delimiter, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "bad", "ignoreLeadingWhiteSpace": "false",
-               "ignoreTrailingWhiteSpace": "false", "maxCharsPerColumn": "-1", "lineSep": "\u0002", "multiLine": "true", "escape": '"', "maxColumns": str(max(width, len(header)) + 2)}
-    names = [f"c{i}" for i in range(len(header))]
-    exact = F.from_csv(line, ", ".join(f"{n} string" for n in [*names, "bad"]), options)
-    # A repeated header name keeps its last column, as a dictionary of the row would.
-    place = {name: i for i, name in enumerate(header)}
-    whole = F.to_json(F.struct(*[F.coalesce(exact[f"c{i}"], F.lit("")).alias(name) for name, i in place.items()]), {"ignoreNullFields": "false"})
-    extra = [f"x{i}" for i in range(max(0, width - len(header)))]
-    ragged = F.from_csv(line, ", ".join(f"{n} string" for n in [*names, *extra, "bad"]), options)
-    cells = F.array(*[ragged[n] for n in [*names, *extra]])
-    # Delimiters outside quotes give the number of cells the line really has.
-    used = F.regexp_count(F.regexp_replace(line, '"([^"]|"")*"', ""), F.lit(delimiter)) + 1
-    fields = [F.when(used > i, F.coalesce(cells[i], F.lit(""))).alias(name) for name, i in place.items()]
-    short = F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})
-    if not extra:
-        return F.when(exact["bad"].isNull(), whole).otherwise(short)
-    surplus = F.transform(F.slice(cells, len(header) + 1, F.greatest(used - len(header), F.lit(0))), lambda x: F.coalesce(x, F.lit("")))
-    long = F.to_json(F.struct(*fields, surplus.alias("null")), {"ignoreNullFields": "false"})
-    return F.when(exact["bad"].isNull(), whole).when(used > len(header), long).otherwise(short)
-
-
-def _split_header(header: str, delimiter: str) -> list[str]:
-    import csv
-
-    return next(csv.reader([header], delimiter=delimiter))
-
-
 def load_bronze(
     spark: SparkSession, root: str, source: str | None = None, comma_sources: Iterable[str] = (), paths: list[str] | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """(registry, records) for all CSV files under ``root/<source>/``, or for the named ``paths``.
 
-    Records: source, file_name, raw_file_id, row_number (from 1), payload, loaded_at.
-    The driver sees one row per distinct file layout (header and delimiter), never
-    data rows; files that share a layout are parsed together.
-    """
-    found = stored(stitched(read_lines(spark, root, source, paths)))
-    summary = stored(scan_files(found))
-    files = detect_delimiters(summary, comma_sources).withColumn("layout", F.xxhash64("header", "delimiter"))
-    layouts = files.groupBy("layout", "header", "delimiter").agg(F.max("width").alias("width")).collect()
-    # Record 0 of a file is its header. One row per file joins; whether it is broadcast is decided by its size.
-    rows = found.join(files.select(*FILE_KEY, "layout"), FILE_KEY).withColumn("row_number", F.col("record")).where(F.col("row_number") > 0)
-    payload: Column = F.lit(None).cast("string")
-    for layout in layouts:
-        parsed = _parsed_payload(F.col("line"), _split_header(layout["header"], layout["delimiter"]), layout["delimiter"], layout["width"])
-        payload = F.when(F.col("layout") == F.lit(layout["layout"]), parsed).otherwise(payload)
-    records = rows.select(*FILE_KEY, file_id().alias("raw_file_id"), F.col("row_number").cast("bigint"), payload.alias("payload"), F.current_timestamp().alias("loaded_at"))
-    return file_registry(summary), records
+    Records: source, file_name, raw_file_id, row_number (from 1), payload, loaded_at. A file's delimiter is the one its first 8 KiB
+    show; where they show none, ``,`` for ``comma_sources``, else ``;``. Registry rows carry n_records. A file without any byte is
+    not listed."""
+    chunks = chunks_of(spark, paths or f"{root.rstrip('/')}/{source or '*'}/*.csv", LATIN1, DELIMITERS)
+    own = F.element_at(F.split("path", "/"), -2)
+    places = places_of(chunks, DELIMITERS, F.when(own.isin(*comma_sources), ",").otherwise(";"))
+    now = F.current_timestamp().alias("loaded_at")
+    files = file_counts(places).select(*_named("path"), F.col("path").alias("file_path"), F.col("size").alias("file_size_bytes"), "n")
+    registry = files.select(file_id().alias("id"), *FILE_KEY, "file_path", "file_size_bytes", now, F.col("n").alias("n_records"))
+    rows = payloads(chunks, places).select(*_named("path"), F.col("record").alias("row_number"), F.col("made").alias("payload"))
+    return registry, rows.select(*FILE_KEY, file_id().alias("raw_file_id"), "row_number", "payload", now)
 
 
 def check_complete(registry: DataFrame, records: DataFrame) -> None:

@@ -7,6 +7,8 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from .records import cells, chunks_of, header_cells, places_of
+
 LATIN1, UTF8 = "ISO-8859-1", "UTF-8"
 
 
@@ -24,20 +26,27 @@ def read_delimited(
     spark: SparkSession, path: str | Sequence[str], sep: str = ";", encoding: str = LATIN1, columns: Sequence[str] | None = None,
     null_words: Sequence[str] = NULL_WORDS, quoted_breaks: bool = True,
 ) -> DataFrame:
-    """All-string CSV with a header. With ``columns`` no file is touched at plan time.
+    """All-string CSV with a header; ``columns`` picks some of them by name, else the first file's header names them.
 
-    Without it the header of the first file names the columns (``inferSchema`` stays
-    off, so only one line is read). Cells equal to one of ``null_words`` are null. Quoted cells may
-    hold line breaks, and a file is then one task; pass ``quoted_breaks=False`` to split large files that have none
-    (bronze splits files of either kind).
+    Cells equal to one of ``null_words`` are null. Quoted cells may hold line breaks: files are cut into splits of any place and
+    records put together across them (one scan, kept in the checkpoint folder). ``quoted_breaks=False`` reads files that have none
+    without that scan, lazily.
     """
-    reader = spark.read.option("sep", sep).option("encoding", encoding).option("header", True).option("escape", '"').option("multiLine", quoted_breaks)
-    if columns is not None:
-        reader = reader.schema(string_schema(columns)).option("enforceSchema", False)
-    cells = reader.csv(path)
+    if quoted_breaks:
+        chunks = chunks_of(spark, path, encoding, [sep])
+        places = places_of(chunks, [sep])
+        if columns is None:
+            first = places.where("opens").orderBy("path").select("header").first()
+            columns = header_cells(first["header"], sep) if first else ()
+        read = cells(chunks, places, columns)
+    else:
+        reader = spark.read.option("sep", sep).option("encoding", encoding).option("header", True).option("escape", '"')
+        if columns is not None:
+            reader = reader.schema(string_schema(columns)).option("enforceSchema", False)
+        read = reader.csv(path)
     if not null_words:
-        return cells
-    return cells.select(*[F.when(~F.col(f"`{c}`").isin(*null_words), F.col(f"`{c}`")).alias(c) for c in cells.columns])
+        return read
+    return read.select(*[F.when(~F.col(f"`{c}`").isin(*null_words), F.col(f"`{c}`")).alias(c) for c in read.columns])
 
 
 def read_geojson(spark: SparkSession, path: str, properties: Sequence[str]) -> DataFrame:

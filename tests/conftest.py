@@ -18,3 +18,20 @@ def spark():
     session.sparkContext.setLogLevel("OFF")
     yield session
     session.stop()
+
+
+def scan_in_splits(spark, monkeypatch, size):
+    """Scans of delimited files cut them into splits of ``size`` bytes; other reads go on as usual."""
+    from muniframe.sources import bronze, files, records
+
+    scan = records.chunks_of
+
+    def small(*args):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+        try:
+            return scan(*args)
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+    for module in (bronze, files, records):
+        monkeypatch.setattr(module, "chunks_of", small)

@@ -2,6 +2,7 @@ import csv
 import json
 
 import pytest
+from conftest import scan_in_splits
 from pyspark.sql import functions as F
 
 from muniframe.operators.quality import (
@@ -9,7 +10,8 @@ from muniframe.operators.quality import (
 )
 from muniframe.operators.joins import outer_profile, union_schemas
 from muniframe.operators.aggregates import aggregate_units, balance_weights, profile_distinct, value_counts
-from muniframe.sources.bronze import check_complete, load_bronze, read_lines, read_registry, row_payload, upsert, write_bronze
+from muniframe.sources import records as splits
+from muniframe.sources.bronze import check_complete, load_bronze, read_registry, row_payload, upsert, write_bronze
 from muniframe.sources.files import list_files, required_files, superseded_files, write_delimited, write_distinct_values, write_summary, read_delimited
 from muniframe.sources.listing import (
     changed, file_candidates, has_new_file, html_table_rows, latest_by, latest_file, listing_html, load_state, save_state, url_file_name,
@@ -33,15 +35,13 @@ def landing(tmp_path):
 
 
 @pytest.fixture
-def many_splits(spark):
-    spark.conf.set("spark.sql.files.maxPartitionBytes", "300")
-    yield
-    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+def many_splits(spark, monkeypatch):
+    scan_in_splits(spark, monkeypatch, 300)
 
 
 def test_bronze_rows_over_many_splits(spark, landing, many_splits):
     registry, records = load_bronze(spark, str(landing), comma_sources=["inc"])
-    assert read_lines(spark, str(landing)).where("file_name = 'a.csv'").select("block").distinct().count() > 5
+    assert splits.chunks_of(spark, str(landing / "inc" / "a.csv"), "latin-1", ",").select("block").distinct().count() > 5
     rows = {r["row_number"]: json.loads(r["payload"]) for r in records.where("file_name = 'a.csv'").collect()}
     assert sorted(rows) == list(range(1, 205))
     assert all(rows[i + 1] == {"a": str(i), "b": f"x,{i}", "c": "á"} for i in range(200))
@@ -54,8 +54,8 @@ def test_bronze_rows_over_many_splits(spark, landing, many_splits):
     assert set(sizes) == {"a.csv", "b.csv", "empty.csv", "one.csv"} and sizes["b.csv"] == (landing / "cen" / "b.csv").stat().st_size
 
 
-@pytest.mark.parametrize("size", ["37", "300", "134217728"])
-def test_bronze_keeps_quoted_line_breaks(spark, tmp_path, size):
+@pytest.mark.parametrize("size", [37, 300, 134217728])
+def test_bronze_keeps_quoted_line_breaks(spark, tmp_path, monkeypatch, size):
     rows = [["1", "line one\nline two", 'say "x"'], ["2", "a;b\n\n\nc", ""], ["3", 'in"side', "5"], ["4", "\n", "\n;\n"], ["5", "plain", "é"]] * 9
     path = tmp_path / "q" / "inc" / "a.csv"
     path.parent.mkdir(parents=True)
@@ -65,12 +65,9 @@ def test_bronze_keeps_quoted_line_breaks(spark, tmp_path, size):
         writer.writerows(rows)
         f.write('6;5" pipe;x\n7;"open ""end""";\n')
     want = list(csv.DictReader(path.open(encoding="latin-1", newline=""), delimiter=";"))
-    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
-    try:
-        registry, records = load_bronze(spark, str(tmp_path / "q"))
-        got = [json.loads(r.payload) for r in records.orderBy("row_number").collect()]
-    finally:
-        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    scan_in_splits(spark, monkeypatch, size)
+    registry, records = load_bronze(spark, str(tmp_path / "q"))
+    got = [json.loads(r.payload) for r in records.orderBy("row_number").collect()]
     assert got == want and registry.first()["n_records"] == len(want)
 
 
