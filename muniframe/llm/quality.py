@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from ..session import checkpointed
+from ..session import stored
 from .batches import BLANKS, Words, chunks, mask_of, mixed, slices, spans_of, text_bytes, total_per_text
 
 ORDER = 5
@@ -253,17 +253,30 @@ def room() -> Column:
     return F.sqrt(1 + F.lit(ROOM) / F.greatest("n_words", F.lit(1)))
 
 
+#: Languages whose bands are sent to every executor; with more of them rows and bands meet in so many parts a language.
+LANGUAGES, PARTS = 10_000, 64
+
+
+def _by_language(rows: DataFrame, table: DataFrame, lang: Column) -> DataFrame:
+    """Each row with its language's row of ``table`` (``_band_lang`` and more; stored), nulls where it has none. No language is one task."""
+    if table.limit(LANGUAGES + 1).count() <= LANGUAGES:
+        return rows.join(F.broadcast(table), lang == F.col("_band_lang"), "left")
+    parts = table.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    spread = rows.withColumn("_own_part", F.pmod(F.xxhash64("n_words", "log_perplexity"), F.lit(PARTS)).cast("int"))
+    return spread.join(parts, (lang == F.col("_band_lang")) & (F.col("_own_part") == F.col("_part")), "left").drop("_part", "_own_part")
+
+
 def bands(scored: DataFrame, lang: str = "lang", width: float = WIDTH) -> DataFrame:
     """(_band_lang, and for each score its median ``_middle_``, and the reach of the band ``_below_`` and ``_above_``) of every
-    language, over its documents that pass the plain rules."""
-    own = scored.where(~F.col("base_failed")).select(F.coalesce(F.col(lang), F.lit("")).alias("_band_lang"), room().alias("_room"), *SCORES)
-    middles = own.groupBy("_band_lang").agg(*[F.percentile(F.round(c, digits), 0.5).alias(f"_middle_{c}") for c, (digits, _) in SCORES.items()])
-    apart = own.join(middles.withColumnRenamed("_band_lang", "_its"), F.col("_band_lang") == F.col("_its"))
+    language, over its documents that pass the plain rules; stored, one row a language. A null language counts as the empty one."""
+    own = scored.where(~F.col("base_failed")).select(F.coalesce(F.col(lang), F.lit("")).alias("_its"), "n_words", room().alias("_room"), *SCORES)
+    middles = stored(own.groupBy(F.col("_its").alias("_band_lang")).agg(*[F.percentile(F.round(c, digits), 0.5).alias(f"_middle_{c}") for c, (digits, _) in SCORES.items()]))
+    apart = _by_language(own, middles, F.col("_its"))
     away = {c: F.round((F.col(c) - F.col(f"_middle_{c}")) / F.col("_room"), digits) for c, (digits, _) in SCORES.items()}
     rows = apart.groupBy("_band_lang", *[f"_middle_{c}" for c in SCORES]).agg(*[F.percentile(x, F.array(F.lit(0.25), F.lit(0.75))).alias(f"_q_{c}") for c, x in away.items()])
     reach = lambda x, least: F.lit(width) * F.greatest(x / QUARTILE, F.lit(least))
     sides = [(reach(-F.col(f"_q_{c}")[0], least).alias(f"_below_{c}"), reach(F.col(f"_q_{c}")[1], least).alias(f"_above_{c}")) for c, (_, least) in SCORES.items()]
-    return rows.select("_band_lang", *[f"_middle_{c}" for c in SCORES], *[x for pair in sides for x in pair])
+    return stored(rows.select("_band_lang", *[f"_middle_{c}" for c in SCORES], *[x for pair in sides for x in pair]))
 
 
 def within() -> Column:
@@ -275,23 +288,22 @@ def within() -> Column:
 
 
 def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", width: float = WIDTH) -> DataFrame:
-    """doc_id, the measures, base_failed, kept, log_perplexity and the band, one row per input row."""
+    """doc_id, the measures, base_failed, kept, log_perplexity and the band, one row per input row, repeated ones included.
+
+    Null, empty and blank texts fail the plain rules. A null language is one of its own. Equal scores get equal verdicts; a score on its band's edge is kept."""
     model = fit(docs, text)
-    scored = checkpointed(measured(docs.select(key, lang, text), model, text).drop(text))
-    limits = bands(scored, lang, width)
-    joined = scored.join(limits, F.coalesce(F.col(lang), F.lit("")) == F.col("_band_lang"), "left")
+    scored = stored(measured(docs.select(F.col(key).alias("_key"), F.col(lang).alias("_lang"), F.col(text).alias("_text")), model, "_text").drop("_text"))
+    joined = _by_language(scored, bands(scored, "_lang", width), F.coalesce("_lang", F.lit("")))
     return joined.select(
-        key, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", within().alias("kept"),
+        F.col("_key").alias(key), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", within().alias("kept"),
         "log_perplexity", (F.col("_middle_log_perplexity") - F.col("_below_log_perplexity")).alias("band_low"), (F.col("_middle_log_perplexity") + F.col("_above_log_perplexity")).alias("band_high"),
     )
 
 
 def keep_good(docs: DataFrame, text: str = "text", lang: str = "lang", width: float = WIDTH) -> DataFrame:
-    """The rows of ``docs`` that pass, all columns unchanged. Texts are scored once for the bands and once to filter, so none is shuffled."""
-    model = fit(docs, text)
-    scored = checkpointed(measured(docs.select(lang, text), model, text).drop(text))
-    limits = bands(scored, lang, width)
+    """The rows of ``docs`` that pass, all columns unchanged, whatever their names. Texts are scored once and stored with their scores; none is shuffled."""
     plain = docs.toDF(*[f"_c{k}" for k in range(len(docs.columns))])
     its_text, its_lang = (f"_c{docs.columns.index(c)}" for c in (text, lang))
-    joined = plain.join(limits, F.coalesce(F.col(its_lang), F.lit("")) == F.col("_band_lang"), "left")
-    return measured(joined, model, its_text).where(within()).select(*plain.columns).toDF(*docs.columns)
+    scored = stored(measured(plain, fit(docs, text), its_text))
+    joined = _by_language(scored, bands(scored, its_lang, width), F.coalesce(its_lang, F.lit("")))
+    return joined.where(within()).select(*plain.columns).toDF(*docs.columns)

@@ -35,14 +35,14 @@ def base_quality(text):
     return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(hit), failed
 
 
-def shingle_set(text):
+def shingle_set(text, size=2):
     words = BLANK_WORDS.findall(lower(text or ""))
-    return {tuple(words[i : i + 2]) for i in range(len(words) - 1)} if len(words) > 1 else {tuple(words)} if words else set()
+    return {tuple(words[i : i + size]) for i in range(len(words) - size + 1)} if len(words) >= size else {tuple(words)} if words else set()
 
 
-def near_groups(rows):
+def near_groups(rows, size=2):
     """rows: (doc_id, text), distinct ids."""
-    sets = {k: shingle_set(t) for k, t in rows}
+    sets = {k: shingle_set(t, size) for k, t in rows}
     up = {k: k for k in sets}
 
     def top(k):

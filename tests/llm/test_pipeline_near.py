@@ -11,17 +11,11 @@ from muniframe.llm.tables import stored
 SF = "/root/testdata/sf0.01"
 
 
-def five(text):
-    words = brute.BLANK_WORDS.findall(brute.lower(text or ""))
-    return {tuple(words[i : i + 5]) for i in range(len(words) - 4)} if len(words) > 4 else {tuple(words)} if words else set()
-
-
-def test_stage_takes_five_words(spark, monkeypatch):
+def test_stage_takes_five_words(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     rows = [(d["doc_id"], d["text"]) for d in brute.table("documents", SF)]
     two = {r[0] for r in brute.near_groups(rows) if r[3]}
-    monkeypatch.setattr(brute, "shingle_set", five)
-    want = {r[0] for r in brute.near_groups(rows) if r[3]}
+    want = {r[0] for r in brute.near_groups(rows, size=5) if r[3]}
     single = stored(cp.near_duplicates(spark, docs, SF)).toPandas()
     assert set(single.doc_id) == want and len(want) > len(two) and two < want
     assert list(single.columns) == docs.columns
