@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 
 def repeated_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -14,14 +14,13 @@ def repeated_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def require_unique(df: DataFrame, keys: Sequence[str], label: str = "join side") -> DataFrame:
-    """The same rows, untouched; any job over them fails when a key repeats.
+    """The same rows, untouched; any job over them fails when a key repeats. Rows without a key count as one key.
 
-    The check is one number: how many keys repeat, by a hash count of the keys alone, as a scalar subquery.
+    Rows are counted where they lie after the exchange and sort by key that a join on these keys needs as well, so nothing is read or moved twice.
     """
-    message = F.concat(F.lit(f"{label} is not unique on {list(keys)}: "), F.col("sample"))
-    found = repeated_keys(df, keys).agg(F.min(F.to_json(F.struct(*keys))).alias("sample"))
-    verdict = found.select(F.assert_true(F.col("sample").isNull(), message).isNull().alias("ok")).scalar()
-    return df.where(verdict)
+    message = F.concat(F.lit(f"{label} is not unique on {list(keys)}: "), F.to_json(F.struct(*keys)))
+    counted = df.withColumn("__same", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
+    return counted.where(F.assert_true(F.col("__same") == 1, message).isNull()).drop("__same")
 
 
 def checked_join(a: DataFrame, b: DataFrame, on: Sequence[str], how: str = "inner", validate: str = "1:1") -> DataFrame:
@@ -40,8 +39,18 @@ def suffix_columns(df: DataFrame, suffix: str, keys: Sequence[str] = ()) -> Data
 
 
 def outer_profile(frames: Sequence[DataFrame], on: Sequence[str], suffix: str = "") -> DataFrame:
-    """Full-outer chain of one-row-per-key tables into one wide profile."""
-    wide = reduce(lambda a, b: checked_join(a, b, on, "full", "1:1"), frames)
+    """One row per key of any of the frames with the columns of all: what a chain of full-outer 1:1 joins gives, by one union and one aggregate.
+
+    Fails when a key repeats in a frame. Columns besides ``on`` must differ between the frames; rows without a key meet as one key."""
+    tagged = [f.withColumn("__frame", F.lit(k)) for k, f in enumerate(frames)]
+    every = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tagged)
+    columns = [c for f in frames for c in f.columns if c not in on]
+    if len(set(columns)) < len(columns):
+        raise ValueError(f"columns in more than one frame: {sorted(c for c in set(columns) if columns.count(c) > 1)}")
+    rows = [F.count_if(F.col("__frame") == k) for k in range(len(frames))]
+    wide = every.groupBy(*on).agg(*[F.first(f"`{c}`", ignorenulls=True).alias(c) for c in columns], F.greatest(F.lit(0), *rows).alias("__same"))
+    message = F.concat(F.lit(f"a frame is not unique on {list(on)}: "), F.to_json(F.struct(*on)))
+    wide = wide.where(F.assert_true(F.col("__same") <= 1, message).isNull()).drop("__same")
     return suffix_columns(wide, suffix, on) if suffix else wide
 
 

@@ -11,10 +11,11 @@ the partitions.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..session import checkpointed
+from ..session import checkpointed, stored
 
 PART, POS = "__part", "__pos"
 
@@ -100,17 +101,50 @@ def fill_from_next(df: DataFrame, order: Sequence[str], cols: Sequence[str]) ->
     return filled.select(*df.columns)
 
 
+#: Precision of the sketch that brackets a quantile, and how many of its errors the bracket spans to either side.
+SKETCH, MARGIN = 10_000, 4
+#: Distinct values inside the brackets of one group that one task may sort.
+INSIDE = 2_000_000
+
+
 def exact_quantiles(
     df: DataFrame, col: str, probs: Mapping[str, float], by: Sequence[str] = ()
 ) -> DataFrame:
-    """Exact linear-interpolation quantiles, one output column per ``probs`` entry.
+    """Exact linear-interpolation quantiles, one output column per ``probs`` entry; nulls and NaN are left out.
 
-    Equal values collapse to a count first; the running count then tells which
-    value sits at a wanted position, so nothing is gathered in one task.
+    Selection instead of a sort: a sketch per group brackets each wanted position, one more pass counts the rows between the brackets
+    and each value inside them, and only these few values are ordered. Rows are neither sorted nor stored. Where a bracket misses, or holds
+    too many values for one task, the values are sorted by range instead.
     """
-    values = df.where(F.col(col).isNotNull() & ~F.isnan(F.col(col).cast("double")))
-    counts = values.groupBy(*by, F.col(col).cast("double").alias("__v")).agg(F.count(F.lit(1)).alias("__n"))
-    placed = running_sum(counts, ["__v"], "__n", "__cum", by, total="__count")
+    values = df.where(F.col(col).isNotNull() & ~F.isnan(F.col(col).cast("double"))).select(*by, F.col(col).cast("double").alias("__v"))
+    room = MARGIN / SKETCH
+    shares = [min(1.0, max(0.0, p + side * room)) for p in probs.values() for side in (-1, 1)]
+    sketch = values.groupBy(*by).agg(F.percentile_approx("__v", F.array(*map(F.lit, shares)), SKETCH).alias("__edges"))
+    if by:
+        edges = sketch.withColumnsRenamed({b: f"__s_{b}" for b in by})
+        same = reduce(lambda x, y: x & y, [F.col(b).eqNullSafe(F.col(f"__s_{b}")) for b in by])
+        values = values.join(edges, same).select(*by, "__v", "__edges")
+    else:
+        values = values.withColumn("__edges", sketch.scalar())
+    v, edge = F.col("__v"), lambda k: F.get("__edges", F.lit(k))
+    inside = reduce(lambda x, y: x | y, [v.between(edge(2 * k), edge(2 * k + 1)) for k in range(len(probs))])
+    # A row outside goes by the last edge below it: between that bracket and the next, all rows are one count.
+    last = F.greatest(*[F.when(edge(2 * k + 1) < v, edge(2 * k + 1)).otherwise(F.lit(float("-inf"))) for k in range(len(probs))], F.lit(float("-inf")))
+    counts = stored(
+        values.select(*by, inside.alias("__in"), F.when(inside, v).otherwise(last).alias("__v")).groupBy(*by, "__in", "__v").agg(F.count(F.lit(1)).alias("__n"))
+    )
+    most = counts.groupBy(*by).agg(F.count(F.lit(1)).alias("rows")).agg(F.max("rows")).first()[0]
+    if (most or 0) > INSIDE:
+        return _sorted_quantiles(df, col, probs, by)
+    upto = Window.partitionBy(*by).orderBy("__v", F.col("__in").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    placed = counts.withColumns({"__cum": F.sum("__n").over(upto), "__count": F.sum("__n").over(Window.partitionBy(*by))})
+    found = stored(_at_positions(placed.withColumn("__v", F.when(F.col("__in"), F.col("__v"))), probs, by))
+    missed = reduce(lambda x, y: x | y, [F.col(name).isNull() for name in probs])
+    return _sorted_quantiles(df, col, probs, by) if found.where(missed).limit(1).count() else found
+
+
+def _at_positions(placed: DataFrame, probs: Mapping[str, float], by: Sequence[str]) -> DataFrame:
+    """Quantiles from values (``__v``) with their count (``__n``), running count (``__cum``) and the group's count (``__count``)."""
     start = F.col("__cum") - F.col("__n")
 
     def at(position: Column) -> Column:
@@ -128,6 +162,13 @@ def exact_quantiles(
     return found.select(*by, *blend)
 
 
+def _sorted_quantiles(df: DataFrame, col: str, probs: Mapping[str, float], by: Sequence[str]) -> DataFrame:
+    """Equal values collapse to a count; the running count along one range sort then tells which value sits at a wanted position."""
+    values = df.where(F.col(col).isNotNull() & ~F.isnan(F.col(col).cast("double")))
+    counts = values.groupBy(*by, F.col(col).cast("double").alias("__v")).agg(F.count(F.lit(1)).alias("__n"))
+    return _at_positions(running_sum(counts, ["__v"], "__n", "__cum", by, total="__count"), probs, by)
+
+
 def top_k(df: DataFrame, order: Sequence[Column], k: int) -> DataFrame:
     """Best ``k`` rows (a TakeOrdered plan: k rows per task, then a merge)."""
     return df.orderBy(*order).limit(k)

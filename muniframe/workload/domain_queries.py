@@ -68,18 +68,51 @@ def _value_sql(*numbers: int) -> str:
     return "sum(" + " + ".join(f"floor(abs(c_acctbal) / {100 + i})" for i in numbers) + ")"
 
 
-CENSUS_2010_FIELDS = [
-    "populacao", "pct_rendimento_ate_2_sm", "rendimento_medio_responsavel_sm", "alfabetizados_15mais", "pct_analfabetismo_15mais", "esgotamento_precario", "pct_lixo_destino_inadequado",
-]
-
-
-@query(f"""
-SELECT lower(replace(n_name, '_', ' ')) AS unit, CAST(sum(CASE WHEN c_mktsegment <> 'BUILDING' THEN 10 END) AS DOUBLE) AS populacao,
-  round(100.0 * {_value_sql(1, 2)} / nullif({_value_sql(20)}, 0), 6) AS pct_rendimento_ate_2_sm,
-  round(CASE WHEN {_value_sql(21)} > 0 THEN {_value_sql(22)} / {_value_sql(21)} / 510 END, 6) AS rendimento_medio_responsavel_sm,
-  CAST({_value_sql(*range(12, 78))} AS DOUBLE) AS alfabetizados_15mais, round(100 - 100.0 * {_value_sql(*range(12, 78))} / nullif({_value_sql(*range(49, 135))}, 0), 6) AS pct_analfabetismo_15mais,
-  CAST({_value_sql(*range(19, 24))} AS DOUBLE) AS esgotamento_precario, round(100.0 * {_value_sql(*range(38, 43))} / nullif({_value_sql(2)}, 0), 6) AS pct_lixo_destino_inadequado
-FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey = 0 GROUP BY n_name""")
+def _share(part: str, whole: str) -> str:
+    return f"round(100.0 * {part} / nullif({whole}, 0), 6)"
+
+
+def _census_2010_sql() -> dict[str, str]:
+    """Every column of the 2010 units as SQL over customers."""
+    v, whole = _value_sql, lambda *n: f"CAST({_value_sql(*n)} AS DOUBLE)"
+    income, read10, read15, old10, old15 = v(20), v(*range(7, 78)), v(*range(12, 78)), v(*range(44, 135)), v(*range(49, 135))
+    mean = f"CASE WHEN {v(21)} > 0 THEN {v(22)} / {v(21)} END"
+    lacking = {"sem_rede_geral_agua": range(13, 16), "sem_banheiro_sanitario": (23,), "esgotamento_precario": range(19, 24), "lixo_destino_inadequado": range(38, 43)}
+    return {
+        "populacao": "CAST(sum(CASE WHEN c_mktsegment <> 'BUILDING' THEN 10 END) AS DOUBLE)", "pessoas_10_anos_ou_mais": whole(20),
+        "pct_sem_rendimento": _share(v(10), income), "pct_rendimento_ate_1_sm": _share(v(1, 2), income), "pct_rendimento_ate_2_sm": _share(v(1, 2), income),
+        "pct_rendimento_acima_5_sm": _share(v(6, 7, 8, 9), income), "resp_domicilios_particulares": whole(20),
+        "rendimento_medio_responsavel": f"round({mean}, 6)", "rendimento_medio_responsavel_sm": f"round(({mean}) / 510, 6)",
+        "pop_10mais": whole(*range(44, 135)), "alfabetizados_10mais": whole(*range(7, 78)), "pct_alfabetizacao_10mais": _share(read10, old10), "pct_analfabetismo_10mais": f"round(100 - 100.0 * {read10} / nullif({old10}, 0), 6)",
+        "pop_15mais": whole(*range(49, 135)), "alfabetizados_15mais": whole(*range(12, 78)), "pct_alfabetizacao_15mais": _share(read15, old15), "pct_analfabetismo_15mais": f"round(100 - 100.0 * {read15} / nullif({old15}, 0), 6)",
+        "domicilios_particulares_permanentes": whole(2),
+        **{k: x for n, numbers in lacking.items() for k, x in ((n, whole(*numbers)), (f"pct_{n}", _share(v(*numbers), v(2))))},
+    }
+
+
+def _census_2022_sql() -> dict[str, str]:
+    """Every column of the 2022 units as SQL over customers."""
+    n, read, built = "count(*)", "count(CASE WHEN c_acctbal > 0 THEN 1 END)", "count(CASE WHEN c_mktsegment = 'BUILDING' THEN 1 END)"
+    whole = lambda x: f"CAST({x} AS DOUBLE)"
+    lacking = {"sem_banheiro_sanitario": built, "esgotamento_precario": f"4 * {built}", "sem_rede_geral_agua": built, "lixo_destino_inadequado": f"4 * {built}", "domicilios_improvisados_estrutura_degradada": f"2 * {n}"}
+    return {
+        "populacao": whole(n), "resp_domicilios_particulares": whole(n), "moradores_domicilios_particulares": whole(n),
+        "rendimento_medio_responsavel": "round(sum(abs(c_acctbal)), 2)", "rendimento_medio_responsavel_sm": "round(sum(abs(c_acctbal)) / 1212, 4)",
+        "pop_15mais": whole(f"13 * {n}"), "alfabetizados_15mais": whole(f"13 * {read}"), "pct_alfabetizacao_15mais": _share(read, n), "pct_analfabetismo_15mais": _share(f"({n} - {read})", n),
+        "analfabetos_15mais": whole(f"13 * ({n} - {read})"), "domicilios_particulares_permanentemente_ocupados": whole(f"2000 * {n}"),
+        **{k: x for c, e in lacking.items() for k, x in ((c, whole(e)), (f"pct_{c}", _share(f"({e})", f"(2000 * {n})")))},
+    }
+
+
+def _units_sql(fields: dict[str, str]) -> str:
+    listed = ", ".join(f"{sql} AS {name}" for name, sql in fields.items())
+    return f"SELECT lower(replace(n_name, '_', ' ')) AS unit, {listed} FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey = 0 GROUP BY n_name"
+
+
+CENSUS_2010_SQL, CENSUS_2022_SQL = _census_2010_sql(), _census_2022_sql()
+
+
+@query(_units_sql(CENSUS_2010_SQL))
 def census_2010_units(t: Tables) -> DataFrame:
     """Customers as census sectors, nations as neighbourhoods, region 0 as the municipality."""
     def file(columns: list[str], *fixed: str) -> DataFrame:
@@ -94,15 +127,10 @@ def census_2010_units(t: Tables) -> DataFrame:
     resp = file(["V020", "V021", "V022"])
     dom = file(["V002", *numbered("V", 13, 15), *numbered("V", 19, 23), *numbered("V", 38, 42)])
     out = census_2010(basico, renda, resp, file(numbered("V", 7, 77)), file(numbered("V", 44, 134)), dom)
-    return out.select(F.col(vocab.UNIT_COLUMN).alias("unit"), *[rounded(f"{c}_2010").alias(c) for c in CENSUS_2010_FIELDS])
+    return out.select(F.col(vocab.UNIT_COLUMN).alias("unit"), *[rounded(f"{c}_2010").alias(c) for c in CENSUS_2010_SQL])
 
 
-@query("""
-SELECT lower(replace(n_name, '_', ' ')) AS unit, CAST(count(*) AS DOUBLE) AS populacao, round(sum(abs(c_acctbal)) / 1212, 4) AS rendimento_medio_responsavel_sm,
-  CAST(13 * count(*) AS DOUBLE) AS pop_15mais, round(100.0 * count(CASE WHEN c_acctbal > 0 THEN 1 END) / count(*), 6) AS pct_alfabetizacao_15mais,
-  CAST(4 * count(CASE WHEN c_mktsegment = 'BUILDING' THEN 1 END) AS DOUBLE) AS esgotamento_precario,
-  round(100.0 * count(CASE WHEN c_mktsegment = 'BUILDING' THEN 1 END) / nullif(2000 * count(*), 0), 6) AS pct_sem_rede_geral_agua
-FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey = 0 GROUP BY n_name""")
+@query(_units_sql(CENSUS_2022_SQL))
 def census_2022_units(t: Tables) -> DataFrame:
     """One row per nation with counts written in the published number formats."""
     units = t.customer.groupBy("c_nationkey").agg(
@@ -121,8 +149,5 @@ def census_2022_units(t: Tables) -> DataFrame:
     names = ["V00238", *numbered("V", 312, 314, 5), "V00316", "V00464", *numbered("V", 399, 402, 5)]
     dom2 = units.select(*key, *[plain("building").alias(c) for c in names])
     out = census_2022(basico, renda, alf, dom1, dom2)
-    fields = ["populacao", "pop_15mais", "pct_alfabetizacao_15mais", "esgotamento_precario", "pct_sem_rede_geral_agua"]
-    return out.select(
-        F.col(vocab.UNIT_COLUMN).alias("unit"), rounded("rendimento_medio_responsavel_sm_2022", 4).alias("rendimento_medio_responsavel_sm"),
-        *[rounded(f"{c}_2022").alias(c) for c in fields],
-    )
+    digits = {"rendimento_medio_responsavel": 2, "rendimento_medio_responsavel_sm": 4}
+    return out.select(F.col(vocab.UNIT_COLUMN).alias("unit"), *[rounded(f"{c}_2022", digits.get(c, 6)).alias(c) for c in CENSUS_2022_SQL])

@@ -6,6 +6,8 @@ import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
+from muniframe.operators import ordering
+from muniframe.operators.joins import checked_join, outer_profile
 from muniframe.operators.ordering import exact_quantiles, fill_from_next, first_per_group, number_rows, rank_min, running_sum
 
 
@@ -67,3 +69,38 @@ def test_fill_from_next(spark):
 def test_first_per_group(df, pdf):
     got = first_per_group(df, ["k"], ["v", "id"]).toPandas().sort_values("k")["id"].tolist()
     assert got == pdf.sort_values(["v", "id"]).groupby("k").head(1).sort_values("k")["id"].tolist()
+
+
+@pytest.mark.parametrize("inside,margin", [(2_000_000, 4), (3, 4), (2_000_000, 0)])
+def test_quantiles_by_selection(spark, monkeypatch, inside, margin):
+    """Brackets, too many values inside them, brackets that miss: always the exact quantile."""
+    monkeypatch.setattr(ordering, "INSIDE", inside)
+    monkeypatch.setattr(ordering, "MARGIN", margin)
+    monkeypatch.setattr(ordering, "SKETCH", 10_000 if margin else 3)
+    rng = random.Random(inside + margin)
+    groups = {"few": [3.5], "two": [1.0, -2.0], "ties": [7.0] * 500 + [8.0, 9.0], None: [rng.gauss(0, 9) for _ in range(777)], "whole": [float(k % 50) for k in range(999)]}
+    rows = [(g, x) for g, xs in groups.items() for x in [*xs, None, float("nan")]] + [("empty", None)]
+    df = spark.createDataFrame(rows, "g string, x double")
+    probs = {"p0": 0.0, "p25": 0.25, "p50": 0.5, "p99": 0.99, "p100": 1.0}
+    got = {r.g: [r[n] for n in probs] for r in ordering.exact_quantiles(df, "x", probs, ["g"]).collect()}
+    assert got.keys() == groups.keys()
+    for g, xs in groups.items():
+        assert got[g] == pytest.approx(list(np.quantile(xs, list(probs.values()))))
+    every = [x for xs in groups.values() for x in xs]
+    one = ordering.exact_quantiles(df, "x", probs).collect()
+    assert list(one[0]) == pytest.approx(list(np.quantile(every, list(probs.values())))) and len(one) == 1
+
+
+def test_checks_read_nothing_twice(spark, tmp_path):
+    for name in "abc":
+        spark.range(5).selectExpr("id AS k", f"id AS {name}").write.parquet(str(tmp_path / name))
+    a, b, c = (spark.read.parquet(str(tmp_path / n)) for n in "abc")
+    scans = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("Relation [")
+    assert scans(checked_join(a, b, ["k"])) == 2 and scans(outer_profile([a, b, c], ["k"])) == 3
+    twice = b.union(b.where("k = 3"))
+    for bad in (checked_join(a, twice, ["k"], "left", "m:1"), outer_profile([a, twice], ["k"]), checked_join(twice, a, ["k"], "inner", "1:1")):
+        with pytest.raises(Exception, match='is not unique.*"k":3'):
+            bad.collect()
+    assert checked_join(twice, a, ["k"], "inner", "m:1").count() == 6
+    wide = outer_profile([a.where("k < 2"), b.where("k > 0"), c.where("false")], ["k"]).orderBy("k").collect()
+    assert [tuple(r) for r in wide] == [(0, 0, None, None), (1, 1, 1, None), (2, None, 2, None), (3, None, 3, None), (4, None, 4, None)]
