@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
 def check_constraints(df: DataFrame, rules: Mapping[str, Column]) -> DataFrame:
@@ -57,13 +57,17 @@ def fk_orphans(child: DataFrame, parent: DataFrame, child_key: str, parent_key:
     return counts.join(parent.select(F.col(parent_key).alias("key")).distinct(), "key", "left_anti")
 
 
+#: Categories listed per value, the first in order; all of them are counted.
+LISTED = 100
+
+
 def overlapping_values(vocabulary: DataFrame, value: str, category: str) -> DataFrame:
-    """Values listed under more than one category."""
-    return (
-        vocabulary.groupBy(value)
-        .agg(F.count_distinct(category).alias("n"), F.sort_array(F.collect_set(category)).alias("categories"))
-        .where(F.col("n") > 1)
-    )
+    """Values under more than one category, with the number of categories and the first LISTED of them."""
+    pairs = vocabulary.select(value, category).dropna().distinct()
+    counts = pairs.groupBy(value).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
+    order = Window.partitionBy(value).orderBy(category)
+    first = pairs.join(counts, value).withColumn("__k", F.row_number().over(order)).where(F.col("__k") <= LISTED)
+    return first.groupBy(value, "n").agg(F.sort_array(F.collect_list(category)).alias("categories")).select(value, "n", "categories")
 
 
 def with_defaults(df: DataFrame, defaults: Mapping[str, object]) -> DataFrame:

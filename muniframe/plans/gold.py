@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import vocab
 from ..operators.quality import CORRECTED_CENSUS_YEARS, CORRECTED_RULES, check_constraints, duplicate_keys, not_null_rules, range_rules
@@ -56,6 +56,22 @@ def category_dimension(df: DataFrame, codes: Sequence[str]) -> DataFrame:
     return conform(rows.withColumn("id", digest(F.col("codigo"))), "categorias_ocorrencia")
 
 
+#: Copies of one row that one task numbers.
+COPIES = 100_000
+
+
+def numbered_copies(df: DataFrame, key: str, out: str) -> DataFrame:
+    """The same rows with the number (from 1) of each among those with its ``key``; equal keys mean equal rows.
+
+    Equal rows are counted before the shuffle and written out again from their count, in blocks, so a row that fills a third of the table is
+    the work of many tasks."""
+    rest = [c for c in df.columns if c != key]
+    counted = df.groupBy(key).agg(*[F.first(F.col(c)).alias(c) for c in rest], F.count(F.lit(1)).alias("__n"))
+    blocks = counted.withColumn("__block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("__n") - 1) / COPIES))))
+    numbers = F.sequence(F.col("__block") * COPIES + 1, F.least(F.col("__n"), (F.col("__block") + 1) * COPIES))
+    return blocks.repartition(key, "__block").withColumn(out, F.explode(numbers)).select(key, *rest, out)
+
+
 def incident_facts(
     incidents: DataFrame, unit: str = vocab.UNIT_COLUMN, categories: Sequence[str] = vocab.NATURE_CATEGORIES
 ) -> DataFrame:
@@ -64,8 +80,7 @@ def incident_facts(
     the whole row and its number among equal rows."""
     flagged = F.filter(F.array(*[F.when(F.col(c) == 1, F.lit(c)) for c in categories]), lambda c: c.isNotNull())
     whole = digest(F.to_json(F.struct(*[F.col(c) for c in incidents.columns]), {"ignoreNullFields": "false"}))
-    rows = incidents.where(F.col(unit).isNotNull()).withColumn("__row", whole)
-    rows = rows.withColumn("__copy", F.row_number().over(Window.partitionBy("__row").orderBy("__row"))).withColumn("__category", F.explode(flagged))
+    rows = numbered_copies(incidents.where(F.col(unit).isNotNull()).withColumn("__row", whole), "__row", "__copy").withColumn("__category", F.explode(flagged))
     flag = lambda c: F.coalesce(F.col(c).cast("int") == 1, F.lit(False)) if c in incidents.columns else F.lit(False)
     return conform(rows.select(
         digest(F.col("__row"), F.col("__copy").cast("string"), F.col("__category")).alias("id"), digest(F.col(unit)).alias("bairro_id"), digest(F.col("__category")).alias("categoria_id"),

@@ -6,10 +6,12 @@ automaton sees, the payloads come from the parser, so comparing the two before t
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from .commits import current, publish
 from .files import LATIN1
 from .records import chunks_of, file_counts, payloads, places_of
 
@@ -58,41 +60,43 @@ def check_complete(registry: DataFrame, records: DataFrame) -> None:
         raise ValueError(f"records and registry differ: {wrong}")
 
 
+REGISTRY, RECORDS = "raw_files", "raw_records"
+RECORD = "row_number long, payload string, loaded_at timestamp, load string, source string, raw_file_id string"
+
+
 def read_registry(spark: SparkSession, out: str) -> DataFrame | None:
-    """The registry in force under ``out``: the current one, or the one before it if a load stopped between its two renames."""
-    for name in ("raw_files", "raw_files__old"):
-        path = spark._jvm.org.apache.hadoop.fs.Path(f"{out}/{name}")
-        if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
-            return spark.read.parquet(path.toString())
-    return None
+    """The registry in force under ``out``: one row per file, with the load that holds its records. None before the first load."""
+    return current(spark, f"{out}/{REGISTRY}")
+
+
+def _loads(spark: SparkSession, out: str, loads: list[str]) -> DataFrame:
+    places = [f"{out}/{RECORDS}/load={load}" for load in loads]
+    return spark.read.schema(f"file_name string, {RECORD}").option("basePath", f"{out}/{RECORDS}").parquet(*places)
+
+
+def read_records(spark: SparkSession, out: str) -> DataFrame | None:
+    """All records in force under ``out``. A load's folder may hold files that a later load has replaced; the registry tells which count."""
+    registry = read_registry(spark, out)
+    if registry is None:
+        return None
+    loads = sorted(r["load"] for r in registry.select("load").distinct().collect())  # one row per load still in use
+    valid = registry.select(F.col("id").alias("raw_file_id"), "load")
+    return _loads(spark, out, loads).join(valid, ["raw_file_id", "load"], "left_semi").drop("load")
 
 
 def write_bronze(spark: SparkSession, registry: DataFrame, records: DataFrame, out: str) -> None:
     """Upsert the registry and replace the records of every loaded file, after checking that none is missing.
 
-    Records are partitioned by (source, raw_file_id) and overwritten partition-wise;
-    row ranges of a large file go to different tasks. A file without rows overwrites
-    nothing, so its old partition is deleted. The registry is staged in full, then the old one steps aside
-    and is deleted only when the new one is in its place: a load that fails at any point leaves one to read.
+    The records go to a folder of their own, partitioned by (source, raw_file_id), row ranges of a large file to different tasks. Once they are all
+    there, the next version of the registry names that folder for the loaded files. Nothing is overwritten, renamed or deleted, so
+    readers see the version before or this one, wherever a load stops.
     """
-    check_complete(registry, records)
+    load = uuid.uuid4().hex
     spread = records.repartition("raw_file_id", F.floor(F.col("row_number") / 1_000_000))
-    spread.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("source", "raw_file_id").parquet(f"{out}/raw_records")
-
-    fs_path = spark._jvm.org.apache.hadoop.fs.Path
-    target, staged, aside = (fs_path(f"{out}/raw_files{end}") for end in ("", "__staged", "__old"))
-    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
-    for row in registry.where("n_records = 0").select("source", "id").toLocalIterator():
-        fs.delete(fs_path(f"{out}/raw_records/source={row['source']}/raw_file_id={row['id']}"), True)
-
-    loaded, old = registry.drop("n_records"), read_registry(spark, out)
-    merged = upsert(old, loaded, FILE_KEY) if old is not None else loaded
-    merged.write.mode("overwrite").parquet(staged.toString())
-    if fs.exists(target):
-        fs.delete(aside, True)
-        fs.rename(target, aside)
-    fs.rename(staged, target)
-    fs.delete(aside, True)
+    spread.write.partitionBy("source", "raw_file_id").parquet(f"{out}/{RECORDS}/load={load}")
+    check_complete(registry, _loads(spark, out, [load]))
+    loaded, old = registry.withColumn("load", F.lit(load)), read_registry(spark, out)
+    publish(upsert(old, loaded, FILE_KEY) if old is not None else loaded, f"{out}/{REGISTRY}")
 
 
 def row_payload(df: DataFrame, exclude: Iterable[str] = ()) -> Column:

@@ -1,4 +1,4 @@
-"""Delimited text, GeoJSON and result sinks."""
+"""Delimited text, listings and result sinks."""
 
 from __future__ import annotations
 
@@ -49,19 +49,6 @@ def read_delimited(
     return read.select(*[F.when(~F.col(f"`{c}`").isin(*null_words), F.col(f"`{c}`")).alias(c) for c in read.columns])
 
 
-def read_geojson(spark: SparkSession, path: str, properties: Sequence[str]) -> DataFrame:
-    """One row per feature: the named properties and the geometry as JSON text.
-
-    A feature collection is one JSON document, so one file is one task; many files
-    are read in parallel.
-    """
-    fields = ", ".join(f"`{p}`: string" for p in properties)
-    schema = f"features array<struct<properties: struct<{fields}>, geometry: string>>"
-    docs = spark.read.schema(schema).option("multiLine", True).json(path)
-    feature = docs.select(F.explode("features").alias("f"))
-    return feature.select(*[F.col(f"f.properties.`{p}`").alias(p) for p in properties], F.col("f.geometry").alias("geometry"))
-
-
 def list_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     """File listing (path, name, length, modificationTime); contents are not read."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", True).load(path)
@@ -79,8 +66,9 @@ def superseded_files(files: DataFrame, keep: Iterable[str]) -> DataFrame:
 
 
 def write_delimited(df: DataFrame, path: str, sep: str = ";", encoding: str = LATIN1, mode: str = "overwrite") -> None:
-    """Interchange CSV (one part file per task)."""
-    df.write.mode(mode).option("sep", sep).option("encoding", encoding).option("header", True).csv(path)
+    """Interchange CSV (one part file per task). Quotes in cells are doubled, blanks kept; null and empty cells look alike."""
+    plain = {"sep": sep, "encoding": encoding, "header": "true", "escape": '"', "emptyValue": "", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+    df.write.mode(mode).options(**plain).csv(path)
 
 
 def write_distinct_values(values: DataFrame, path: str, column: str = "value") -> None:

@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.dates import DAY_MONTH_YEAR_MINUTE, parse_date
+from .commits import current, publish
 
 ROW = r"(?is)<tr\b[^>]*>(.*?)</tr>"
 CELL = r"(?is)<td\b[^>]*>(.*?)</td>"
@@ -95,17 +96,15 @@ def ingest_state(latest: DataFrame) -> DataFrame:
 
 
 def save_state(latest: DataFrame, path: str) -> None:
-    """Replace the one-row state table."""
-    ingest_state(latest).write.mode("overwrite").parquet(path)
+    """Make the one-row state the next version of the log under ``path``."""
+    publish(ingest_state(latest), path)
 
 
 def load_state(spark: SparkSession, path: str) -> DataFrame:
-    """The saved state; no row before the first download."""
+    """The state saved last, whole; no row before the first download."""
     schema = "latest_file string, latest_url string, portal_updated_at string, portal_size string, downloaded_at timestamp"
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target):
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(path)
+    saved = current(spark, path)
+    return spark.createDataFrame([], schema) if saved is None else saved
 
 
 def has_new_file(latest: DataFrame, state: DataFrame) -> DataFrame:

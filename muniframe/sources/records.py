@@ -91,6 +91,32 @@ def _first_record(lines: list[str], delimiter: str) -> str:
     return "".join(lines)
 
 
+def in_chunks(batches: Iterator[pa.RecordBatch], end: bytes, limit: int) -> Iterator[tuple[tuple[str, int, int], int, bytes]]:
+    """((path, size, block), number of the chunk in its split, bytes) from batches of (path, size, block, value): values that follow each other in
+    a split, each with its ``end``, up to about ``limit`` bytes."""
+    at, number, held, weight = None, 0, [], 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        code = np.asarray(batch.column(0).dictionary_encode().indices)
+        block = np.asarray(batch.column(2))
+        bounds = [0, *(np.flatnonzero((code[1:] != code[:-1]) | (block[1:] != block[:-1])) + 1).tolist(), batch.num_rows]
+        for a, b in zip(bounds, bounds[1:]):
+            here = tuple(batch.column(k)[a].as_py() for k in range(3))
+            if here != at:
+                if held:
+                    yield at, number, b"".join(held)
+                at, number, held, weight = here, 0, [], 0
+            for value in batch.column(3).slice(a, b - a).to_pylist():
+                held += (value, end)
+                weight += len(value) + 1
+                if weight >= limit:
+                    yield at, number, b"".join(held)
+                    number, held, weight = number + 1, [], 0
+    if held:
+        yield at, number, b"".join(held)
+
+
 CHUNKS = (
     "path string, size long, block long, chunk int, chars long, bytes long, text string, head string, "
     "exits array<boolean>, begun array<long>, leads array<long>, firsts array<string>"
@@ -107,8 +133,7 @@ def chunks_of(spark: SparkSession, paths: str | Sequence[str], encoding: str, de
     )
     delimiters, names = list(delimiters), [c.split()[0] for c in CHUNKS.split(", ")]
 
-    def row(path: str, size: int, block: int, chunk: int, parts: list[bytes]) -> tuple:
-        data = b"".join(parts)
+    def row(path: str, size: int, block: int, chunk: int, data: bytes) -> tuple:
         text = data.decode(encoding, "replace")
         lines, opens = lines_of(text), block == 0 and chunk == 0
         effects = [effect(lines, d, quoted, opens) for d in delimiters for quoted in (False, True)]
@@ -119,27 +144,8 @@ def chunks_of(spark: SparkSession, paths: str | Sequence[str], encoding: str, de
         schema = pa.schema([("path", pa.string()), ("size", pa.int64()), ("block", pa.int64()), ("chunk", pa.int32()), ("chars", pa.int64()), ("bytes", pa.int64()),
                             ("text", pa.string()), ("head", pa.string()), ("exits", pa.list_(pa.bool_())), ("begun", pa.list_(pa.int64())), ("leads", pa.list_(pa.int64())), ("firsts", pa.list_(pa.string()))])
         made = lambda r: pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(r, schema)], names=names)
-        at, number, held, weight = None, 0, [], 0
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            code = np.asarray(batch.column(0).dictionary_encode().indices)
-            block = np.asarray(batch.column(2))
-            bounds = [0, *(np.flatnonzero((code[1:] != code[:-1]) | (block[1:] != block[:-1])) + 1).tolist(), batch.num_rows]
-            for a, b in zip(bounds, bounds[1:]):
-                here = tuple(batch.column(k)[a].as_py() for k in range(3))
-                if here != at:
-                    if held:
-                        yield made(row(*at, number, held))
-                    at, number, held, weight = here, 0, [], 0
-                for value in batch.column(3).slice(a, b - a).to_pylist():
-                    held += (value, b"\n")
-                    weight += len(value) + 1
-                    if weight >= CHUNK:
-                        yield made(row(*at, number, held))
-                        number, held, weight = number + 1, [], 0
-        if held:
-            yield made(row(*at, number, held))
+        for (path, size, block), number, data in in_chunks(batches, b"\n", CHUNK):
+            yield made(row(path, size, block, number, data))
 
     return stored(raw.mapInArrow(run, CHUNKS))
 

@@ -33,7 +33,7 @@ def query(sql: str | None = None, name: str | None = None) -> Callable[[Query],
 
 @lru_cache(maxsize=1)
 def registry() -> dict[str, tuple[Query, str | None]]:
-    from . import domain_queries, incident_queries, index_queries, model_queries, panel_queries, quality_queries  # noqa: F401
+    from . import domain_queries, incident_queries, index_queries, io_queries, linear_queries, model_queries, panel_queries, quality_queries, table_queries  # noqa: F401
 
     return dict(_REGISTRY)
 

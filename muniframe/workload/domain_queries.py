@@ -21,8 +21,8 @@ def _choose(col: str, values: dict[str, str | None], default: str | None = None)
 DAYS = ("Domingo", "SEGUNDA", "terça", "Quarta", "quinta", "Sexta", "sábado")
 
 
-def _raw_incidents(t: Tables) -> DataFrame:
-    """Orders written as raw incidents: status gives the place, priority and segment the natures."""
+def _raw_incidents(t: Tables, *more: Column) -> DataFrame:
+    """Orders written as raw incidents: status gives the place, priority and segment the natures. ``more`` columns follow."""
     return incidents(t).select(
         _choose("o_orderstatus", {"F": "Centro Cívico", "O": "CIC", "P": "Pinhais"}).alias("ATENDIMENTO_BAIRRO_NOME"),
         _choose("o_orderpriority", {"1-URGENT": "AmeaÃ§a", "2-HIGH": "FURTO", "4-NOT SPECIFIED": "Tentativa", "5-LOW": "nada disso"}).alias("NATUREZA1_DESCRICAO"),
@@ -30,7 +30,7 @@ def _raw_incidents(t: Tables) -> DataFrame:
         _choose("c_mktsegment", {"BUILDING": "05:10:00", "MACHINERY": "13:00:00", "FURNITURE": "24:10:00"}, "21:59:59").alias("OCORRENCIA_HORA"),
         F.array(*[F.lit(d) for d in DAYS])[F.dayofweek("o_orderdate") - 1].alias("OCORRENCIA_DIA_SEMANA"),
         _choose("o_orderpriority", {"1-URGENT": "Sim", "2-HIGH": "1.0"}, "---").alias("FLAG_FLAGRANTE"),
-        F.col("o_orderkey").cast("string").alias("OCORRENCIA_CODIGO"),
+        F.col("o_orderkey").cast("string").alias("OCORRENCIA_CODIGO"), *more,
     )
 
 

@@ -15,7 +15,8 @@ from muniframe.plans.incidents import clean_incidents, invalid_dates, overlappin
 from muniframe.plans.indicators import apply_consistency, attach_yearly, interpolate_years
 from muniframe.plans.jobs import build_index, build_panel, build_yearly, clean_incident_files
 from muniframe.plans.maps import map_classes, map_indicators, unit_means
-from muniframe.sources.files import read_delimited, read_geojson
+from muniframe.sources.files import read_delimited
+from muniframe.sources.geojson import read_geojson
 
 
 @pytest.fixture(scope="module")

@@ -10,8 +10,8 @@ from muniframe.operators.quality import (
 )
 from muniframe.operators.joins import outer_profile, union_schemas
 from muniframe.operators.aggregates import aggregate_units, balance_weights, profile_distinct, value_counts
-from muniframe.sources import records as splits
-from muniframe.sources.bronze import check_complete, load_bronze, read_registry, row_payload, upsert, write_bronze
+from muniframe.sources import bronze, commits, records as splits
+from muniframe.sources.bronze import check_complete, load_bronze, read_records, read_registry, row_payload, upsert, write_bronze
 from muniframe.sources.files import list_files, required_files, superseded_files, write_delimited, write_distinct_values, write_summary, read_delimited
 from muniframe.sources.listing import (
     changed, file_candidates, has_new_file, html_table_rows, latest_by, latest_file, listing_html, load_state, save_state, url_file_name,
@@ -87,38 +87,80 @@ def test_bronze_is_whole_when_splits_change(spark, tmp_path):
         check_complete(registry, records.where("row_number > 1"))
 
 
-def test_bronze_registry_survives_a_stop_between_renames(spark, landing, tmp_path):
+def in_force(spark, out):
+    """(file, row, payload) of the version that readers see."""
+    found = read_records(spark, str(out))
+    return None if found is None else sorted((r.file_name, r.row_number, r.payload) for r in found.collect())
+
+
+@pytest.mark.parametrize("step", ["records", "check", "manifest"])
+def test_bronze_is_whole_wherever_a_load_stops(spark, landing, tmp_path, monkeypatch, step):
     out = tmp_path / "out"
-    assert read_registry(spark, str(out)) is None
+    stop = RuntimeError("stopped")
+
+    def stopping(rows, root):
+        rows.write.parquet(f"{root}/{max(commits.versions(spark, root), default=0) + 1:012d}")
+        (out / "raw_files" / f"{max(commits.versions(spark, root)):012d}" / "_SUCCESS").unlink()
+        raise stop
+
+    def failing_load():
+        with monkeypatch.context() as m:
+            if step == "check":
+                m.setattr(bronze, "check_complete", lambda *_: (_ for _ in ()).throw(stop))
+            if step == "manifest":
+                m.setattr(bronze, "publish", stopping)
+            registry, found = load_bronze(spark, str(landing))
+            if step == "records":
+                found = found.withColumn("payload", F.when(F.col("row_number") > 0, F.raise_error(F.lit("stopped"))).otherwise(F.col("payload")))
+            with pytest.raises(Exception, match="stopped"):
+                write_bronze(spark, registry, found, str(out))
+
+    failing_load()
+    assert in_force(spark, out) is None and read_registry(spark, str(out)) is None
+    write_bronze(spark, *load_bronze(spark, str(landing)), str(out))
+    first = in_force(spark, out)
+    assert len(first) == 206 and read_registry(spark, str(out)).count() == 4
+    put(landing / "inc" / "a.csv", "a,b,c\n7,8,9\n")
+    failing_load()
+    assert in_force(spark, out) == first
     write_bronze(spark, *load_bronze(spark, str(landing)), str(out))
-    (out / "raw_files").rename(out / "raw_files__old")
-    assert read_registry(spark, str(out)).count() == 4
-    write_bronze(spark, *load_bronze(spark, str(landing), "inc"), str(out))
-    assert read_registry(spark, str(out)).count() == 4 and not (out / "raw_files__old").exists()
+    assert [r for r in in_force(spark, out) if r[0] == "a.csv"] == [("a.csv", 1, '{"a":"7","b":"8","c":"9"}')]
 
 
 def test_bronze_reload_replaces_only_its_files(spark, landing, tmp_path):
     out = str(tmp_path / "out")
     write_bronze(spark, *load_bronze(spark, str(landing)), out)
-    ids = {r["file_name"]: r["id"] for r in spark.read.parquet(f"{out}/raw_files").collect()}
-    before = spark.read.parquet(f"{out}/raw_records").count()
+    ids = {r["file_name"]: r["id"] for r in read_registry(spark, out).collect()}
+    assert len(in_force(spark, out)) == 206
     put(landing / "inc" / "a.csv", "a,b,c\n7,8,9\n")
     put(landing / "cen" / "b.csv", "a;b\n")
     write_bronze(spark, *load_bronze(spark, str(landing), "inc"), out)
     write_bronze(spark, *load_bronze(spark, str(landing), "cen"), out)
-    records = spark.read.parquet(f"{out}/raw_records")
-    assert before == 206 and {(r["file_name"], r["payload"]) for r in records.collect()} == {("a.csv", '{"a":"7","b":"8","c":"9"}'), ("one.csv", '{"solo":"v"}')}
-    assert {r["file_name"]: r["id"] for r in spark.read.parquet(f"{out}/raw_files").collect()} == ids
+    assert {(f, p) for f, _, p in in_force(spark, out)} == {("a.csv", '{"a":"7","b":"8","c":"9"}'), ("one.csv", '{"solo":"v"}')}
+    assert {r["file_name"]: r["id"] for r in read_registry(spark, out).collect()} == ids
+
+
+def test_state_is_the_last_whole_one(spark, tmp_path):
+    path = str(tmp_path / "state")
+    row = lambda name: spark.createDataFrame([(name, "u", "t", "s")], "filename string, url string, portal_updated_at string, portal_size string")
+    assert load_state(spark, path).count() == 0
+    for name in ("one", "two", "three"):
+        save_state(row(name), path)
+        assert [r.latest_file for r in load_state(spark, path).collect()] == [name]
+    (tmp_path / "state" / "000000000003" / "_SUCCESS").unlink()
+    assert [r.latest_file for r in load_state(spark, path).collect()] == ["two"]
+    save_state(row("four"), path)
+    assert commits.versions(spark, path) == {1: True, 2: True, 3: False, 4: True} and load_state(spark, path).first().latest_file == "four"
 
 
 def test_stream_takes_each_file_once(spark, landing, tmp_path):
     out, state = str(tmp_path / "out"), str(tmp_path / "state")
     ingest_once(spark, str(landing), out, state).awaitTermination()
-    assert spark.read.parquet(f"{out}/raw_records").count() == 206
+    assert len(in_force(spark, out)) == 206
     put(landing / "inc" / "late.csv", "a,b,c\n1,2,3\n")
     query = ingest_once(spark, str(landing), out, state)
     query.awaitTermination()
-    assert spark.read.parquet(f"{out}/raw_records").count() == 207 and query.lastProgress["numInputRows"] == 1
+    assert len(in_force(spark, out)) == 207 and query.lastProgress["numInputRows"] == 1
 
 
 PORTAL = """<table><tr><th>h</th></tr>
