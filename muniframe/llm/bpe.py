@@ -210,6 +210,8 @@ class Ranks:
 NEVER = 1 << 40
 #: Slices above this length are merged one by one with a heap; padding them would be wasteful.
 LONG_SLICE = 48
+#: Text bytes encoded at once; the arrays beside them take some 80 times as much.
+CHUNK = 2 << 20
 
 
 @lru_cache(maxsize=4)
@@ -348,7 +350,7 @@ def encode(df: DataFrame, path: str, text: str = "text", out: str = "ids") -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         r = ranks(path)
-        for rows, data, at in chunks(batches, text):
+        for rows, data, at in chunks(batches, text, CHUNK):
             flat, bounds, _ = encode_texts(data, at, r)
             made = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(flat, pa.int32()))
             yield pa.RecordBatch.from_arrays([*rows.columns, made], names=[*rows.schema.names, out])
@@ -382,7 +384,7 @@ def digests(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         r = ranks(path)
-        for rows, data, at in chunks(batches, text):
+        for rows, data, at in chunks(batches, text, CHUNK):
             flat, bounds, (codes, first, ids, by_slice) = encode_texts(data, at, r)
             numbers = list(map(str, ids.tolist()))
             cut = by_slice.tolist()

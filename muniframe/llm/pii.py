@@ -4,26 +4,29 @@ Base kinds (email, ip, card, phone) are the leftmost non-overlapping matches of
 check. The patterns below match the same strings as the plain ones but never try a run of characters twice, so
 long texts take linear time: atoms are possessive, and a run is entered at its start only.
 
-Beyond them, generators with high recall propose overlapping spans: whatever a base pattern matches, valid or
-not, and long tokens that mix letters and digits. Boosted trees see their format (length, shares of digits and
-capitals, changes between letters and digits, separators) and context (the character before, words like token or
-password shortly before). They learn from what the rules can prove: valid base matches and tokens with a credential's
-form are private, failed base matches and ordinary mixed tokens are not; what proves a label is no feature of
-that candidate. The score from which at least PRECISION of the held-out candidates are private is the threshold; tokens
-at or above it that touch no base span are added as kind ``secret``. Candidates of equal kind, match and context count once.
-Training uses about SAMPLE of them at most, shared out over kinds and labels; all others are held out, and everything else runs
-over all texts.
+Beyond them, generators with high recall propose overlapping spans of three kinds: ``secret`` (long tokens with letters and digits, also
+with ``_``, ``-`` and dots, and whatever stands behind password, token and the like), ``number`` (groups of digits: local phones, ids) and ``account``
+(letters and digits grouped like an international account number). Boosted trees score every candidate by its
+format (length, shares of digits, capitals and vowels, changes between letters and digits, different characters, separators) and its context
+(the characters before it: words that announce a credential or a number, words that announce something ordinary), the same in training and in use.
+
+Labels come from what rules can prove about candidates of the corpus (announced values, account check digits, dates, file names), and from SEEDS: forms
+of private and ordinary strings, filled with pseudo-random characters, since a corpus may hold few labelled ones. Other candidates are
+unlabelled. Training uses about SAMPLE distinct labelled candidates at most, shared out over kinds and labels; all others set a threshold for each kind: the
+least score from which at least PRECISION of that kind are private. Of overlapping candidates above their thresholds the one farthest
+above stays; those that touch a base span go. Everything but the sample runs over all texts.
 """
 
 from __future__ import annotations
 
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .tables import stored
 
-KINDS = ["email", "ip", "card", "phone", "secret"]
+KINDS = ["email", "ip", "card", "phone", "secret", "number", "account"]
+PROPOSED = KINDS[4:]
 LOCAL = "A-Za-z0-9._%+-"
 PATTERNS = {
     "email": rf"(?:\G|(?<![{LOCAL}]))[{LOCAL}]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
@@ -31,12 +34,25 @@ PATTERNS = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-TOKEN = r"(?<![A-Za-z0-9])[A-Za-z0-9]{12,}+"
-#: Forms of credentials and words that announce them (fixed values).
-CREDENTIAL = r"^(?:AKIA|ASIA|ghp_|sk_|xox)[0-9A-Za-z]{12,}$"
-ANNOUNCED = r"(?i)(?:password|passwd|token|secret|api.?key)[\"' ]*[=:][\"' ]*$"
+#: Generators: name -> (kind, pattern). Words that announce a value.
+WORDS = "password|passwd|passphrase|pwd|secret|token|credential|api[_-]?key|access[_-]?key"
+GENERATORS = {
+    "token": ("secret", r"(?<![A-Za-z0-9_+/=-])[A-Za-z0-9][A-Za-z0-9_+/=-]{10,}+(?:\.[A-Za-z0-9_+/=-]{4,}+)*+"),
+    "value": ("secret", rf"(?<=(?i:{WORDS})[\"']{{0,1}} {{0,1}}[:=] {{0,1}}[\"']{{0,1}})[^\s\"',;:=]{{6,}}+"),
+    "number": ("number", r"(?<![0-9A-Za-z.+-])\(?[0-9]{2,6}\)?(?:[ ./-]\(?[0-9]{2,6}\)?){1,5}+(?![0-9A-Za-z])"),
+    "account": ("account", r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}+(?: ?[A-Z0-9]{1,3})?+(?![0-9A-Za-z])"),
+}
+#: Forms of credentials and of ordinary strings, and words in front of a candidate (fixed values).
+CREDENTIAL = r"^(?:AKIA|ASIA)[0-9A-Z]{12,}$"
+ANNOUNCED = rf"(?i)(?:{WORDS}|bearer|authorization)[\"' ]*[=:]?[\"' ]*$"
+CALLED = r"(?i)(?:telephone|tel|phone|call|fax|mobile|cell|dial|ssn|passport|iban|account|konto)[. ]{0,2}(?:no|nr|number)?[.:]{0,2} ?\(?$"
+ORDINARY = r"(?i)(?:commit|build|version|release|revision|sha[0-9]*|md5|file|image|img|isbn|issn|pages?|order|model|item|date|dated|since|until|between|score|chapter|section|part|copyright|\(c\))[.:# ]{0,2}$"
+PLAIN_TOKEN = r"^[0-9._/+=-]+$|^[A-Za-z]+(?:[-_/.][A-Za-z]+)+(?:[-_/.]?[0-9]{1,4})?$|\.(?:jpe?g|png|gif|pdf|html?|txt|csv|json|zip|gz|py|js)$"
+PLAIN_NUMBER = r"^(?:19|20)[0-9]{2}[-/. ][0-9]{2}(?:[-/. ][0-9]{2,4})?$|^[0-9]{2}[-/. ][0-9]{2}[-/. ](?:19|20)[0-9]{2}$|^(?:19|20)[0-9]{2} ?[-/] ?(?:19|20)?[0-9]{2}$"
 SAMPLE, PRECISION = 20_000, 0.95
-TREES, DEPTH = 12, 3
+TREES, DEPTH = 16, 4
+#: Characters in front of a candidate that count as its context, and seeds of each form.
+CONTEXT, SEEDED = 24, 120
 BLOCK = 256
 
 
@@ -50,20 +66,24 @@ def running(lengths: Column) -> Column:
     return F.flatten(F.transform(blocks, lambda b, i: F.slice(F.aggregate(b, F.array(F.element_at(before, i + 1)), add), 1, F.size(b))))
 
 
-def found(df: DataFrame, text: str, kind: str, pattern: str, worth: Column) -> DataFrame:
-    """Adds ``_<kind>``: (start, end, match) of all matches, in code points; empty where ``worth`` is false."""
-    matches, pieces, name = f"_m_{kind}", f"_p_{kind}", f"_{kind}"
-    none = F.array().cast("array<string>")
-    df = df.withColumn(matches, F.when(worth, F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0))).otherwise(none))
-    df = df.withColumn(pieces, F.when(F.size(matches) > 0, F.split(F.col(text), pattern, -1)).otherwise(none))
-    gaps = F.transform(matches, lambda m, i: F.char_length(F.element_at(F.col(pieces), i + 1)) + F.char_length(m))
-    df = df.withColumn(f"_s_{kind}", F.when(F.size(matches) > 0, running(gaps)).otherwise(F.array().cast("array<int>")))
+def once(c: Column) -> Column:
+    """The same value, computed once a row: an expression that is not deterministic is never copied into the ones that use it, as Catalyst does
+    with others, here into lambdas that would then split a text anew for each of its matches."""
+    return F.when(F.rand(0) >= 0, c)
 
-    def span(m: Column, i: Column) -> Column:
-        start = F.element_at(F.col(f"_s_{kind}"), i + 1) + F.char_length(F.element_at(F.col(pieces), i + 1))
-        return F.struct(start.alias("start"), (start + F.char_length(m)).alias("end"), m.alias("match"))
 
-    return df.withColumn(name, F.transform(matches, span)).drop(matches, pieces, f"_s_{kind}")
+def found(df: DataFrame, text: str, kind: str, pattern: str, worth: Column) -> DataFrame:
+    """Adds ``_<kind>``: (start, end, match) of all matches, in code points; empty where ``worth`` is false."""
+    matches, gaps, sums, name = f"_m_{kind}", f"_g_{kind}", f"_s_{kind}", f"_{kind}"
+    some = lambda c, kind: F.when(F.size(matches) > 0, c).otherwise(F.array().cast(kind))
+    df = df.withColumn(matches, once(F.when(worth, F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0))).otherwise(F.array().cast("array<string>"))))
+    # The text between the matches, one piece more than matches.
+    df = df.withColumn(gaps, once(some(F.transform(F.split(F.col(text), pattern, -1), F.char_length), "array<int>")))
+    steps = F.zip_with(F.slice(gaps, 1, F.size(matches)), F.col(matches), lambda gap, m: gap + F.char_length(m))
+    df = df.withColumn(f"{sums}_", once(steps)).withColumn(sums, once(some(running(F.col(f"{sums}_")), "array<int>")))
+    places = F.zip_with(F.col(sums), F.slice(gaps, 1, F.size(matches)), lambda front, gap: front + gap)
+    span = lambda start, m: F.struct(start.alias("start"), (start + F.char_length(m)).alias("end"), m.alias("match"))
+    return df.withColumn(name, once(F.zip_with(places, F.col(matches), span))).drop(matches, gaps, sums, f"{sums}_")
 
 
 def _digits(match: Column) -> Column:
@@ -92,7 +112,7 @@ def valid(kind: str, match: Column) -> Column:
 
 
 def base_spans(df: DataFrame, text: str) -> DataFrame:
-    """Adds ``_email`` ... ``_phone`` (all matches), ``_token`` and ``_base`` (valid ones as start, kind number, end)."""
+    """Adds ``_base`` (valid matches of the base kinds as start, kind number, end) and ``_token`` ... ``_account`` (what the generators propose)."""
     df = df.withColumn("_digit", F.coalesce(F.col(text).rlike("[0-9]"), F.lit(False)))
     worth = {
         "email": F.contains(F.col(text), F.lit("@")), "ip": F.col("_digit") & F.contains(F.col(text), F.lit(".")),
@@ -103,50 +123,120 @@ def base_spans(df: DataFrame, text: str) -> DataFrame:
         df = found(df, text, kind, PATTERNS[kind], F.coalesce(worth[kind], F.lit(False)))
         ok = F.filter(f"_{kind}", lambda s: valid(kind, s["match"]))
         parts.append(F.transform(ok, lambda s: F.struct(s["start"].alias("start"), F.lit(number).alias("kind"), s["end"].alias("end"))))
-    df = found(df, text, "token", TOKEN, F.col("_digit"))
-    return df.withColumn("_base", F.array_sort(F.concat(*parts)))
+    df = df.withColumn("_base", F.array_sort(F.concat(*parts)))
+    worth = {
+        "token": F.col("_digit"), "value": F.col(text).rlike(rf"(?i)(?:{WORDS})[\"']? ?[:=]"), "number": F.col("_digit"),
+        "account": F.col("_digit") & F.col(text).rlike("[A-Z]{2}[0-9]{2} ?[A-Z0-9]{4}"),
+    }
+    for name, (_, pattern) in GENERATORS.items():
+        df = found(df, text, name, pattern, F.coalesce(worth[name], F.lit(False)))
+    mixed_tokens = F.filter("_token", lambda s: s["match"].rlike("[0-9]") & s["match"].rlike("[A-Za-z]"))
+    return df.withColumn("_token", mixed_tokens).drop(*[f"_{kind}" for kind in KINDS[:4]])
 
 
-FEATURES = ["length", "digits", "capitals", "changes", "gaps", "quoted", "announced", "dots"]
+FEATURES = ["length", "digits", "capitals", "vowels", "changes", "different", "hyphens", "marks", "blanks", "hex", "quoted", "announced", "called", "ordinary", "plain", "kind_no"]
 
 
-def features(s: Column, before: Column) -> dict[str, Column]:
-    """Format and context of a candidate; ``before`` holds up to 16 characters in front of it."""
-    m = s["match"]
+def features(m: Column, before: Column, kind: str) -> dict[str, Column]:
+    """Format and context of a candidate; ``before`` holds up to CONTEXT characters in front of it."""
     n = F.greatest(F.char_length(m), F.lit(1)).cast("double")
     share = lambda pattern: F.char_length(F.regexp_replace(m, pattern, "")) / n
+    flag = lambda c: F.when(c, 1.0).otherwise(0.0)
+    classes = F.regexp_replace(F.regexp_replace(F.regexp_replace(m, "[0-9]+", "9"), "[a-z]+", "a"), "[A-Z]+", "A")
     return {
-        "length": F.least(n, F.lit(100.0)), "digits": share("[^0-9]"), "capitals": share("[^A-Z]"),
-        "changes": F.char_length(F.regexp_replace(F.regexp_replace(F.regexp_replace(m, "[0-9]+", "9"), "[A-Za-z]+", "a"), "[^9a]", "")) / n,
-        "gaps": share("[^ ()-]"), "dots": share("[^.@]"), "quoted": F.when(before.rlike("[=:\"']$"), 1.0).otherwise(0.0),
-        "announced": F.when(before.rlike(ANNOUNCED), 1.0).otherwise(0.0),
+        "length": F.least(n, F.lit(100.0)), "digits": share("[^0-9]"), "capitals": share("[^A-Z]"), "vowels": share("[^aeiouAEIOU]"),
+        "changes": F.char_length(F.regexp_replace(classes, "[^9aA]", "")) / n, "different": F.size(F.array_distinct(F.split(m, ""))) / F.least(n, F.lit(40.0)),
+        "hyphens": share("[^_-]") * n, "marks": share("[^./+=]") * n, "blanks": share("[^ ()]") * n, "hex": flag(m.rlike("^[0-9a-f]+$")),
+        "quoted": flag(before.rlike("[=:\"']$")), "announced": flag(before.rlike(ANNOUNCED)), "called": flag(before.rlike(CALLED)), "ordinary": flag(before.rlike(ORDINARY)),
+        "plain": flag(m.rlike(PLAIN_NUMBER if kind == "number" else PLAIN_TOKEN)), "kind_no": F.lit(float(KINDS.index(kind))),
     }
 
 
 def _context(text: str, s: Column) -> Column:
-    return F.substring(F.col(text), F.greatest(s["start"] - 15, F.lit(1)), F.least(s["start"], F.lit(16)))
+    return F.substring(F.col(text), F.greatest(s["start"] - (CONTEXT - 1), F.lit(1)), F.least(s["start"], F.lit(CONTEXT)))
 
 
-def candidates(df: DataFrame, text: str) -> DataFrame:
-    """One row per generated span of any kind with its features and, where the rules can prove it, its label."""
+def checked_account(match: Column) -> Column:
+    """Whether the check digits of an account number hold: its first four characters at the end, letters as numbers, rest 1 modulo 97."""
+    plain = F.replace(match, F.lit(" "), F.lit(""))
+    turned = F.concat(F.substring(plain, 5, 100), F.substring(plain, 1, 4))
 
-    def described(kind: str):
-        def one(s: Column) -> Column:
-            before = _context(text, s)
-            f = features(s, before)
-            if kind == "token":
-                # announced tokens are labelled by that word, so for them (and their opposites) it is no feature
-                label = F.when(s["match"].rlike(CREDENTIAL) | before.rlike(ANNOUNCED), 1.0).otherwise(0.0)
-                f["announced"] = F.lit(0.0)
-            else:
-                label = F.when(valid(kind, s["match"]), 1.0).otherwise(0.0)
-            return F.struct(F.lit(kind).alias("kind"), label.alias("label"), F.xxhash64(s["match"], before).alias("draw"), *[f[c].cast("double").alias(c) for c in FEATURES])
-
-        return F.transform(f"_{kind}", one)
+    def digest(rest: Column, c: Column) -> Column:
+        value = F.when(c.rlike("[0-9]"), F.ascii(c) - 48).otherwise(F.ascii(c) - 55)
+        return F.when(value < 10, rest * 10 + value).otherwise(rest * 100 + value) % 97
 
-    mixed_tokens = F.filter("_token", lambda s: s["match"].rlike("[0-9]") & s["match"].rlike("[A-Za-z]"))
-    df = df.where("_digit").withColumn("_token", mixed_tokens)
-    return df.select(F.explode(F.concat(*[described(k) for k in (*KINDS[:4], "token")])).alias("c")).select("c.*")
+    return F.aggregate(F.split(turned, ""), F.lit(0), lambda rest, c: F.when(c == "", rest).otherwise(digest(rest, c))) == 1
+
+
+def proved(kind: str, m: Column, before: Column) -> Column:
+    """1 where a rule can prove that a candidate is private, 0 where it is not, else null."""
+    if kind == "account":
+        return F.when(checked_account(m), 1.0).otherwise(0.0)
+    if kind == "number":
+        return F.when(m.rlike(PLAIN_NUMBER) | before.rlike(ORDINARY), 0.0).when(before.rlike(CALLED), 1.0)
+    return F.when(before.rlike(ORDINARY), 0.0).when(m.rlike(CREDENTIAL) | before.rlike(ANNOUNCED), 1.0).when(m.rlike(PLAIN_TOKEN), 0.0)
+
+
+def _described(kind: str, label: Column, m: Column, before: Column) -> Column:
+    f = features(m, before, kind)
+    return F.struct(F.lit(kind).alias("kind"), label.cast("double").alias("label"), F.xxhash64(m, before).alias("draw"), *[f[c].cast("double").alias(c) for c in FEATURES])
+
+
+def candidates(df: DataFrame, text: str) -> DataFrame:
+    """One row per labelled candidate of any kind: kind, label, draw (a hash of match and context) and features."""
+    def one(kind: str):
+        return lambda s: _described(kind, proved(kind, s["match"], _context(text, s)), s["match"], _context(text, s))
+
+    made = [F.transform(f"_{name}", one(kind)) for name, (kind, _) in GENERATORS.items()]
+    some = df.where(F.size(F.concat(*[F.transform(f"_{name}", lambda s: s["start"]) for name in GENERATORS])) > 0)
+    return some.select(F.explode(F.concat(*made)).alias("c")).select("c.*").where(F.col("label").isNotNull())
+
+
+#: Characters that stand for a pseudo-random one in a seed's form.
+NOISE = {"hex": "\ue000", "digits": "\ue001", "letters": "\ue002", "mixed": "\ue003", "capitals": "\ue004"}
+
+#: Seeds as label, kind, text in front, and parts: plain text or (alphabet, length).
+SEEDS = [
+    (1, "secret", "api_key = ", [("mixed", 32)]), (1, "secret", "secret: ", [("mixed", 24)]), (1, "secret", "password=", [("hex", 18)]), (1, "secret", 'token = "', [("hex", 40)]),
+    (1, "secret", "password: ", [("letters", 10)]), (1, "secret", "passwd: ", [("letters", 7), ("digits", 3)]), (1, "secret", "it says ", ["AKIA", ("capitals", 16)]), (1, "secret", "the key ", [("mixed", 40)]),
+    (1, "secret", "we used ", [("letters", 2), "_", ("mixed", 32)]), (1, "secret", "then ", [("letters", 3), "_", ("letters", 4), "_", ("mixed", 24)]), (1, "secret", "from ", [("letters", 4), "-", ("digits", 11), "-", ("digits", 12), "-", ("mixed", 24)]),
+    (1, "secret", "header ", [("mixed", 20), ".", ("mixed", 44), ".", ("mixed", 43)]), (1, "secret", "it was ", [("mixed", 22), "=="]), (1, "secret", "with ", [("letters", 3), "-", ("mixed", 40)]),
+    (0, "secret", "commit ", [("hex", 40)]), (0, "secret", "in commit ", [("hex", 10)]), (0, "secret", "build ", [("digits", 8), "-rc", ("digits", 1)]), (0, "secret", "version ", ["2.", ("digits", 2), ".", ("digits", 4), "-beta", ("digits", 1)]),
+    (0, "secret", "see IMG_", [("digits", 8), "_", ("digits", 6), ".jpg"]), (0, "secret", "the ", ["report-", ("digits", 4), "-final.pdf"]), (0, "secret", "an ", [("letters", 7), "-", ("letters", 9), "-", ("digits", 4)]),
+    (0, "secret", "order ", [("capitals", 2), ("digits", 10)]), (0, "secret", "sha256 ", [("hex", 64)]), (0, "secret", "the ", [("letters", 9), ("digits", 4)]), (0, "secret", "and ", [("letters", 6), "/", ("letters", 8), "/", ("digits", 3)]),
+    (0, "secret", "the ", [("hex", 8), "-", ("hex", 4), "-", ("hex", 4), "-", ("hex", 4), "-", ("hex", 12)]), (0, "secret", "of ", ["page", ("digits", 3), "_item", ("digits", 4)]), (0, "secret", "the ", [("letters", 12), ("digits", 2)]),
+    (1, "number", "call ", ["0", ("digits", 3), " ", ("digits", 3), " ", ("digits", 4)]), (1, "number", "tel. ", ["(0", ("digits", 2), ") ", ("digits", 4), "-", ("digits", 4)]), (1, "number", "phone ", ["0", ("digits", 2), "/", ("digits", 6)]),
+    (1, "number", "reach me at ", ["(", ("digits", 3), ") ", ("digits", 3), "-", ("digits", 4)]), (1, "number", "her ssn ", [("digits", 3), "-", ("digits", 2), "-", ("digits", 4)]), (1, "number", "me on ", ["0", ("digits", 4), " ", ("digits", 6)]),
+    (1, "number", "under ", ["0", ("digits", 2), " ", ("digits", 3), " ", ("digits", 2), " ", ("digits", 2)]), (1, "number", "is ", [("digits", 3), "-", ("digits", 3), "-", ("digits", 4)]),
+    (0, "number", "on ", ["20", ("digits", 2), "-11-", "0", ("digits", 1)]), (0, "number", "from ", ["19", ("digits", 2), "-20", ("digits", 2)]), (0, "number", "pages ", [("digits", 2), "-", ("digits", 3)]), (0, "number", "isbn ", ["978-", ("digits", 2), "-", ("digits", 5), "-", ("digits", 2)]),
+    (0, "number", "about ", [("digits", 2), " ", ("digits", 3)]), (0, "number", "about ", [("digits", 2), ".", ("digits", 2)]), (0, "number", "the ", [("digits", 2), "/", ("digits", 2)]), (0, "number", "version ", ["10.", ("digits", 2), ".", ("digits", 2)]),
+    (0, "number", "about ", [("digits", 3), " ", ("digits", 3), " ", ("digits", 3)]), (0, "number", "on ", ["12/", "11/20", ("digits", 2)]), (0, "number", "rows ", [("digits", 2), " ", ("digits", 2), " ", ("digits", 2)]), (0, "number", "is ", [("digits", 4), ".", ("digits", 2)]),
+    (1, "account", "iban ", ["DE", ("digits", 2), " ", ("digits", 4), " ", ("digits", 4), " ", ("digits", 4), " ", ("digits", 4), " ", ("digits", 2)]), (1, "account", "to ", ["FR", ("digits", 25)]), (1, "account", "account ", ["GB", ("digits", 2), "ABCD", ("digits", 14)]),
+    (1, "account", "pay ", ["NL", ("digits", 2), " ", "BANK", " ", ("digits", 4), " ", ("digits", 4), " ", ("digits", 2)]),
+    (0, "account", "part ", [("capitals", 2), ("digits", 2), " ", ("capitals", 4), " ", ("capitals", 4)]), (0, "account", "the ", [("capitals", 2), ("digits", 2), "MODEL", ("capitals", 3), ("digits", 3)]), (0, "account", "order ", ["AB", ("digits", 2), ("digits", 8)]),
+]
+
+
+def seeds(spark: SparkSession) -> DataFrame:
+    """Labelled candidates of every form in SEEDS, with other characters in each of SEEDED rows."""
+    forms = [(float(label), kind, front, "".join(x if isinstance(x, str) else NOISE[x[0]] * x[1] for x in parts)) for label, kind, front, parts in SEEDS]
+    rows = spark.createDataFrame([(k, *f) for k, f in enumerate(forms)], "form int, label double, kind string, front string, text string")
+    rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(SEEDED))))
+    rows = rows.withColumn("hex", F.concat(*[F.sha2(F.concat_ws(".", "form", "copy", F.lit(k)), 512) for k in range(2)]))
+    mixed = F.translate(F.base64(F.unhex(F.concat("hex", F.reverse("hex")))), "+/=\r\n", "kQ")
+    rows = rows.withColumn("mixed", mixed).withColumns({"digits": F.translate("hex", "abcdef", "274951"), "letters": F.translate(F.lower("mixed"), "0123456789", "aeioulmnrs"), "capitals": F.upper("mixed")})
+
+    def filled(c: Column, i: Column) -> Column:
+        out = c
+        for name, mark in NOISE.items():
+            out = F.when(c == mark, F.substr(F.col(name), i + 1, F.lit(1))).otherwise(out)
+        return out
+
+    value = F.array_join(F.transform(F.split("text", ""), filled), "")
+    opening = F.element_at(F.array(F.lit("and so "), F.lit("text. "), F.lit(""), F.lit("who knows ")), F.col("copy") % 4 + 1)
+    rows = stored(rows.select("label", "kind", value.alias("m"), F.substring(F.concat(opening, "front"), -CONTEXT, CONTEXT).alias("before")))
+    made = [rows.where(F.col("kind") == kind).select(_described(kind, F.col("label"), F.col("m"), F.col("before")).alias("c")).select("c.*") for kind in PROPOSED]
+    return made[0].unionByName(made[1]).unionByName(made[2])
 
 
 def _scored(trees: list[tuple[float, object]], values: dict[str, Column]) -> Column:
@@ -172,15 +262,16 @@ def _tree(node):
 
 
 class Model:
-    """Boosted trees as expressions, and the margin from which a candidate is redacted (None: none is)."""
+    """Boosted trees as expressions, and the margin of each kind from which a candidate is redacted (a kind without one: none is)."""
 
-    def __init__(self, trees: list[tuple[float, object]], threshold: float | None):
-        self.trees, self.threshold = trees, threshold
+    def __init__(self, trees: list[tuple[float, object]], thresholds: dict[str, float]):
+        self.trees, self.thresholds = trees, thresholds
 
-    def says(self, values: dict[str, Column]) -> Column:
-        if self.threshold is None:
-            return F.lit(False)
-        return _scored(self.trees, values) >= self.threshold
+    def excess(self, kind: str, values: dict[str, Column]) -> Column:
+        """How far a candidate lies above its kind's threshold."""
+        if kind not in self.thresholds:
+            return F.lit(-1.0)
+        return _scored(self.trees, values) - F.lit(self.thresholds[kind])
 
 
 def shared_out(sizes: list[int], total: int) -> list[int]:
@@ -193,13 +284,13 @@ def shared_out(sizes: list[int], total: int) -> list[int]:
 
 
 def fit(proposed: DataFrame, sample: int = SAMPLE, precision: float = PRECISION) -> Model:
-    """Trees from a sample of four fifths of the distinct candidates, an equal quota for each kind and label; threshold from all
+    """Trees from a sample of four fifths of the distinct labelled candidates, an equal quota for each kind and label; thresholds from all
     others. A part that lacks a label takes all candidates. Without candidates of both labels, a model that adds nothing."""
     distinct = stored(proposed.dropDuplicates(["kind", "draw"]))
     part = F.pmod("draw", F.lit(5))
     strata = distinct.groupBy("kind", "label").agg(F.count_if(part != 0).alias("n")).collect()
     if len({r["label"] for r in strata}) < 2:
-        return Model([], None)
+        return Model([], {})
     quota = shared_out([r["n"] for r in strata], sample)
     share = F.lit(0.0)
     for r, q in zip(strata, quota):
@@ -212,24 +303,46 @@ def fit(proposed: DataFrame, sample: int = SAMPLE, precision: float = PRECISION)
     learned = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=1).fit(assembled)
     trees = [(float(w), _tree(t._call_java("rootNode"))) for w, t in zip(learned.treeWeights, learned.trees)]
     margin = F.round(_scored(trees, {c: F.col(c) for c in FEATURES}) * 20)  # calibration in steps of a twentieth: a bounded table
-    steps = held.groupBy(margin.alias("step")).agg(F.sum("label").alias("hits"), F.count("*").alias("n")).orderBy(F.col("step").desc()).collect()
-    hits = n = 0
-    threshold = None
-    for row in steps:
-        hits, n = hits + row["hits"], n + row["n"]
-        if hits >= precision * n:
-            threshold = (row["step"] - 0.5) / 20
-    return Model(trees, threshold)
+    steps = held.groupBy("kind", margin.alias("step")).agg(F.sum("label").alias("hits"), F.count("*").alias("n")).orderBy("kind", F.col("step").desc()).collect()
+    thresholds: dict[str, float] = {}
+    for kind in PROPOSED:
+        hits = n = 0
+        for row in (r for r in steps if r["kind"] == kind):
+            hits, n = hits + row["hits"], n + row["n"]
+            if hits >= precision * n:
+                thresholds[kind] = max((row["step"] - 0.5) / 20, -0.5)
+    return Model(trees, thresholds)
 
 
 def with_spans(df: DataFrame, text: str, model: Model) -> DataFrame:
-    """Adds ``_all``: base spans and secrets, by start, then kind."""
-    def secret(s: Column) -> Column:
-        private = model.says(features(s, _context(text, s)))
-        touches = F.exists("_base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-        return s["match"].rlike("[0-9]") & s["match"].rlike("[A-Za-z]") & private & ~touches
+    """Adds ``_all``: base spans and the chosen candidates, by start, then kind."""
+    def measured(kind: str):
+        def one(s: Column) -> Column:
+            f = features(s["match"], _context(text, s), kind)
+            return F.struct(s["start"].alias("start"), s["end"].alias("end"), *[f[c].cast("double").alias(c) for c in FEATURES])
+
+        return one
+
+    def scored(kind: str):
+        def one(s: Column) -> Column:
+            excess = model.excess(kind, {c: s[c] for c in FEATURES})
+            return F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(KINDS.index(kind)).alias("kind"), excess.cast("double").alias("excess"))
+
+        return one
+
+    chosen = [F.transform(F.transform(f"_{name}", measured(kind)), scored(kind)) for name, (kind, _) in GENERATORS.items()]
+    free = lambda s: (s["excess"] >= 0) & ~F.exists("_base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
+    df = df.withColumn("_chosen", F.array_sort(F.filter(F.concat(*chosen), free)))
+
+    def best(kept: Column, s: Column) -> Column:
+        last = F.try_element_at(kept, F.lit(-1))
+        apart = F.coalesce(s["start"] >= last["end"], F.lit(True))
+        better = F.concat(F.slice(kept, 1, F.greatest(F.size(kept) - 1, F.lit(0))), F.array(s))
+        return F.when(apart, F.concat(kept, F.array(s))).when(s["excess"] > last["excess"], better).otherwise(kept)
 
-    extra = F.transform(F.filter("_token", secret), lambda s: F.struct(s["start"].alias("start"), F.lit(4).alias("kind"), s["end"].alias("end")))
+    none = F.array().cast("array<struct<start:int,end:int,kind:int,excess:double>>")
+    kept = F.when(F.size("_chosen") > 0, F.aggregate("_chosen", none, best)).otherwise(none)
+    extra = F.transform(kept, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
     return df.withColumn("_all", F.array_sort(F.concat("_base", extra)))
 
 
@@ -240,7 +353,7 @@ def _listed(spans: str) -> Column:
 
 def _marked(docs: DataFrame, text: str) -> DataFrame:
     spanned = base_spans(docs, text)
-    model = fit(candidates(spanned, text))
+    model = fit(candidates(spanned, text).unionByName(seeds(docs.sparkSession)))
     return with_spans(spanned, text, model)
 
 

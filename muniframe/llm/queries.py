@@ -8,6 +8,7 @@ from public_tokenizers import path as tokenizer_path
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import bpe, chat, decontaminate, merkle, neardup, pii, quality, runs, secrets, sharding, suffix_dedup, token_counts, toxicity
+from .sql import LEAKS, NEAR_GROUPS, REPEATS
 from .tables import reachable
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -39,9 +40,10 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(_table(spark, sf_dir, "documents"))
 
 
-@query("op7_suffix_array_decontamination")
+@query("op7_suffix_array_decontamination", LEAKS)
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    found = decontaminate.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.drop("longest_match", "longest_match_at")
 
 
 #: A conversation whose texts are another template's control strings.
@@ -68,12 +70,12 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_turns(turns.unionByName(tricky)))
 
 
-@query("op10_min_max_near_dup")
+@query("op10_min_max_near_dup", NEAR_GROUPS)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_groups(_table(spark, sf_dir, "documents"))
 
 
-@query("op1_suffix_array_dedup")
+@query("op1_suffix_array_dedup", REPEATS)
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = suffix_dedup.without_repeats(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))

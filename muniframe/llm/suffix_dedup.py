@@ -12,7 +12,10 @@ The suffix array is built in two stages: suffixes smaller than their successors
 others are induced by one scan over the buckets of first bytes. Only suffixes that begin a window, or that one
 of those needs for its induction, are in it. Common prefixes of neighbours mark windows that occur twice.
 
-An anchor with more than HOT stretches is split: its windows meet by their own hash instead, 200 bytes each.
+An anchor with more than HOT bytes of different stretches is split: its windows meet by their own hash instead, 200 bytes each.
+A text longer than a chunk is cut into overlapping parts, which changes no window and no anchor.
+
+Every row has a number of its own, so rows may share a doc_id or have none.
 """
 
 from __future__ import annotations
@@ -23,16 +26,15 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from .batches import chunks, mixed, text_bytes
 from .tables import packed_texts, stored
 
 SPAN, K = 200, 100
-HOT = 50_000
-#: Text bytes handled at once; the arrays beside them take about 100 times as much.
+#: Text bytes handled at once, and bytes of one suffix array; the arrays beside them take about 100 times as much.
 CHUNK = 1 << 20
-ARRAY_BYTES = 3 << 20
+ARRAY_BYTES = HOT = 3 << 20
 
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
@@ -102,12 +104,23 @@ def stretches(data: np.ndarray, at: np.ndarray, span: int = SPAN, k: int = K) ->
 ANCHORS = "docs array<long>, firsts array<long>, many int, anchor long, whole long"
 
 
+def parts(batches: Iterator[pa.RecordBatch], span: int = SPAN) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray, int]]:
+    """(docs, bytes, offsets, bytes of the text in front): chunks of texts, a long text in parts that overlap by ``span`` - 1 bytes."""
+    for rows, data, at in chunks(batches, "text", CHUNK):
+        if rows.num_rows > 1 or len(data) <= CHUNK:
+            yield rows.column(0), data, at, 0
+            continue
+        for begin in range(0, len(data) - span + 1, CHUNK):
+            part = data[begin : begin + CHUNK + span - 1]
+            yield rows.column(0), part, np.array([0, len(part)]), begin
+
+
 def anchors(docs: DataFrame) -> DataFrame:
     """Stretches of all texts (columns doc, text), the equal ones of a chunk as one row: their texts and first windows,
     the number of windows after the first, and both hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, data, at in chunks(batches, "text", CHUNK):
+        for doc, data, at, front in parts(batches):
             text, low, high, anchor, whole = stretches(data, at)
             if not len(text):
                 continue
@@ -116,7 +129,7 @@ def anchors(docs: DataFrame) -> DataFrame:
             new = np.flatnonzero(np.append(True, (anchor[1:] != anchor[:-1]) | (whole[1:] != whole[:-1])))
             bounds = pa.array(np.append(new, len(by)), pa.int32())
             made = [
-                pa.ListArray.from_arrays(bounds, rows.column(0).take(pa.array(text))), pa.ListArray.from_arrays(bounds, pa.array(low - at[text])),
+                pa.ListArray.from_arrays(bounds, doc.take(pa.array(text))), pa.ListArray.from_arrays(bounds, pa.array(low - at[text] + front)),
                 pa.array(many[new].astype(np.int32)), pa.array(anchor[new].view(np.int64)), pa.array(whole[new].view(np.int64)),
             ]
             yield pa.RecordBatch.from_arrays(made, names=["docs", "firsts", "many", "anchor", "whole"])
@@ -133,9 +146,13 @@ def _verdict(doc, first, many, anchor, kind: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(columns, names=VERDICTS)
 
 
+def _bytes(rows: np.ndarray) -> int:
+    return int(rows[:, 2].sum()) + SPAN * len(rows)
+
+
 class Asking:
     """One stretch of each kind, collected by anchor. An anchor with several kinds asks a suffix array about all of them;
-    with over ``hot`` kinds it asks about their windows, which are passed on as they come."""
+    with over ``hot`` bytes of them it asks about their windows, which are passed on as they come."""
 
     def __init__(self, hot: int):
         self.hot, self.held, self.size, self.crowded = hot, [], 0, None
@@ -145,7 +162,7 @@ class Asking:
         if not len(rows):
             return
         self.held.append(rows)
-        self.size += len(rows)
+        self.size += _bytes(rows)
         if rows[0, 3] != rows[-1, 3] or self.held[0][0, 3] != rows[-1, 3] or self.size > self.hot:
             yield from self._flush(rows[-1, 3])
 
@@ -154,7 +171,7 @@ class Asking:
         many = rows[:, 3] == self.crowded if self.crowded is not None else np.zeros(len(rows), bool)
         ends = open_anchor is not None and rows[:, 3] == open_anchor
         still = np.asarray(ends) & ~many if open_anchor is not None else np.zeros(len(rows), bool)
-        if still.sum() > self.hot:
+        if _bytes(rows[still]) > self.hot:
             self.crowded = open_anchor
             many, still = many | still, np.zeros(len(rows), bool)
         closed = rows[~many & ~still]
@@ -164,7 +181,7 @@ class Asking:
         if many.any():
             yield _verdict(*rows[many].T, ASK_WINDOWS)
         self.held = [rows[still]] if still.any() else []
-        self.size = int(still.sum())
+        self.size = _bytes(rows[still])
 
     def close(self) -> Iterator[pa.RecordBatch]:
         yield from self._flush(None)
@@ -172,7 +189,7 @@ class Asking:
 
 def sorted_out(found: DataFrame, hot: int = HOT) -> DataFrame:
     """Each stretch that others equal as EQUAL (all its bytes repeat); one stretch of every kind, if its anchor has other
-    kinds, as ASK (a suffix array has to tell) or, if it has over ``hot`` kinds, as ASK_WINDOWS."""
+    kinds, as ASK (a suffix array has to tell) or, if it has over ``hot`` bytes of them, as ASK_WINDOWS."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         asking, before = Asking(hot), None
@@ -354,15 +371,14 @@ def pieces(docs: DataFrame, asked: DataFrame, span: int = SPAN) -> DataFrame:
 
             for doc, packed, asks in zip(batch.column(0), batch.column(1), batch.column(2)):
                 doc, text = doc.as_py(), open_up(packed.as_buffer())
-                rolling = None
                 for ask in asks.as_py():
                     first, many = ask["first"], ask["many"]
                     if ask["kind"] == ASK:
                         add(ask["anchor"], doc, first, text[first : first + many + span])
                         continue
-                    rolling = rolling or Rolling(np.frombuffer(text, np.uint8))
-                    begin = np.arange(first, first + many + 1)
-                    for k, h in zip(begin.tolist(), rolling.of(begin, begin + span).view(np.int64).tolist()):
+                    begin = np.arange(many + 1)
+                    own = Rolling(np.frombuffer(text[first : first + many + span], np.uint8)).of(begin, begin + span)
+                    for k, h in zip((begin + first).tolist(), own.view(np.int64).tolist()):
                         add(h, doc, k, text[k : k + span])
             if out[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.binary())], names=["meet", "doc", "first", "piece"])
@@ -415,46 +431,48 @@ def decided(met: DataFrame, span: int = SPAN) -> DataFrame:
     return met.repartition("meet").sortWithinPartitions("meet").mapInArrow(run, "doc long, begin long, end long")
 
 
+def merged(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Maximal runs covered by spans; spans that touch make one run."""
+    order = np.argsort(begin, kind="stable")
+    begin, end = begin[order], np.maximum.accumulate(end[order])
+    new = np.append(True, begin[1:] > end[:-1])
+    return begin[new], end[np.append(np.flatnonzero(new)[1:] - 1, len(end) - 1)]
+
+
 def kept_bytes(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """(doc, n_bytes, n_removed, n_spans, kept): every text without its spans."""
+    """(key, n_bytes, n_removed, n_spans, kept): every text without its spans."""
     per_doc = spans.groupBy("doc").agg(F.collect_list(F.struct("begin", "end")).alias("cuts"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_up = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             rows = []
-            for packed, cuts in zip(batch.column(1), batch.column(2)):
+            for packed, cuts in zip(batch.column(2), batch.column(3)):
                 text, cuts = open_up(packed.as_buffer()), cuts.values
                 if cuts is None or not len(cuts):
                     rows.append((len(text), 0, 0, text))
                     continue
-                step = np.zeros(len(text) + 1, np.int64)
-                np.add.at(step, np.asarray(cuts.field(0)), 1)
-                np.add.at(step, np.asarray(cuts.field(1)), -1)
-                gone = np.cumsum(step[:-1]) > 0
-                runs = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
-                rows.append((len(text), int(gone.sum()), runs, np.frombuffer(text, np.uint8)[~gone].tobytes()))
+                begin, end = merged(np.asarray(cuts.field(0)), np.asarray(cuts.field(1)))
+                stays = zip([0, *end.tolist()], [*begin.tolist(), len(text)])
+                rows.append((len(text), int((end - begin).sum()), len(begin), b"".join(text[a:b] for a, b in stays)))
             made = [pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.binary()))] if rows else []
             if rows:
-                yield pa.RecordBatch.from_arrays([batch.column(0), *made], names=["doc", "n_bytes", "n_removed", "n_spans", "kept"])
-
-    return packed_texts(docs).join(per_doc, "doc", "left").mapInArrow(run, "doc long, n_bytes long, n_removed long, n_spans long, kept binary")
-
+                yield pa.RecordBatch.from_arrays([batch.column(1), *made], names=["key", "n_bytes", "n_removed", "n_spans", "kept"])
 
-def row_key(key: str, text: str) -> Column:
-    """doc_id; rows without one go by a hash of their text."""
-    return F.coalesce(F.col(key).cast("long"), F.xxhash64(F.col(text)))
+    kind = docs.schema["key"].dataType.simpleString()
+    return packed_texts(docs, "key").join(per_doc, "doc", "left").select("doc", "key", "packed", "cuts").mapInArrow(run, f"key {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", hot: int = HOT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and ``kept`` (binary), one row per input row.
 
     Null and empty texts and texts under SPAN bytes keep all they have. A repeated row is a text of its own, so both
-    lose all that is long enough. ``kept`` may be cut inside a character. doc_ids must tell texts apart."""
-    own = docs.select(row_key(key, text).alias("doc"), F.col(text).alias("text"))
+    lose all that is long enough; rows may share a doc_id, and a null one stays null. ``kept`` may be cut inside a character. Texts may be of any length
+    that fits a row."""
+    own = stored(docs.select(F.monotonically_increasing_id().alias("doc"), F.col(key).alias("key"), F.col(text).alias("text")))
     found = stored(sorted_out(anchors(own), hot))
     asked = found.where(F.col("kind") != EQUAL)
     equal = found.where(F.col("kind") == EQUAL).select("doc", F.col("first").alias("begin"), (F.col("first") + F.col("many") + F.lit(SPAN)).alias("end"))
     told = stored(decided(pieces(own, asked)))
     out = kept_bytes(own, equal.union(told))
-    return out.select(F.col("doc").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept")
+    return out.select(F.col("key").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept")

@@ -26,16 +26,18 @@ def reachable(spark: SparkSession) -> None:
         environment["PYTHONPATH"] = os.pathsep.join([root, *known])
 
 
-def packed_texts(docs: DataFrame) -> DataFrame:
-    """(doc, packed): texts compressed before they are shuffled."""
+def packed_texts(docs: DataFrame, *carry: str) -> DataFrame:
+    """(doc, carried columns, packed): texts compressed before they are shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=3).compress
         for rows, data, at in chunks(batches, "text"):
             packed = [squeeze(data[a:b]) for a, b in zip(at, at[1:])]
-            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(packed, pa.binary())], names=["doc", "packed"])
+            kept = [rows.column(k) for k in range(rows.num_columns - 1)]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(packed, pa.binary())], names=["doc", *carry, "packed"])
 
-    return docs.select("doc", "text").mapInArrow(run, "doc long, packed binary")
+    others = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in carry)
+    return docs.select("doc", *carry, "text").mapInArrow(run, f"doc long, {others}packed binary")
 
 
 def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -100,12 +100,12 @@ def test_base_rules(spark):
         r = got[key]
         assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == counts, (text, counts, r)
         assert r.base_sha256 == brute.sha(listed)
-        mine = [s for s in r.spans.split(",") if s and not s.startswith("secret:")]
+        mine = [s for s in r.spans.split(",") if s and s.split(":")[0] not in pii.PROPOSED]
         assert ",".join(mine) == listed
         for s in r.spans.split(","):
-            if s.startswith("secret:"):
+            if s.split(":")[0] in pii.PROPOSED:
                 _, a, b = s.split(":")
-                assert re.fullmatch("[A-Za-z0-9]{12,}", text[int(a) : int(b)])
+                assert re.fullmatch(r"\S[^\n]*\S", text[int(a) : int(b)])
 
 
 def test_secrets_are_found_and_clean_texts_left_alone(spark):
@@ -122,7 +122,10 @@ def test_redaction(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, _new string")
     out = pii.redact(docs)
     assert out.columns == docs.columns
-    assert [r.text for r in out.orderBy("doc_id").collect()] == ["mail <email> and <ip>.", None, "<phone>" if luhn("4524132264652876") is False else "+1 (988) 555-2485 <card>", "", "ä😀 <email>"] or True
+    texts = [r.text for r in out.orderBy("doc_id").collect()]
+    assert texts[0] == "mail <email> and <ip>." and texts[1] is None and texts[3:] == ["", "ä😀 <email>"]
+    # the phone pattern runs on over the card; with more digits than a phone has it is dropped, and what the card rule or the trees take is masked
+    assert "4132" not in texts[2] or not luhn("4524132264652876")
     assert out.count() == len(rows) and pii.redact(docs.limit(0)).count() == 0
 
 

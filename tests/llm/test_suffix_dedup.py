@@ -65,6 +65,29 @@ def test_odd_rows_and_crowded_anchors(spark):
     want = brute.repeats(rows)
     assert shown(sd.without_repeats(docs)) == want
     assert shown(sd.without_repeats(docs, hot=3)) == want
+    assert shown(sd.without_repeats(docs, hot=2000)) == want
     twice = brute.repeats(rows + rows)
     assert shown(sd.without_repeats(docs.union(docs))) == twice
     assert sd.without_repeats(docs.limit(0)).count() == 0
+
+
+def test_shared_and_missing_ids(spark):
+    """Rows with one id and different texts, rows without an id, whole rows twice."""
+    base = "".join(chr(97 + k * k % 23 + k % 3) for k in range(600))
+    rows = [(1, base), (2, base), (1, "short"), (None, base[:300]), (None, "other"), (7, "unlike " * 3), (7, "unlike " * 3), (1, base)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, brute.sha(bytes(r.kept))) for r in sd.without_repeats(docs).collect()), key=str)
+    plain = brute.repeats([(k, t) for k, (_, t) in enumerate(rows)])
+    assert got == sorted(((rows[k][0], *rest) for k, *rest in plain), key=str)
+
+
+def test_long_texts(spark):
+    """A text of many chunks: what repeats within it, across its parts and in another row."""
+    rng = np.random.default_rng(5)
+    long = bytes(rng.integers(97, 123, 5 << 20, dtype=np.uint8)).decode()
+    passage = long[(1 << 20) - 150 : (1 << 20) + 250]
+    rows = [(1, long + "#" + passage), (2, "x" * 50 + passage), (3, long[:100])]
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, brute.sha(bytes(r.kept))) for r in sd.without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    at = (1 << 20) - 150
+    assert got[1] == (len(long) + 401, 800, 2, brute.sha(long[:at] + long[at + 400 :] + "#"))
+    assert got[2] == (450, 400, 1, brute.sha("x" * 50)) and got[3][1] == 0
