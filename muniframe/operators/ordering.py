@@ -62,6 +62,40 @@ def number_rows(
     return joined.withColumns(added).drop(PART, POS, "__first", "__before", "__total")
 
 
+def numbered_as_stored(df: DataFrame, out: str) -> DataFrame:
+    """The same rows, stored, with numbers from 0 without gaps, in no particular order: no sort, only a count per stored partition."""
+    fixed = stored(df.withColumn(POS, F.monotonically_increasing_id())).withColumn(PART, F.shiftright(POS, 33))
+    sizes = fixed.groupBy(PART).agg(F.count(F.lit(1)).alias("__n"))
+    # One row per partition enters this window.
+    before = F.coalesce(F.sum("__n").over(Window.orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    firsts = sizes.select(F.col(PART).alias("__s_part"), before.alias("__before"))
+    joined = fixed.join(firsts, F.col(PART) == F.col("__s_part"))
+    return joined.withColumn(out, F.col("__before") + F.col(POS).bitwiseAND((1 << 33) - 1)).drop(PART, POS, "__s_part", "__before")
+
+
+#: Rounds of the network, and steps until a number is back inside the range; each step fails with probability under one half.
+ROUNDS, STEPS = 4, 64
+
+
+def shuffled_number(number: Column, size: Column, *key: Column) -> Column:
+    """Another number below ``size`` for each of 0 .. size - 1, a bijection chosen by ``key``: a Feistel network on the bits of size - 1,
+    walked until the number is inside again. No sort and no state: every row works out its own."""
+    bits = F.greatest(F.ceil(F.log2(F.greatest(size, F.lit(2)))).cast("int"), F.lit(2))
+    low = F.floor(bits / 2).cast("int")
+    mask_low, mask_high = F.expr("1L") * F.pow(F.lit(2), low).cast("bigint") - 1, F.pow(F.lit(2), bits - low).cast("bigint") - 1
+
+    def once(x: Column) -> Column:
+        def turn(pair: Column, k: Column) -> Column:
+            high = pair["high"].bitwiseXOR(F.xxhash64(pair["low"], k, F.lit(0), *key).bitwiseAND(mask_high))
+            return F.struct(high.alias("high"), pair["low"].bitwiseXOR(F.xxhash64(high, k, F.lit(1), *key).bitwiseAND(mask_low)).alias("low"))
+
+        split = F.struct(F.floor(x / (mask_low + 1)).cast("bigint").alias("high"), x.bitwiseAND(mask_low).alias("low"))
+        return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), split, turn, lambda pair: pair["high"] * (mask_low + 1) + pair["low"])
+
+    walk = lambda x, _: F.when(x < size, x).otherwise(once(x))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(STEPS)), once(number), walk)
+
+
 def running_sum(
     df: DataFrame, order: Sequence[str | Column], value: str, out: str, by: Sequence[str] = (), total: str | None = None
 ) -> DataFrame:

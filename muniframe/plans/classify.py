@@ -14,8 +14,7 @@ from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..operators.aggregates import balance_weights, confusion_metrics
-from ..operators.ordering import exact_quantiles, number_rows
-from ..session import checkpointed
+from ..operators.ordering import exact_quantiles, numbered_as_stored, shuffled_number
 from .models import SEED, one_hot_stages, population_scaler
 
 LABEL = "label"
@@ -153,14 +152,15 @@ def permutation_importance(
 ) -> DataFrame:
     """Mean and deviation of the metric loss when one feature is shuffled, over all rows.
 
-    Every repeat is one reordering of the rows; all features and repeats are scored in one pass.
+    Rows are numbered as they lie. In every repeat a keyed bijection on the numbers gives each row its donor, so nothing is
+    sorted; all features and repeats are scored in one pass. ``key`` is not used for the order any more and may be any column.
     """
-    base = checkpointed(number_rows(df.select(key, LABEL, *features), [key], "__n"))
-    shuffled = base.withColumn("__repeat", F.explode(F.sequence(F.lit(1), F.lit(repeats))))
-    donors = number_rows(
-        shuffled.withColumn("__h", F.xxhash64(F.col(key), F.lit(seed), F.col("__repeat"))), ["__h", key], "__m", by=["__repeat"]
-    ).select("__repeat", F.col("__m").alias("__n"), *[F.col(f).alias(f"__d_{f}") for f in features])
-    paired = shuffled.join(donors, ["__repeat", "__n"])
+    base = numbered_as_stored(df.select(key, LABEL, *features), "__n")
+    size = base.agg(F.count(F.lit(1))).scalar()
+    donor = shuffled_number(F.col("__n"), F.col("__size"), F.lit(seed), F.col("__repeat"))
+    shuffled = base.withColumn("__size", size).withColumn("__repeat", F.explode(F.sequence(F.lit(1), F.lit(repeats)))).withColumn("__donor", donor)
+    donors = base.select(F.col("__n").alias("__donor"), *[F.col(f).alias(f"__d_{f}") for f in features])
+    paired = shuffled.join(donors, "__donor")
     variants = [
         F.struct(F.lit(f).alias("feature"), *[(F.col(f"__d_{g}") if g == f else F.col(g)).alias(g) for g in features]) for f in features
     ]

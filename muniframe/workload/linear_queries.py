@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..plans.boosting import fit_poisson_boosting
 from ..plans.linear import fit_absorbed, linear_cv
 from .adapters import FOLDS, HISTORY_SQL, features
 from .catalog import Tables, query, rounded
@@ -41,3 +42,22 @@ def linear_monthly_folds(t: Tables) -> DataFrame:
     return predicted.groupBy("categoria", F.col("fold").cast("long").alias("fold")).agg(
         F.count(F.lit(1)).alias("n"), F.sum("y").alias("total_real"), rounded(F.sum("y_pred") + 1e-5, 4).alias("total_pred"), rounded(error + 1e-7).alias("mae")
     )
+
+
+ROUNDS = 8
+
+
+@query(f"""WITH {HISTORY_SQL} SELECT CAST(r AS BIGINT) AS round, CAST(sum(y) AS DOUBLE) AS total_real, CAST(sum(y) AS DOUBLE) AS total_fitted, TRUE AS deviance_falls
+FROM hist CROSS JOIN generate_series(1, {ROUNDS}) AS g(r) WHERE lag_12 IS NOT NULL GROUP BY r
+UNION ALL SELECT CAST(0 AS BIGINT), CAST(sum(y) AS DOUBLE), CAST(sum(y) AS DOUBLE), TRUE FROM hist WHERE lag_12 IS NOT NULL""")
+def poisson_boosting_rounds(t: Tables) -> DataFrame:
+    """Boosting on the Poisson deviance: the total it fits after each round, and whether the deviance fell; round 0 is the forecast of the
+    whole model, summed over the rows."""
+    frame = features(t).persist()
+    model = fit_poisson_boosting(frame, ["lag_1", "media_12", "mes_sin_1", "mes_cos_1", "tempo"], rounds=ROUNDS, step=0.1, depth=3)
+    facts = [(k + 1, model.totals[k], model.deviance[k + 1] < model.deviance[k]) for k in range(ROUNDS)]
+    real = frame.agg(F.sum(F.col("y").cast("double"))).scalar()
+    every = F.explode(F.array(*[F.struct(F.lit(k).cast("bigint").alias("round"), F.lit(round(total, 3)).alias("total_fitted"), F.lit(falls).alias("deviance_falls")) for k, total, falls in facts])).alias("r")
+    rounds = t.spark.range(1).select(every).select("r.round", real.alias("total_real"), "r.total_fitted", "r.deviance_falls")
+    whole = model.predict(frame).agg(F.lit(0).cast("bigint").alias("round"), F.sum(F.col("y").cast("double")).alias("total_real"), F.round(F.sum("y_pred"), 3).alias("total_fitted"), F.lit(True).alias("deviance_falls"))
+    return rounds.unionByName(whole)

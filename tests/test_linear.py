@@ -9,6 +9,8 @@ import pytest
 from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.sql import functions as F
 
+from muniframe.operators.ordering import numbered_as_stored, shuffled_number
+from muniframe.plans.boosting import fit_poisson_boosting
 from muniframe.plans.linear import fit_absorbed, linear_cv
 from muniframe.plans.models import one_hot_stages
 from muniframe.plans.panel import TemporalFolds
@@ -86,3 +88,33 @@ def test_folds_equal_their_own_fits(spark):
     train = [x for x in rows if x[1] < folds.start_of(4) and x[2] is not None or x[1] < folds.start_of(4)]
     slope, cut = np.polyfit([t[3] for t in train], [t[5] for t in train], 1)
     assert pooled.first().y_pred == pytest.approx(cut + slope * ((pooled.first().data.year - 2020) * 12 + pooled.first().data.month - 1))
+
+
+def test_poisson_boosting(spark):
+    """Totals hold after every round, the deviance falls and is the one of the forecasts, and a signal is found that a mean has not."""
+    rng = np.random.default_rng(2)
+    a, b = rng.uniform(0, 3, 1200), rng.uniform(0, 1, 1200)
+    y = rng.poisson(np.exp(0.5 + np.where(a > 1.5, 1.2, 0) + 0.3 * b))
+    df = spark.createDataFrame([(float(p), float(q), int(c)) for p, q, c in zip(a, b, y)] + [(None, 0.5, 3)], "a double, b double, y int")
+    model = fit_poisson_boosting(df, ["a", "b"], rounds=8, step=0.3, depth=2)
+    assert all(t == pytest.approx(y.sum(), rel=1e-9) for t in model.totals)
+    assert all(later < earlier for earlier, later in zip(model.deviance, model.deviance[1:]))
+    got = model.predict(df).collect()
+    assert [r.y_pred is None for r in got].count(True) == 1
+    real, fit = (np.array(v, float) for v in zip(*[(r.y, r.y_pred) for r in got if r.y_pred is not None]))
+    own = 2 * np.sum(np.where(real > 0, real * np.log(np.maximum(real, 1e-300) / fit), 0) - (real - fit))
+    assert own == pytest.approx(model.deviance[-1]) and own < 0.75 * model.deviance[0] and fit.sum() == pytest.approx(real.sum())
+    with pytest.raises(ValueError, match="positive total"):
+        fit_poisson_boosting(df.withColumn("y", F.lit(0)), ["a"], rounds=1)
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 7, 64, 65, 1000])
+def test_keyed_bijection(spark, size):
+    rows = spark.range(size, numPartitions=3).withColumn("key", F.explode(F.array(F.lit(1), F.lit(2))))
+    got = rows.select("id", "key", shuffled_number(F.col("id"), F.lit(size).cast("bigint"), F.col("key")).alias("to")).collect()
+    for key in (1, 2):
+        assert sorted(r.to for r in got if r.key == key) == list(range(size))
+    if size == 1000:
+        assert sum(r.to == r.id for r in got) < 12 and sum(r.to < 500 and r.id < 500 for r in got if r.key == 1) in range(200, 300)
+        numbers = [r.n for r in numbered_as_stored(spark.range(1000, numPartitions=7).where("id % 3 = 0"), "n").collect()]
+        assert sorted(numbers) == list(range(334))
