@@ -73,17 +73,23 @@ def once(c: Column) -> Column:
 
 
 def found(df: DataFrame, text: str, kind: str, pattern: str, worth: Column) -> DataFrame:
-    """Adds ``_<kind>``: (start, end, match) of all matches, in code points; empty where ``worth`` is false."""
-    matches, gaps, sums, name = f"_m_{kind}", f"_g_{kind}", f"_s_{kind}", f"_{kind}"
+    """Adds ``_<kind>``: (start, end, match, before) of all matches, in code points; empty where ``worth`` is false. ``before`` is the text
+    in front, CONTEXT characters at most and none of an earlier match."""
+    matches, pieces, gaps, sums, starts, name = f"_m_{kind}", f"_p_{kind}", f"_g_{kind}", f"_s_{kind}", f"_a_{kind}", f"_{kind}"
     some = lambda c, kind: F.when(F.size(matches) > 0, c).otherwise(F.array().cast(kind))
     df = df.withColumn(matches, once(F.when(worth, F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0))).otherwise(F.array().cast("array<string>"))))
-    # The text between the matches, one piece more than matches.
-    df = df.withColumn(gaps, once(some(F.transform(F.split(F.col(text), pattern, -1), F.char_length), "array<int>")))
-    steps = F.zip_with(F.slice(gaps, 1, F.size(matches)), F.col(matches), lambda gap, m: gap + F.char_length(m))
-    df = df.withColumn(f"{sums}_", once(steps)).withColumn(sums, once(some(running(F.col(f"{sums}_")), "array<int>")))
-    places = F.zip_with(F.col(sums), F.slice(gaps, 1, F.size(matches)), lambda front, gap: front + gap)
-    span = lambda start, m: F.struct(start.alias("start"), (start + F.char_length(m)).alias("end"), m.alias("match"))
-    return df.withColumn(name, once(F.zip_with(places, F.col(matches), span))).drop(matches, gaps, sums, f"{sums}_")
+    # The text in front of each match; what follows the last one is left out.
+    df = df.withColumn(pieces, once(some(F.slice(F.split(F.col(text), pattern, -1), 1, F.size(matches)), "array<string>")))
+    df = df.withColumn(gaps, once(F.zip_with(pieces, matches, lambda p, m: F.char_length(p) + F.char_length(m))))
+    df = df.withColumn(sums, once(some(running(F.col(gaps)), "array<int>")))
+    df = df.withColumn(starts, once(F.zip_with(sums, pieces, lambda front, p: front + F.char_length(p))))
+    tails = F.transform(pieces, lambda p: F.substring(p, -CONTEXT, CONTEXT)).alias("before")
+
+    def span(x: Column) -> Column:
+        return F.struct(x["start"].alias("start"), (x["start"] + F.char_length(x["match"])).alias("end"), x["match"].alias("match"), x["before"].alias("before"))
+
+    zipped = F.arrays_zip(F.col(starts).alias("start"), F.col(matches).alias("match"), tails)
+    return df.withColumn(name, once(F.transform(zipped, span))).drop(matches, pieces, gaps, sums, starts)
 
 
 def _digits(match: Column) -> Column:
@@ -152,10 +158,6 @@ def features(m: Column, before: Column, kind: str) -> dict[str, Column]:
     }
 
 
-def _context(text: str, s: Column) -> Column:
-    return F.substring(F.col(text), F.greatest(s["start"] - (CONTEXT - 1), F.lit(1)), F.least(s["start"], F.lit(CONTEXT)))
-
-
 def checked_account(match: Column) -> Column:
     """Whether the check digits of an account number hold: its first four characters at the end, letters as numbers, rest 1 modulo 97."""
     plain = F.replace(match, F.lit(" "), F.lit(""))
@@ -185,11 +187,10 @@ def _described(kind: str, label: Column, m: Column, before: Column) -> Column:
 def candidates(df: DataFrame, text: str) -> DataFrame:
     """One row per labelled candidate of any kind: kind, label, draw (a hash of match and context) and features."""
     def one(kind: str):
-        return lambda s: _described(kind, proved(kind, s["match"], _context(text, s)), s["match"], _context(text, s))
+        return lambda s: _described(kind, proved(kind, s["match"], s["before"]), s["match"], s["before"])
 
     made = [F.transform(f"_{name}", one(kind)) for name, (kind, _) in GENERATORS.items()]
-    some = df.where(F.size(F.concat(*[F.transform(f"_{name}", lambda s: s["start"]) for name in GENERATORS])) > 0)
-    return some.select(F.explode(F.concat(*made)).alias("c")).select("c.*").where(F.col("label").isNotNull())
+    return df.select(once(F.concat(*made)).alias("_c")).select(F.explode("_c").alias("c")).select("c.*").where(F.col("label").isNotNull())
 
 
 #: Characters that stand for a pseudo-random one in a seed's form.
@@ -318,7 +319,7 @@ def with_spans(df: DataFrame, text: str, model: Model) -> DataFrame:
     """Adds ``_all``: base spans and the chosen candidates, by start, then kind."""
     def measured(kind: str):
         def one(s: Column) -> Column:
-            f = features(s["match"], _context(text, s), kind)
+            f = features(s["match"], s["before"], kind)
             return F.struct(s["start"].alias("start"), s["end"].alias("end"), *[f[c].cast("double").alias(c) for c in FEATURES])
 
         return one

@@ -1,5 +1,6 @@
 """Token counts, personal data, shards and toxicity against plain Python, their laws and held-out labels."""
 
+import math
 import random
 import re
 import sys
@@ -217,3 +218,35 @@ def test_toxic_sentences_are_located(spark):
     assert all("idiot" in s for s in spot) and out[900].score == 0 and out[902].worst_begin == -1
     assert toxicity.judge(docs, labels.limit(0)).where("predicted = 1").count() == 0
     assert toxicity.judge(docs.limit(0), labels).count() == 0
+
+
+def test_noisy_or_by_hand(spark):
+    """The score of a text from the logistic scores of its sentences, worked out word by word in plain Python."""
+    import numpy as np
+    import pyarrow as pa
+
+    theta = np.random.default_rng(1).normal(0, 0.4, (1 << toxicity.BITS) + 1).astype(np.float32)
+    theta[-1] = -1.0
+    texts = ["One two three. Four five! Six", "a line\nanother line\n\nlast", "", None, "...", "word " * 50 + ". end?", "UPPER case, and-signs (here)", "é à. ü"]
+
+    def weight(word):
+        _, slots = toxicity.features(pa.array([word.encode()], pa.binary()))
+        return float(sum(theta[k] for k in slots))
+
+    want = {}
+    for k, text in enumerate(texts):
+        parts = [[]]
+        for line in (text or "").split("\n"):
+            for word in brute.BLANK_WORDS.findall(line):
+                parts[-1].append(word)
+                if word[-1] in ".!?":
+                    parts.append([])
+            parts.append([])
+        scores = [1 / (1 + math.exp(-max(-30, min(30, sum(map(weight, p)) - 1.0)))) for p in parts if p]
+        want[k] = (1 - math.prod(1 - s for s in scores), len(scores), sum(s >= 0.5 for s in scores))
+    docs = spark.createDataFrame(list(enumerate(texts)) + [(1, texts[1]), (None, texts[0])], "doc_id long, text string")
+    rows = toxicity.score(docs, spark.sparkContext.broadcast(theta)).collect()
+    assert len(rows) == len(texts) + 2 and sum(r.doc_id is None for r in rows) == 1
+    for r in rows:
+        p, n, offending = want[0 if r.doc_id is None else r.doc_id]
+        assert r.score == pytest.approx(p, abs=1e-5) and (r.n_sentences, r.n_offending) == (n, offending)
