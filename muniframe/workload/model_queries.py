@@ -223,5 +223,5 @@ def classifier_comparison(t: Tables) -> DataFrame:
 #: Queries whose time is model fits.
 NAMES = [
     "poisson_glm_cv", "tweedie_glm", "rf_cv", "gbt_cv", "model_choice_per_category", "refit_and_compare", "random_search", "logreg_eval", "tree_eval",
-    "forest_eval", "boosting_eval", "permutation_importance", "backward_elimination", "classifier_comparison",
+    "forest_eval", "boosting_eval", "permutation_importance", "backward_elimination", "classifier_comparison", "absorbed_poisson_equations", "poisson_boosting_rounds",
 ]
