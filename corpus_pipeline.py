@@ -2,6 +2,10 @@
 
 Each stage is a function of (spark, docs, sf_dir). Its result is written as Parquet in the shared
 checkpoint folder and read again as the next stage's documents; all but the last keep the columns of ``documents``.
+
+Null, empty and blank texts fail the plain quality rules, so none of them passes the first stage; a later stage given one keeps it. Rows with
+different ids and equal texts are near-duplicates; rows that share a doc_id stay or go together. A null doc_id is no obstacle. Extra columns are carried along, whatever their names, up to the
+last stage, which returns token counts and digests by doc_id. An empty table gives an empty result at every stage.
 """
 
 from __future__ import annotations

@@ -166,7 +166,8 @@ SCORES = "doc_id long, score double, n_sentences long, n_offending long, worst_b
 
 def score(docs: DataFrame, model: Broadcast, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, score, n_sentences, n_offending (sentences at 0.5 or more) and the byte span of the worst sentence (-1, -1: none).
-    Texts without words score 0. One row per input row; only the text is looked at."""
+    Null texts and texts without words score 0. One row per input row, repeated ones included; a null id stays null. Of equally bad sentences the
+    first is the worst. Only the text is looked at."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         theta = model.value
@@ -197,6 +198,7 @@ def score(docs: DataFrame, model: Broadcast, key: str = "doc_id", text: str = "t
 
 
 def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score, predicted, and where the worst sentence lies."""
+    """doc_id, held_out, score, predicted, and where the worst sentence lies, one row per input row. A null doc_id is never held out. Without a training row
+    of each label every score is that of a model at rest, below one half for texts of usual length."""
     scored = score(docs, fit(docs, labels))
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_sentences", "n_offending", "worst_begin", "worst_end")
