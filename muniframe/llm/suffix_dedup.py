@@ -34,7 +34,9 @@ from .tables import packed_texts, stored
 SPAN, K = 200, 100
 #: Text bytes handled at once, and bytes of one suffix array; the arrays beside them take about 100 times as much.
 CHUNK = 1 << 20
-ARRAY_BYTES = HOT = 3 << 20
+ARRAY_BYTES = 3 << 20
+#: Bytes of different stretches from which an anchor's windows meet by their own hash.
+HOT = 12 << 20
 
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
@@ -360,28 +362,32 @@ def pieces(docs: DataFrame, asked: DataFrame, span: int = SPAN) -> DataFrame:
     """(meet, doc, first, piece): the bytes of the asked stretches, or of their windows, and the key under which they meet."""
     per_doc = asked.groupBy("doc").agg(F.collect_list(F.struct("first", "many", "anchor", "kind")).alias("asks"))
 
+    def batch_of(out: list[tuple]) -> pa.RecordBatch:
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=["meet", "doc", "first", "piece"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_up = zstandard.ZstdDecompressor().decompress
+        out: list[tuple] = []
+        size = 0
         for batch in batches:
-            out: list[list] = [[], [], [], []]
-
-            def add(*row) -> None:
-                for column, value in zip(out, row):
-                    column.append(value)
-
             for doc, packed, asks in zip(batch.column(0), batch.column(1), batch.column(2)):
                 doc, text = doc.as_py(), open_up(packed.as_buffer())
                 for ask in asks.as_py():
                     first, many = ask["first"], ask["many"]
                     if ask["kind"] == ASK:
-                        add(ask["anchor"], doc, first, text[first : first + many + span])
-                        continue
-                    begin = np.arange(many + 1)
-                    own = Rolling(np.frombuffer(text[first : first + many + span], np.uint8)).of(begin, begin + span)
-                    for k, h in zip((begin + first).tolist(), own.view(np.int64).tolist()):
-                        add(h, doc, k, text[k : k + span])
-            if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.binary())], names=["meet", "doc", "first", "piece"])
+                        out.append((ask["anchor"], doc, first, text[first : first + many + span]))
+                        size += many + span
+                    else:
+                        begin = np.arange(many + 1)
+                        own = Rolling(np.frombuffer(text[first : first + many + span], np.uint8)).of(begin, begin + span)
+                        out += [(h, doc, k, text[k : k + span]) for k, h in zip((begin + first).tolist(), own.view(np.int64).tolist())]
+                        size += span * (many + 1)
+                    if size > ARRAY_BYTES:
+                        yield batch_of(out)
+                        out, size = [], 0
+        if out:
+            yield batch_of(out)
 
     return packed_texts(docs).join(per_doc, "doc").mapInArrow(run, "meet long, doc long, first long, piece binary")
 
