@@ -33,8 +33,8 @@ from .tables import packed_texts, stored
 
 SPAN, K = 200, 100
 #: Text bytes handled at once, and bytes of one suffix array; the arrays beside them take about 100 times as much.
-CHUNK = 1 << 20
-ARRAY_BYTES = 3 << 20
+CHUNK = 1 << 19
+ARRAY_BYTES = 3 << 19
 #: Bytes of different stretches from which an anchor's windows meet by their own hash.
 HOT = 12 << 20
 
