@@ -91,9 +91,19 @@ def _first_record(lines: list[str], delimiter: str) -> str:
     return "".join(lines)
 
 
+#: Values of an Arrow column that are Python objects at a time.
+AT_ONCE = 64
+
+
+def _values(column: pa.Array, a: int, b: int) -> Iterator[object]:
+    """The values a .. b - 1 of a column, without a list of all of them."""
+    for k in range(a, b, AT_ONCE):
+        yield from column.slice(k, min(AT_ONCE, b - k)).to_pylist()
+
+
 def in_chunks(batches: Iterator[pa.RecordBatch], end: bytes, limit: int) -> Iterator[tuple[tuple[str, int, int], int, bytes]]:
     """((path, size, block), number of the chunk in its split, bytes) from batches of (path, size, block, value): values that follow each other in
-    a split, each with its ``end``, up to about ``limit`` bytes."""
+    a split, each with its ``end``, up to about ``limit`` bytes. Of a batch, a few values at a time become Python objects."""
     at, number, held, weight = None, 0, [], 0
     for batch in batches:
         if not batch.num_rows:
@@ -107,7 +117,7 @@ def in_chunks(batches: Iterator[pa.RecordBatch], end: bytes, limit: int) -> Iter
                 if held:
                     yield at, number, b"".join(held)
                 at, number, held, weight = here, 0, [], 0
-            for value in batch.column(3).slice(a, b - a).to_pylist():
+            for value in _values(batch.column(3), a, b):
                 held += (value, end)
                 weight += len(value) + 1
                 if weight >= limit:
@@ -249,10 +259,11 @@ def _parsed(chunks: DataFrame, places: DataFrame, made: Callable[[Sequence[str],
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path, text, delimiter, skip, before, tail, opens, cut, header in zip(*(c.to_pylist() for c in batch.columns)):
+            for k in range(batch.num_rows):  # a row is a chunk: one at a time
+                path, text, delimiter, skip, before, tail, opens, cut, header = (c[k].as_py() for c in batch.columns)
                 text = (text[skip:-1] if cut and skip < len(text) else text[skip:]) + (tail or "")
                 names = header_cells(header, delimiter)
-                rows = [made(names, row) for k, row in enumerate(_rows(text, delimiter, opens)) if k or not opens]
+                rows = [made(names, row) for n, row in enumerate(_rows(text, delimiter, opens)) if n or not opens]
                 first = before + opens
                 numbers = pa.array(np.arange(first, first + len(rows)))
                 yield pa.RecordBatch.from_arrays([pa.array([path] * len(rows), pa.string()), numbers, pa.array(rows, arrow)], names=["path", "record", "made"])

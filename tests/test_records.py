@@ -108,3 +108,21 @@ def test_delimited_over_splits(spark, tmp_path, split_bytes):
     assert sorted(map(tuple, picked.collect()), key=str) == sorted(((w[2], w[0]) for w in want), key=str)
     with pytest.raises(Exception, match="no column"):
         read_delimited(spark, str(tmp_path / "t.csv"), ";", "UTF-8", columns=["absent"]).collect()
+
+
+def test_a_batch_is_not_held_as_objects():
+    """The chunks of a batch come one after another; its values are not all Python objects at a time."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    n, size = 4000, 10_000
+    value = pa.array([bytes(size)] * n, pa.binary())
+    batch = pa.RecordBatch.from_arrays([pa.array(["p"] * n), pa.array([1] * n), pa.array([0] * n), value], names=["path", "size", "block", "value"])
+    tracemalloc.start()
+    try:
+        found = sum(len(data) for *_, data in records.in_chunks(iter([batch]), b"\n", 1 << 20))
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert found == n * (size + 1) and most < n * size / 4
