@@ -116,10 +116,11 @@ def with_weights(train: DataFrame, label: str = LABEL) -> DataFrame:
     return train.join(F.broadcast(weights), label)
 
 
-def fit_classifier(
-    train: DataFrame, features: Sequence[str], categorical: Sequence[str], kind: str, params: Mapping[str, object] | None = None, imputer: SQLTransformer | None = None
-) -> PipelineModel:
-    """Impute, one-hot, scale and classify as one pipeline model. An ``imputer`` fitted before may cover more columns than ``features``."""
+def prepared(
+    train: DataFrame, features: Sequence[str], categorical: Sequence[str], imputer: SQLTransformer | None = None
+) -> tuple[PipelineModel, DataFrame]:
+    """Impute, one-hot, scale and assemble as one model, and the training rows (label, weight, features) that it gives, cached: estimators
+    pass over them many times. An ``imputer`` fitted before may cover more columns than ``features``."""
     cats = [c for c in features if c in categorical]
     nums = [c for c in features if c not in categorical]
     imputer = imputer or fit_imputer(train, nums, cats)
@@ -127,11 +128,26 @@ def fit_classifier(
     if nums:
         stages.append(population_scaler(imputer.transform(train), nums))
     stages += one_hot_stages(cats)
-    stages += [
-        VectorAssembler(inputCols=[*[f"{c}__scaled" for c in nums], *[f"{c}__hot" for c in cats]], outputCol="features", handleInvalid="keep"),
-        classifier(kind, params),
-    ]
-    return Pipeline(stages=stages).fit(with_weights(train))
+    stages.append(VectorAssembler(inputCols=[*[f"{c}__scaled" for c in nums], *[f"{c}__hot" for c in cats]], outputCol="features", handleInvalid="keep"))
+    weighted = with_weights(train)
+    model = Pipeline(stages=stages).fit(weighted)
+    return model, model.transform(weighted).select(LABEL, "weight", "features").persist()
+
+
+def fit_prepared(preparation: PipelineModel, rows: DataFrame, kind: str, params: Mapping[str, object] | None = None) -> PipelineModel:
+    """The classifier fitted on prepared ``rows``, behind its preparation, as one pipeline model."""
+    return PipelineModel([*preparation.stages, classifier(kind, params).fit(rows)])
+
+
+def fit_classifier(
+    train: DataFrame, features: Sequence[str], categorical: Sequence[str], kind: str, params: Mapping[str, object] | None = None, imputer: SQLTransformer | None = None
+) -> PipelineModel:
+    """Impute, one-hot, scale and classify as one pipeline model. An ``imputer`` fitted before may cover more columns than ``features``."""
+    preparation, rows = prepared(train, features, categorical, imputer)
+    try:
+        return fit_prepared(preparation, rows, kind, params)
+    finally:
+        rows.unpersist()
 
 
 def evaluate(model: PipelineModel, df: DataFrame) -> dict[str, float]:
@@ -143,7 +159,10 @@ def fit_evaluate(
     train: DataFrame, validation: DataFrame, features: Sequence[str], categorical: Sequence[str], kind: str, params: Mapping[str, object] | None = None,
     imputer: SQLTransformer | None = None,
 ) -> tuple[dict[str, object], PipelineModel]:
-    model = fit_classifier(train, features, categorical, kind, params, imputer)
+    return _evaluated(kind, features, fit_classifier(train, features, categorical, kind, params, imputer), validation)
+
+
+def _evaluated(kind: str, features: Sequence[str], model: PipelineModel, validation: DataFrame) -> tuple[dict[str, object], PipelineModel]:
     return {"modelo": kind, "n_features": len(features), "features": list(features), **evaluate(model, validation)}, model
 
 
@@ -247,8 +266,12 @@ def compare_models(
     train: DataFrame, validation: DataFrame, test: DataFrame, features: Sequence[str], categorical: Sequence[str], models: Mapping[str, Mapping[str, object]],
     metric: str = "f1_macro",
 ) -> tuple[DataFrame, dict[str, float]]:
-    """Validation metrics per model (best first) and the test metrics of the best one."""
-    fitted = {kind: fit_evaluate(train, validation, features, categorical, kind, params) for kind, params in models.items()}
+    """Validation metrics per model (best first) and the test metrics of the best one. All models share one preparation, fitted once."""
+    preparation, ready = prepared(train, features, categorical)
+    try:
+        fitted = {kind: _evaluated(kind, features, fit_prepared(preparation, ready, kind, params), validation) for kind, params in models.items()}
+    finally:
+        ready.unpersist()
     rows = sorted((r for r, _ in fitted.values()), key=lambda r: -r[metric])
     frame = train.sparkSession.createDataFrame(
         [(r["modelo"], r["n_features"], r["accuracy"], r["f1_macro"], r["f1_weighted"]) for r in rows],

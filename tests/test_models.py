@@ -6,6 +6,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from muniframe.plans import classify, models
 from muniframe.plans.classify import (
     backward_elimination, compare_models, encode_label, evaluate, fit_classifier, fit_imputer, label_codes, permutation_importance, stratified_split,
 )
@@ -74,6 +75,17 @@ def test_cross_validation_uses_only_the_past(series):
     assert overall_comparison({"a": pred, "b": grouped}).count() == 2
 
 
+def test_fits_run_on_few_partitions(series, monkeypatch):
+    """A small panel keeps no partition per shuffle task, cached by the caller or not."""
+    seen = []
+    fit = models.fit_count_model
+    monkeypatch.setattr(models, "fit_count_model", lambda train, *rest: seen.append(train.rdd.getNumPartitions()) or fit(train, *rest))
+    wide = series.repartition(60).persist()
+    pred = cv_models(wide, FOLDS, {"glm": ("poisson_glm", {})}, NUMERIC, CATEGORICAL)
+    assert pred.count() == 2 * 18 and set(refit_winners(wide, {"A": ("poisson_glm", {})}, "categoria", NUMERIC, CATEGORICAL)) == {"A"}
+    assert len(seen) == 3 and max(seen) < 20 and wide.is_cached
+
+
 def test_random_search(series):
     draws = sample_grid(SEARCH_GRID, 20)
     assert len({tuple(sorted(d.items())) for d in draws}) == 20 and draws == sample_grid(SEARCH_GRID, 20)
@@ -125,6 +137,16 @@ def test_classifiers_learn(labelled, kind, params):
     assert right > 0.75 * labelled.count()
 
 
+def test_models_share_one_preparation(labelled, monkeypatch):
+    calls = []
+    fill = classify.fit_imputer
+    monkeypatch.setattr(classify, "fit_imputer", lambda *a: calls.append(1) or fill(*a))
+    sizes = {"arvore_decisao": {"maxDepth": 3}, "regressao_logistica": {"maxIter": 5}}
+    table, _ = compare_models(labelled, labelled, labelled, FEATURES, CATS, sizes)
+    alone = {k: evaluate(fit_classifier(labelled, FEATURES, CATS, k, p), labelled)["f1_macro"] for k, p in sizes.items()}
+    assert len(calls) == 1 + 2 and {r["modelo"]: r["f1_macro"] for r in table.collect()} == pytest.approx(alone)
+
+
 def test_importance_and_elimination(labelled, tmp_path):
     train, val, test = (stratified_split(labelled, "label", "id").where(F.col("part") == i) for i in range(3))
     model = fit_classifier(train, FEATURES, CATS, "arvore_decisao", {"maxDepth": 4})
