@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from muniframe.operators import ordering
 from muniframe.operators.joins import checked_join, outer_profile
+from muniframe.session import stored
 from muniframe.operators.ordering import exact_quantiles, fill_from_next, first_per_group, number_rows, rank_min, running_sum
 
 
@@ -91,6 +92,22 @@ def test_quantiles_by_selection(spark, monkeypatch, inside, margin):
     assert list(one[0]) == pytest.approx(list(np.quantile(every, list(probs.values())))) and len(one) == 1
 
 
+@pytest.mark.parametrize("most", [10_000, 1])
+def test_rows_of_a_group_stay_where_they_are(spark, monkeypatch, most):
+    """Rows are not shuffled to meet their group's brackets, unless there are many groups; the quantiles are the same."""
+    plans = []
+
+    def keep(df):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return stored(df)
+
+    monkeypatch.setattr(ordering, "stored", keep)
+    monkeypatch.setattr(ordering, "BROADCAST_GROUPS", most)
+    got = ordering.exact_quantiles(spark.range(1000).selectExpr("id % 2 AS g", "CAST(id AS DOUBLE) AS x"), "x", {"m": 0.5}, ["g"])
+    assert sorted(map(tuple, got.collect())) == [(0, 499.0), (1, 500.0)]
+    assert ("strategy=broadcast" in "".join(plans)) == (most > 1)
+
+
 def test_checks_read_nothing_twice(spark, tmp_path):
     for name in "abc":
         spark.range(5).selectExpr("id AS k", f"id AS {name}").write.parquet(str(tmp_path / name))
