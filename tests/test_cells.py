@@ -1,3 +1,5 @@
+from types import SimpleNamespace
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -6,6 +8,7 @@ from muniframe.operators import ordering
 from muniframe.operators.ordering import exact_medians, shuffled_number
 from muniframe.plans import cells, classify
 from muniframe.plans.classify import Preparation, backward_elimination, evaluate, fit_classifier, permutation_importance
+from muniframe.workload import model_queries
 
 FEATURES, CATS = ["a", "b", "kind"], ["kind"]
 
@@ -108,3 +111,30 @@ def test_importance_of_coded_rows(rows, monkeypatch):
     coded = of()
     monkeypatch.setattr(classify, "CellModel", type("Other", (), {}))
     assert coded == pytest.approx(of()) and coded["a"] > 0.1
+
+
+@pytest.fixture(scope="module")
+def lines(spark):
+    """The table of lines as the workload reads it."""
+    rng = np.random.default_rng(11)
+    rows = [
+        (i, i % 17, i % 5, i % 3, float(rng.integers(1, 6)), float(rng.integers(1, 9)), i % 3 / 100, i % 2 / 100, "ANR"[rng.integers(0, 3)], "FO"[i % 2]) for i in range(240)
+    ]
+    names = "orderkey long, partkey long, suppkey long, linenumber int, quantity double, extendedprice double, discount double, tax double, returnflag string, linestatus string"
+    table = spark.createDataFrame(rows, ", ".join(f"l_{n}" for n in names.split(", "))).persist()
+    return SimpleNamespace(lineitem=table, spark=spark)
+
+
+def full_size(monkeypatch):
+    """Settings that trees were grown with, and those of estimators on rows."""
+    sizes = {}
+    on_cells, on_rows = classify.fit_cells, classify.classifier
+    monkeypatch.setattr(classify, "fit_cells", lambda spark, kind, settings, found: sizes.update({kind: dict(settings)}) or on_cells(spark, kind, settings, found))
+    monkeypatch.setattr(classify, "classifier", lambda kind, params: sizes.update({kind: {**classify.CLASSIFIERS[kind], **(params or {})}}) or on_rows(kind, params))
+    return sizes
+
+
+def test_boosting_query_takes_all_rounds(lines, monkeypatch):
+    sizes = full_size(monkeypatch)
+    assert {r["label"] for r in model_queries.boosting_eval(lines).collect() if r["measured"]} == {"A", "N", "R"}
+    assert sizes == {"boosting": {"maxIter": 300, "stepSize": 0.05, "maxDepth": 6, "subsamplingRate": 0.8}}
