@@ -138,3 +138,9 @@ def test_boosting_query_takes_all_rounds(lines, monkeypatch):
     sizes = full_size(monkeypatch)
     assert {r["label"] for r in model_queries.boosting_eval(lines).collect() if r["measured"]} == {"A", "N", "R"}
     assert sizes == {"boosting": {"maxIter": 300, "stepSize": 0.05, "maxDepth": 6, "subsamplingRate": 0.8}}
+
+
+def test_comparison_query_takes_full_sizes(lines, monkeypatch):
+    sizes = full_size(monkeypatch)
+    assert {r["modelo"] for r in model_queries.classifier_comparison(lines).collect() if r["measured"]} == set(classify.CLASSIFIERS)
+    assert sizes == classify.CLASSIFIERS
