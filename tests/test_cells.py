@@ -144,3 +144,19 @@ def test_comparison_query_takes_full_sizes(lines, monkeypatch):
     sizes = full_size(monkeypatch)
     assert {r["modelo"] for r in model_queries.classifier_comparison(lines).collect() if r["measured"]} == set(classify.CLASSIFIERS)
     assert sizes == classify.CLASSIFIERS
+
+
+def test_choice_query_fits_full_sizes(monkeypatch):
+    """The forecast models of the choice per category keep the defaults of plans.models."""
+
+    class Asked(Exception):
+        pass
+
+    def ask(*args, **_):
+        raise Asked(args[2])
+
+    monkeypatch.setattr(model_queries, "_frame", lambda t: None)
+    monkeypatch.setattr(model_queries, "cv_models", ask)
+    with pytest.raises(Asked) as asked:
+        model_queries.model_choice_per_category(None)
+    assert asked.value.args[0] == {k: (k, {}) for k in ("poisson_regressor", "random_forest", "gradient_boosting")}
